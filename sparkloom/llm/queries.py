@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, sstable, tokens
+from . import common, minhash, packing, quality, sstable, tokens
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), k=2)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = quality.assess(common.table(spark, sf_dir, "documents"))
+    return facts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed")
+
+
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sstable.write_shards(common.table(spark, sf_dir, "documents"), common.scratch(spark, "shards"), tokens.default_path())
     return sstable.read_shards(common.written(shards, "manifest"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op10_sstable": op10_sstable}
+QUERIES = {f.__name__: f for f in (op1_packing, op6_minhash, op9_quality, op10_sstable)}
 ORACLES: dict[str, str] = {}
