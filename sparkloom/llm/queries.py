@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, minhash, mixing, packing, quality, sstable, tokens
+from . import chat, common, licenses, minhash, mixing, packing, quality, sstable, tokens
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(common.table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), k=2)
 
@@ -42,7 +46,7 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(common.written(shards, "manifest"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_minhash, op7_chat, op8_mixing, op9_quality, op10_sstable)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_licenses, op6_minhash, op7_chat, op8_mixing, op9_quality, op10_sstable)}
 ORACLES: dict[str, str] = {
     "op7_chat": r"""
 WITH rows AS (
