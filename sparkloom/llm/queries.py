@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, licenses, minhash, mixing, packing, quality, sstable, tokens
+from . import chat, common, covertree, licenses, minhash, mixing, packing, quality, sstable, tokens
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(common.table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op5_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), k=2)
 
@@ -46,8 +50,22 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(common.written(shards, "manifest"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_licenses, op6_minhash, op7_chat, op8_mixing, op9_quality, op10_sstable)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_licenses, op5_covertree, op6_minhash, op7_chat, op8_mixing, op9_quality, op10_sstable)}
 ORACLES: dict[str, str] = {
+    "op5_covertree": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM comp LEFT JOIN deg USING (vec_id)
+""",
     "op7_chat": r"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
