@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, covertree, licenses, minhash, mixing, packing, quality, sstable, tokens
+from . import chat, common, covertree, licenses, minhash, mixing, packing, quality, sstable, tokens, toxicity, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc.write_archives(common.table(spark, sf_dir, "pages"), common.scratch(spark, "archives"))
+    return warc.read_archives(common.written(packages, "packages"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(common.table(spark, sf_dir, "documents")).drop("detections")
 
@@ -50,7 +59,7 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(common.written(shards, "manifest"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_licenses, op5_covertree, op6_minhash, op7_chat, op8_mixing, op9_quality, op10_sstable)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_licenses, op5_covertree, op6_minhash, op7_chat, op8_mixing, op9_quality, op10_sstable)}
 ORACLES: dict[str, str] = {
     "op5_covertree": """
 WITH RECURSIVE v AS (
