@@ -4,7 +4,9 @@ The vocabulary's pre-tokenizer never joins text across white space, so the ids
 of a text are the ids of its white-space-separated words in turn. Each distinct
 word is encoded once by the tokenizers library and then looked up; texts with
 the separators U+001C-U+001F, which Python splits at and the pre-tokenizer does
-not, are encoded whole.
+not, are encoded whole. To have fewer distinct words, texts are lower-cased first,
+as the vocabulary's normalizer does itself, and ASCII punctuation between a letter
+and white space is set apart, where the pre-tokenizer cuts anyway.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from itertools import repeat
 import numpy as np
 
 _ODD = re.compile("[\x1c-\x1f]")
+_TAIL = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[^\W\d_].)(?=\s)")
 
 
 def default_path() -> str:
@@ -24,6 +27,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def apart(text: str) -> str:
+    """A text with the same ids and fewer distinct words; the final sigma depends on context, so it is left alone."""
+    return _TAIL.sub(r" \g<0>", text.lower()) if "\u03a3" not in text and "<|" not in text else text
+
+
 class WordMemo:
     """ids(texts) gives what ``encode(text, add_special_tokens=False)`` gives, as one array and its row offsets.
 
@@ -31,58 +39,72 @@ class WordMemo:
     full, the half that was used most stays.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, mark: str = "|"):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.mark = Tokenizer.from_file(path), limit, mark
-        sep = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        probe = self.tokenizer.encode(f"a {mark} b", add_special_tokens=False).ids
-        self.sep = sep[0] if len(sep) == 1 and probe.count(sep[0]) == 1 else None
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = None
+        if any(t.endswith("</w>") for t in vocabulary):
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.index: dict[str, int] = {}
-        self.data, self.begin, self.length, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.held, self.data = 0, np.empty(1 << 16, np.uint32)
+        #: Of every word: place and number of its ids, times it was used.
+        self.places = np.zeros((3, 1 << 14), np.int64)
+
+    def encode_all(self, words: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words that stand by themselves, one after another, and how many each has.
 
-    def encode_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of words that stand by themselves, one after another, and how many each has."""
-        if self.sep is None or any(map(lambda w: self.mark in w, words)):
+        letters: every word is one pre-token, so its last id is the one that ends a word.
+        """
+        if not letters or self.ends is None:
             rows = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             return np.fromiter((i for r in rows for i in r), np.uint32), np.fromiter(map(len, rows), np.int64, len(rows))
-        ids, lengths = [], []
-        joined = [f" {self.mark} ".join(words[k : k + 512]) for k in range(0, len(words), 512)]
-        for text in joined:
-            part = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(part == self.sep)
-            lengths.append(np.diff(np.concatenate([[-1], cut, [len(part)]])) - 1)
-            ids.append(part[part != self.sep])
-        return np.concatenate(ids), np.concatenate(lengths)
+        joined = [" ".join(words[k : k + 256]) for k in range(0, len(words), 256)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        cut = np.flatnonzero(self.ends[ids])
+        if len(cut) != len(words):
+            return self.encode_all(words, False)
+        return ids, np.diff(cut, prepend=-1)
 
     def learn(self, words: list[str]) -> None:
-        odd = [w for w in words if self.mark in w]
-        for part in ([w for w in words if self.mark not in w] if odd else words, odd):
+        plain = [w for w in words if w.isalpha()]
+        for part, letters in ((plain, True), ([w for w in words if not w.isalpha()], False)):
             if part:
-                ids, lengths = self.encode_all(part)
-                n = len(self.begin)
-                self.begin = np.concatenate([self.begin, len(self.data) + np.cumsum(lengths) - lengths])
-                self.length, self.data = np.concatenate([self.length, lengths]), np.concatenate([self.data, ids])
-                self.used = np.concatenate([self.used, np.zeros(len(part), np.int64)])
-                self.index.update(zip(part, range(n, n + len(part)), strict=True))
+                ids, lengths = self.encode_all(part, letters)
+                n, m, held, more = len(self.index), len(part), self.held, len(ids)
+                if n + m > self.places.shape[1]:
+                    self.places = np.concatenate([self.places, np.zeros((3, max(m, self.places.shape[1])), np.int64)], 1)
+                if held + more > len(self.data):
+                    self.data = np.concatenate([self.data, np.empty(max(more, len(self.data)), np.uint32)])
+                self.data[held : held + more] = ids
+                self.places[0, n : n + m] = held + np.cumsum(lengths) - lengths
+                self.places[1, n : n + m] = lengths
+                self.places[2, n : n + m] = 0
+                self.held += more
+                self.index.update(zip(part, range(n, n + m), strict=True))
 
     def shrink(self) -> None:
-        keep = np.zeros(len(self.used), bool)
-        keep[np.argsort(-self.used, kind="stable")[: self.limit // 2]] = True
+        n = len(self.index)
+        begin, length, used = self.places[:, :n]
+        keep = np.zeros(n, bool)
+        keep[np.argpartition(-used, self.limit // 2)[: self.limit // 2]] = True
         place = np.cumsum(keep) - 1
         self.index = {w: int(place[i]) for w, i in self.index.items() if keep[i]}
-        begin, self.length = self.begin[keep], self.length[keep]
-        at = np.cumsum(self.length) - self.length
-        self.data = self.data[np.repeat(begin - at, self.length) + np.arange(int(self.length.sum()))]
-        self.begin, self.used = at, self.used[keep] >> 1
+        begin, length, used = begin[keep], length[keep], used[keep] >> 1
+        at = np.cumsum(length) - length
+        self.held = int(length.sum())
+        self.data[: self.held] = self.data[np.repeat(begin - at, length) + np.arange(self.held)]
+        self.places[:, : len(at)] = at, length, used
 
     def find(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
     def ids(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = {i for i, t in enumerate(items) if _ODD.search(t)}
-        split = [[] if i in whole else t.split() for i, t in enumerate(items)]
+        split = [[] if i in whole else apart(t).split() for i, t in enumerate(items)]
         words = [w for ws in split for w in ws]
         rows = self.find(words)
         missing = np.flatnonzero(rows < 0)
@@ -90,13 +112,13 @@ class WordMemo:
             new = list({words[i] for i in missing.tolist()})
             if len(self.index) + len(new) > self.limit and len(self.index) > self.limit // 2:
                 self.shrink()
-                self.learn([w for w in new if w not in self.index])
+                self.learn(list(set(words).difference(self.index)))
                 rows = self.find(words)
             else:
                 self.learn(new)
                 rows[missing] = self.find([words[i] for i in missing.tolist()])
-        np.add.at(self.used, rows, 1)
-        begin, length = self.begin[rows], self.length[rows]
+        np.add.at(self.places[2], rows, 1)
+        begin, length = self.places[0, rows], self.places[1, rows]
         upto = np.concatenate([[0], np.cumsum(length)])
         flat = self.data[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])] if upto[-1] else np.empty(0, np.uint32)
         word_end = np.cumsum([0, *map(len, split)])
