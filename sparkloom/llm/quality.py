@@ -122,6 +122,8 @@ def assess(docs: DataFrame, docs_limit: int = DOCS, share: float = SHARE, longes
 
 
 def _strip(text, removed):
+    if text is None:
+        return None
     gone = set(removed)
     return b"\n".join(x for x in text.encode().split(b"\n") if line_hash(normal(x)) not in gone).decode()
 

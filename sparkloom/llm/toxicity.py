@@ -20,6 +20,7 @@ rows get equal rows. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 from itertools import repeat
 
@@ -90,7 +91,7 @@ class Network:
         self.p = {"word": put(WORDS, WORD_DIM, scale=0.1), "gram": put(GRAMS, GRAM_DIM, scale=0.3), "attend": put(2 * h, scale=0.3), "out": put(2 * h, scale=0.5), "bias": np.zeros(1, np.float32)}
         for side in "fb":
             self.p |= {f"w{side}": put(d, 3 * h, scale=d**-0.5), f"u{side}": put(h, 3 * h, scale=h**-0.5), f"c{side}": np.zeros(3 * h, np.float32)}
-        self.scale, self.shift, self.constant = 1.0, 0.0, None
+        self.scale, self.shift, self.constant, self.name = 1.0, 0.0, None, uuid.uuid4().hex
 
     def features(self, slots: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Inputs of distinct words."""
@@ -348,30 +349,50 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     return [(r["text"] or "", r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"] or ""))]
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
-def _score(batches, sent):
-    key = sent.id if hasattr(sent, "id") else id(sent)
+def _scorer(sent) -> Scorer:
+    """The worker's scorer for a broadcast network, kept between tasks."""
     net = sent.value
-    if key not in _scorers:
+    if net.name not in _scorers:
         _scorers.clear()
-        _scorers[key] = Scorer(net)
-    scorer = _scorers[key]
+        _scorers[net.name] = Scorer(net)
+    return _scorers[net.name]
+
+
+def _score(batches, sent):
     for batch in batches:
         items = [t or "" for t in batch.column(2).to_pylist()]
-        scores = []
-        for a, b in common.chunks(items, 1 << 19):
-            scores.append(scorer.score(items[a:b]))
+        scores = [_scorer(sent).score(items[a:b]) for a, b in common.chunks(items, 1 << 19)]
         s = np.concatenate(scores) if scores else np.empty(0)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
 
+def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
+    return train(training_rows(docs, labels, per_class))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """One row per document, see SCHEMA."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    net = train(training_rows(docs, labels, per_class))
-    sent = spark.sparkContext.broadcast(net)
+    sent = spark.sparkContext.broadcast(trained(docs, labels, per_class))
     doc_id = F.col("doc_id").cast("long")
     return docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), F.col("text").cast("string")).mapInArrow(partial(_score, sent=sent), SCHEMA)
+
+
+def _filter(batches, sent, place: int, limit: float):
+    for batch in batches:
+        items = [t or "" for t in batch.column(place).to_pylist()]
+        scores = [_scorer(sent).score(items[a:b]) for a, b in common.chunks(items, 1 << 19)]
+        if scores:
+            yield batch.filter(pa.array(np.concatenate(scores) < limit))
+
+
+def non_toxic(docs: DataFrame, net: Network, limit: float = 0.5) -> DataFrame:
+    """The documents that score below the limit, with all their columns, without a join."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    sent = spark.sparkContext.broadcast(net)
+    return docs.mapInArrow(partial(_filter, sent=sent, place=docs.columns.index("text"), limit=limit), docs.schema)
