@@ -16,8 +16,9 @@ from . import linear
 
 def affine(x: SparseTensor, w: np.ndarray, b: np.ndarray) -> SparseTensor:
     """x @ w + b with every row present, so rows without entries get the bias."""
+    w = np.asarray(w, float)
     spark, (n, h) = x.spark, (x.shape[0], w.shape[1])
-    product = linear.matmul(x, from_numpy(spark, np.asarray(w, float)))
+    product = linear.matmul(x, from_numpy(spark, w))
     bias = F.broadcast(spark.createDataFrame([(j, float(v)) for j, v in enumerate(np.broadcast_to(np.asarray(b, float), (h,)))], "i1 long, b double"))
     cells = grid(spark, {"i0": n, "i1": h}).join(bias, "i1").join(product.df, ["i0", "i1"], "left")
     return SparseTensor(cells.select("i0", "i1", (F.coalesce("v", F.lit(0.0)) + F.col("b")).alias("v")), (n, h), 0.0)

@@ -56,21 +56,21 @@ def supply(spark: SparkSession, sf_dir: str) -> SparseTensor:
 
 def balances(spark: SparkSession, sf_dir: str) -> SparseTensor:
     """Customers' balance by nation and market segment, in whole units."""
-    segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), "c_mktsegment") - 1
+    segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment")) - 1
     return tensor(load(spark, sf_dir, "customer").select("c_nationkey", segment, F.round("c_acctbal").cast("bigint")), (NATIONS, len(SEGMENTS)), 0)
 
 
 def customers(spark: SparkSession, sf_dir: str) -> SparseTensor:
     """Customers by nation and market segment."""
-    segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), "c_mktsegment") - 1
+    segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment")) - 1
     return tensor(load(spark, sf_dir, "customer").select("c_nationkey", segment, F.lit(1).cast("bigint")), (NATIONS, len(SEGMENTS)), 0)
 
 
 def order_cube(spark: SparkSession, sf_dir: str) -> SparseTensor:
     """Orders by nation, segment and priority."""
     c, o = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders")
-    segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), "c_mktsegment") - 1
-    priority = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), "o_orderpriority") - 1
+    segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment")) - 1
+    priority = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("o_orderpriority")) - 1
     joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", segment, priority, F.lit(1).cast("bigint"))
     return tensor(joined, (NATIONS, len(SEGMENTS), len(PRIORITIES)), 0)
 
