@@ -59,8 +59,8 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(items: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive texts with about ``limit`` bytes; a longer text stands alone."""
+def chunks(items: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Index ranges of consecutive texts with about ``limit`` bytes or characters; a longer text stands alone."""
     start, held = 0, 0
     for i, x in enumerate(items):
         if held and held + len(x) > limit:
@@ -153,3 +153,11 @@ class SharedReader:
 def ascii_lower(column):
     """Lower-case A-Z only, as a Column."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def fresh(df: DataFrame, prefix: str = "own") -> str:
+    """A beginning for column names that no column of the table has, in any case of letters."""
+    names = [c.lower() for c in df.columns]
+    while any(n.startswith(prefix) for n in names):
+        prefix += "_"
+    return prefix

@@ -41,21 +41,22 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 def _cut(batches, path: str, context: int, end_id: int):
     memo, part = tokens.memo(path), TaskContext.get().partitionId()
-    seen = np.zeros(context + 1, np.int64)
+    seen, end = [0] * (context + 1), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         docs = batch.column(0).to_pylist()
         raw = [t or "" for t in batch.column(1).to_pylist()]
-        sizes = [t.encode() for t in raw]
         out: list[tuple] = []
-        for a, b in common.chunks(sizes):
+        for a, b in common.chunks(raw):
             ids, at = memo.ids(raw[a:b])
-            ids = ids.astype("<u4", copy=False)
+            data, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), at.tolist()
             for k in range(b - a):
-                own = np.append(ids[at[k] : at[k + 1]], np.array([end_id], "<u4"))
-                for piece, start in enumerate(range(0, len(own), context)):
-                    data = own[start : start + context]
-                    out.append((docs[a + k], piece, start, len(data), zlib.crc32(data.tobytes()), part, int(seen[len(data)])))
-                    seen[len(data)] += 1
+                first, size = at[k], at[k + 1] - at[k] + 1
+                for piece, start in enumerate(range(0, size, context)):
+                    length = min(context, size - start)
+                    last = start + length == size  # the end id is not in the array
+                    crc = zlib.crc32(data[4 * (first + start) : 4 * (first + start + length - last)])
+                    out.append((docs[a + k], piece, start, length, zlib.crc32(end, crc) if last else crc, part, seen[length]))
+                    seen[length] += 1
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"])
 

@@ -220,7 +220,7 @@ def _write(batches, folder: str, tokenizer: str, end_id: int):
         raw = [t or "" for t in batch.column(1).to_pylist()]
         if docs and out is None:
             out = Writer(path)
-        for a, b in common.chunks([t.encode() for t in raw]):
+        for a, b in common.chunks(raw):
             ids, at = memo.ids(raw[a:b])
             for k in range(b - a):
                 out.add(key_of(docs[a + k]), np.concatenate([ids[at[k] : at[k + 1]], end]))

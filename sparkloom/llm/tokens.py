@@ -17,7 +17,7 @@ from itertools import repeat
 
 import numpy as np
 
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _TAIL = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[^\W\d_].)(?=\s)")
 
 
@@ -39,7 +39,7 @@ class WordMemo:
     full, the half that was used most stays.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 550_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -103,7 +103,7 @@ class WordMemo:
         return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
     def ids(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = {i for i, t in enumerate(items) if _ODD.search(t)}
+        whole = {i for i, t in enumerate(items) if any(c in t for c in _ODD)}
         split = [[] if i in whole else apart(t).split() for i, t in enumerate(items)]
         words = [w for ws in split for w in ws]
         rows = self.find(words)
