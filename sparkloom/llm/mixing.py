@@ -26,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -137,15 +137,15 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: f
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """The documents, each as often as it is taken, with the columns of ``docs``."""
-    keys = ["doc_id", "content", "source"]
-    taken = mix_sources(docs, **how).groupBy(*keys).agg(F.sum("copies").alias("__total"), F.count(F.lit(1)).alias("__rows"))
-    taken = taken.select(*(F.col(k).alias(f"__{k}") for k in keys), "__total", "__rows").where("__total > 0")
-    own = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__hash") == F.col("__content")) & F.col("source").eqNullSafe(F.col("__source"))
-    joined = own.join(taken, on)
+    x, keys = common.fresh(docs, "mix_"), ["doc_id", "content", "source"]
+    taken = mix_sources(docs, **how).groupBy(*keys).agg(F.sum("copies").alias(f"{x}total"), F.count(F.lit(1)).alias(f"{x}rows"))
+    taken = taken.withColumnsRenamed({k: x + k for k in keys}).where(F.col(f"{x}total") > 0)
+    text = F.xxhash64(F.col("text").cast("string"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{x}doc_id")) & (text == F.col(f"{x}content")) & F.col("source").eqNullSafe(F.col(f"{x}source"))
+    joined = docs.join(taken, on)
+    total, rows = F.col(f"{x}total"), F.col(f"{x}rows")
     # equal rows share their total: the first of them get one more where it doesn't divide
-    from pyspark.sql import Window
-
-    place = F.when(F.col("__rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("__doc_id", "__content", "__source").orderBy(F.lit(0))))
-    times = F.floor(F.col("__total") / F.col("__rows")) + (place <= F.col("__total") % F.col("__rows")).cast("long")
-    return joined.withColumn("__times", times.cast("int")).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    place = F.when(rows == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(*(x + k for k in keys)).orderBy(F.lit(0))))
+    times = F.floor(total / rows) + (place <= total % rows).cast("long")
+    counted = joined.withColumn(f"{x}times", times.cast("int")).where(F.col(f"{x}times") > 0)
+    return counted.withColumn(f"{x}copy", F.explode(F.sequence(F.lit(1), F.col(f"{x}times")))).select(*docs.columns)

@@ -61,6 +61,45 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_licenses, op5_covertree, op6_minhash, op7_chat, op8_mixing, op9_quality, op10_sstable)}
 ORACLES: dict[str, str] = {
+    "op6_minhash": r"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents
+), s AS MATERIALIZED (
+    SELECT DISTINCT rid, w[p] || ' ' || w[p + 1] AS x FROM (SELECT rid, w, unnest(range(1, len(w))) AS p FROM d)
+    UNION ALL SELECT rid, w[1] FROM d WHERE len(w) = 1
+), n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid), links AS MATERIALIZED (
+    SELECT a, b FROM (SELECT p.rid AS a, q.rid AS b, count(*) AS c FROM s p JOIN s q ON p.x = q.x AND p.rid <> q.rid GROUP BY ALL)
+    JOIN n i ON i.rid = a JOIN n j ON j.rid = b WHERE 100 * c >= 80 * (i.n + j.n - c)
+), reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS rid, min(d.doc_id) AS component_id FROM reach JOIN d ON d.rid = b GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN least USING (rid) LEFT JOIN n USING (rid)
+""",
+    "op9_quality": r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents
+), m AS (
+    SELECT rid, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d
+), tri AS MATERIALIZED (
+    SELECT rid, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) > 2)
+), rep AS (
+    SELECT rid, count(DISTINCT p + k) AS n_repeat_words FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, x) AS c FROM tri), (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY rid
+), l AS MATERIALIZED (
+    SELECT rid, source, text, line, lower(array_to_string(lw, ' ')) AS norm, len(lw) AS words FROM (
+        SELECT rid, source, text, line, regexp_extract_all(line, '[^ \t\n\x0B\f\r]+') AS lw FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d)
+    ) WHERE len(lw) > 0
+), dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
+gone AS (
+    SELECT l.rid, sum(words) AS words_removed FROM l JOIN (
+        SELECT source, norm FROM (SELECT source, norm, count(DISTINCT text) AS c FROM l WHERE words <= 24 GROUP BY ALL) JOIN (SELECT source, count(*) AS h FROM d GROUP BY source) USING (source) WHERE c > 20 AND c > 0.001 * h
+    ) USING (source, norm) GROUP BY l.rid
+), f AS (
+    SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(words_removed, 0) AS BIGINT) AS words_removed
+    FROM m LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (words_removed > 0 AND (n_words - words_removed < 20 OR n_words - words_removed < 0.3 * n_words)) AS kept
+FROM f
+""",
     "op5_covertree": """
 WITH RECURSIVE v AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
