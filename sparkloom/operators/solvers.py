@@ -100,7 +100,8 @@ def block_preconditioner(factors: SparseTensor) -> Preconditioner:
     return apply
 
 
-def preconditioned_cg(a: SparseTensor, b: SparseTensor, x0: SparseTensor, precondition: Preconditioner | None, rel_tol: float = 1e-8, abs_tol: float = 1e-20, max_iters: int = 10_000) -> SparseTensor:
+def preconditioned_cg(a: SparseTensor, b: SparseTensor, x0: SparseTensor, precondition: Preconditioner | None, rel_tol: float = 1e-8, abs_tol: float = 1e-20, max_iters: int = 10_000, trace: list | None = None) -> SparseTensor:
+    """trace: gets the step and the direction coefficient of every round."""
     n, rows = a.shape[0], matrix(a)
     state = times(rows, vector(b, "b").join(vector(x0, "x"), "i"), "x", "q", n)
     state = state.withColumn("r", col("b") - col("q"))
@@ -115,8 +116,11 @@ def preconditioned_cg(a: SparseTensor, b: SparseTensor, x0: SparseTensor, precon
         (pq,) = total(state, col("p") * col("q"))
         alpha = rz / pq
         state = state.withColumns({"x": col("x") + alpha * col("p"), "r": col("r") - alpha * col("q")})
-        state = cut(z(state))
+        # without a preconditioner all that follows is a projection of the checkpoint
+        state = z(state) if precondition is None else cut(z(state))
         rr, new = total(state, col("r") ** 2, col("r") * col("z"))
+        if trace is not None:
+            trace.append((alpha, new / rz))
         state, rz = state.withColumn("p", col("z") + (new / rz) * col("p")), new
     return as_tensor(state, "x", n)
 
@@ -158,7 +162,7 @@ def gmres(a: SparseTensor, b: SparseTensor, x0: SparseTensor, restart: int = 50,
             left = col("w")
             for j, d in enumerate(dots):
                 left = left - d * col(f"q{j}")
-            base = cut(base.withColumn("w", left))
+            base = base.withColumn("w", left)
             h[k + 1, k] = math.sqrt(total(base, col("w") ** 2)[0])
             broke = h[k + 1, k] <= 1e-14 * first
             e1 = np.zeros(k + 2)
@@ -179,7 +183,7 @@ def gmres(a: SparseTensor, b: SparseTensor, x0: SparseTensor, restart: int = 50,
     return as_tensor(state, "x", n)
 
 
-def lsqr(a: SparseTensor, b: SparseTensor, atol: float = 1e-9, btol: float = 1e-9, conlim: float = 1e8, max_iters: int = 10_000) -> tuple[SparseTensor, int, int]:
+def lsqr(a: SparseTensor, b: SparseTensor, atol: float = 1e-9, btol: float = 1e-9, conlim: float = 1e8, max_iters: int = 10_000, trace: list | None = None) -> tuple[SparseTensor, int, int]:
     """(x, exit, rounds) for rectangular systems; exit 1: small residual, 2: small gradient, 3: ill conditioned, 0: zero solution or out of rounds."""
     (m, n), rows = a.shape, matrix(a)
     u = vector(b, "u")
@@ -195,6 +199,8 @@ def lsqr(a: SparseTensor, b: SparseTensor, atol: float = 1e-9, btol: float = 1e-
     if alpha == 0:
         return as_tensor(empty, "x", n), 0, 0
     right = right.withColumn("v", col("v") / alpha).withColumn("w", col("v"))
+    if trace is not None:
+        trace.append((beta, alpha))
     phi_bar, rho_bar, a_sq, x_sq, d_sq = beta, alpha, beta**2, 0.0, 0.0
     code = it = 0
     while it < max_iters and not code:
@@ -207,6 +213,8 @@ def lsqr(a: SparseTensor, b: SparseTensor, atol: float = 1e-9, btol: float = 1e-
         right = cut(right.join(atu, "i", "left").fillna(0.0, ["atu"]).withColumn("v", col("atu") - beta * col("v")).drop("atu"))
         new_alpha, w_sq = total(right, col("v") ** 2, col("w") ** 2)
         alpha = math.sqrt(new_alpha)
+        if trace is not None:
+            trace.append((beta, alpha))
         rho = math.hypot(rho_bar, beta)
         c, s = rho_bar / rho, beta / rho
         theta, rho_bar = s * alpha, -c * alpha
@@ -262,36 +270,36 @@ def jacobi_spectral_radius(a: SparseTensor, rounds: int = 200, tol: float = 1e-3
     return power_iteration(step, seed_vector(a.spark, n), rounds, tol)
 
 
-def condition_number(a: SparseTensor, precondition: Preconditioner | None = None, rounds: int = 200, tol: float = 1e-3) -> float:
-    """Ratio of extreme eigenvalues of M^-1 A (of A without a preconditioner), for symmetric positive definite A."""
-    n, rows = a.shape[0], matrix(a)
-    z = precondition or (lambda s: s.withColumn("z", col("r")))
-
-    def forward(s: DataFrame) -> DataFrame:
-        return z(times(rows, s.select("i", "x"), "x", "r", n)).withColumnRenamed("z", "q")
-
-    def inverse(s: DataFrame) -> DataFrame:
-        # A q = M x: the reciprocal spectrum; M x by way of one solve with A where M is A itself is not needed
-        solved = preconditioned_cg(a, SparseTensor(s.select(F.col("i").alias("i0"), F.col("x").alias("v")), (n,), 0.0), SparseTensor(s.select(F.col("i").alias("i0"), F.lit(0.0).alias("v")), (n,), 0.0), precondition, 1e-8)
-        return s.select("i", "x").join(solved.df.select(F.col("i0").alias("i"), F.col("v").alias("q")), "i")
-
-    top = power_iteration(forward, seed_vector(a.spark, n), rounds, tol)
-    if precondition is None:
-        return top * power_iteration(inverse, seed_vector(a.spark, n), rounds, tol)
-    shifted = lambda s: forward(s).withColumn("q", top * col("x") - col("q"))
-    return top / (top - power_iteration(shifted, seed_vector(a.spark, n), rounds, tol * 1e-3))
-
-
-def singular_ratio(a: SparseTensor, rounds: int = 200, tol: float = 1e-3) -> float:
-    """Largest over smallest singular value, by power iteration on A'A and on its shifted complement."""
-    (m, n), rows = a.shape, matrix(a)
-
-    def gram(s: DataFrame) -> DataFrame:
-        y = spmv(rows, s.select("i", "x"), n).withColumnRenamed("y", "x")
-        q = spmv(rows, y, m, True).withColumnRenamed("y", "q")
-        return s.select("i", "x").join(q, "i", "left").fillna(0.0, ["q"])
-
-    top = power_iteration(gram, seed_vector(a.spark, n), rounds, tol)
-    gap = power_iteration(lambda s: gram(s).withColumn("q", top * col("x") - col("q")), seed_vector(a.spark, n), rounds, tol * 1e-3)
-    low = top - gap
-    return math.sqrt(top / low) if low > 1e-12 * top else math.inf
+def seeded(spark, n: int) -> SparseTensor:
+    return SparseTensor(seed_vector(spark, n).toDF("i0", "v"), (n,), 0.0)
+
+
+def condition_number(a: SparseTensor, precondition: Preconditioner | None = None, rounds: int = 50) -> float:
+    """Ratio of extreme eigenvalues of M^-1 A (of A without a preconditioner), for symmetric positive definite A.
+
+    The coefficients of conjugate gradients are those of a Lanczos process; the extreme
+    eigenvalues of its small tridiagonal matrix approach those sought.
+    """
+    n, steps = a.shape[0], []
+    zero = SparseTensor(a.spark.createDataFrame([], "i0 long, v double"), (n,), 0.0)
+    preconditioned_cg(a, seeded(a.spark, n), zero, precondition, 1e-10, max_iters=min(rounds, n), trace=steps)
+    k = len(steps)
+    t = np.zeros((k, k))
+    for i, (alpha, beta) in enumerate(steps):
+        t[i, i] = 1 / alpha + (steps[i - 1][1] / steps[i - 1][0] if i else 0.0)
+        if i + 1 < k:
+            t[i, i + 1] = t[i + 1, i] = math.sqrt(beta) / alpha
+    values = np.linalg.eigvalsh(t)
+    return float(values[-1] / values[0])
+
+
+def singular_ratio(a: SparseTensor, rounds: int = 50) -> float:
+    """Largest over smallest singular value, from the bidiagonal matrix that LSQR builds."""
+    steps: list = []
+    lsqr(a, seeded(a.spark, a.shape[0]), 1e-12, 1e-12, math.inf, min(rounds, *a.shape), steps)
+    k = len(steps) - 1
+    b = np.zeros((k + 1, k))
+    for i in range(k):
+        b[i, i], b[i + 1, i] = steps[i][1], steps[i + 1][0]
+    values = np.linalg.svd(b, compute_uv=False)
+    return float(values[0] / values[-1]) if values[-1] > 0 else math.inf
