@@ -211,6 +211,7 @@ class Lowering:
                 r = Relation(wide.withColumn("v", column), r.indices, r.fill, kind)
             operands.append(Relation(r.df.select(*r.indices, "v"), r.indices, r.fill, r.kind))
         out = set(self.program.indices)
+        twins = self.twins(list(kept), out)
         operands = [self.squeeze(r, [o for o in operands if o is not r], out, reduction) for r in operands]
         while len(operands) > 1:
             best = min(
@@ -220,12 +221,25 @@ class Lowering:
             a, b = operands[best[0]], operands[best[1]]
             rest = [o for k, o in enumerate(operands) if k not in best]
             pair = self.joined(op, a, b, tuple(dict.fromkeys((*a.indices, *b.indices))), "inner", zero, False)
+            if twins:  # the other half of a symmetric result is a copy
+                pair.df = pair.df.where(F.col(twins[0]) <= F.col(twins[1]))
             operands = [*rest, self.squeeze(pair, rest, out, reduction)]
-        result = operands[0]
+        result = mirrored(operands[0], twins) if twins else operands[0]
         for c in scale:
             result = self.binary(op, result, c)
         return result
 
+    @staticmethod
+    def twins(nodes: list, out: set) -> tuple[str, str] | None:
+        """The two output indices of a product of one tensor with itself that can be exchanged."""
+        if len(nodes) != 2 or not all(isinstance(n, Access) for n in nodes) or nodes[0].name != nodes[1].name:
+            return None
+        apart = [(a, b) for a, b in zip(nodes[0].indices, nodes[1].indices, strict=True) if a != b]
+        own = (*nodes[0].indices, *nodes[1].indices)
+        if len(apart) != 1 or not set(apart[0]) <= out or any(own.count(i) != 1 for i in apart[0]):
+            return None
+        return apart[0]
+
     def cost(self, a: Relation, b: Relation, rest: list[Relation], out: set) -> tuple:
         shared = set(a.indices) & set(b.indices)
         needed = out.union(*(r.indices for r in rest)) if rest else out
@@ -351,6 +365,15 @@ class Lowering:
         return self.finish(Relation(df, out, 0, "int"), 0)
 
 
+def mirrored(r: Relation, twins: tuple[str, str]) -> Relation:
+    """Cells with twins[0] < twins[1] once more with the two exchanged."""
+    a, b = (F.col(t) for t in twins)
+    once, twice = F.struct(a.alias("p"), b.alias("q")), F.struct(b.alias("p"), a.alias("q"))
+    rest = [i for i in r.indices if i not in twins]
+    df = r.df.select(*rest, "v", F.explode(F.when(a == b, F.array(once)).otherwise(F.array(once, twice))).alias("c"))
+    return Relation(df.select(*rest, F.col("c.p").alias(twins[0]), F.col("c.q").alias(twins[1]), "v"), (*rest, *twins), r.fill, r.kind)
+
+
 def nan_min(v: Column, kind: str) -> Column:
     return F.when(F.max(F.isnan(v)), S.nan()).otherwise(F.min(v)) if kind == "float" else F.min(v)
 

@@ -63,6 +63,9 @@ CASES = [
     ("C[i,j] = max(X[i,j], Y[i,j]) / 2.0", lambda: np.maximum(X, Y) / 2),
     ("C[i,j] = X[i,j] / Y[i,j]", lambda: X / Y),
     ("C[r,s] += A[k,r] * A[k,s]", lambda: A.T @ A),
+    ("C[s,r] += 2 * A[k,r] * A[k,s]", lambda: 2 * A.T @ A),
+    ("C[i,j,k] += A[i,k] * A[j,k]", lambda: A[:, None] * A[None]),
+    ("C[l,i,m] += T[i,j,k,l] * T[i,j,k,m]", lambda: np.einsum("ijkl,ijkm->lim", T4, T4)),
     ("n[r] += A[i,r] * A[i,r]", lambda: (A * A).sum(0)),
     ("C[i] += A[i,j] * 0.5 * v[j]", lambda: A @ B[:, 0] * 0.5),
     ("C[j,i] += A[i,j]", lambda: A.T),
