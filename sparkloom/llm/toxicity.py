@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, STRIDE, HIDDEN = 32, 16, 8
+WINDOW, STRIDE, HIDDEN = 32, 24, 8
 WORDS, WORD_DIM, GRAMS, GRAM_DIM = 1 << 13, 8, 1 << 14, 12
 #: Every ^word$ has a 2-gram, so no word is without grams.
 GRAM_SIZES = (2, 3, 4, 5)
 SHARPNESS = 4.0
 #: Most labelled documents of each class that training reads.
-PER_CLASS = 1200
+PER_CLASS = 800
 EPOCHS = 6
 EMBEDDING_RATE, DECAY, DROPOUT = 2.0, 0.2, 0.5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -185,23 +185,26 @@ def pooled_logit(logits: np.ndarray) -> tuple[float, np.ndarray]:
 def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Network:
     """Fit to (text, label) rows."""
     net = Network(seed)
-    docs = [(w, y) for t, y in rows if (w := words_of(t or ""))]
+    index: dict[str, int] = {}
+    coded = []
+    for text, y in rows:
+        if words := words_of(text or ""):
+            ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))
+            at = window_rows(len(ids))
+            place = at[:, None] + np.arange(WINDOW)[None, :]
+            coded.append((ids[np.minimum(place, len(ids) - 1)], place < len(ids), y))
     share = sum(y for _, y in rows) / len(rows) if rows else 0.0
-    if len({y for _, y in docs}) < 2:
+    if len({c[2] for c in coded}) < 2:
         net.constant = share
         return net
-    names = list(dict.fromkeys(x for w, _ in docs for x in w))
-    index = {x: i for i, x in enumerate(names)}
-    slots = np.fromiter(map(word_slot, names), np.int64, len(names))
-    grams, counts = gram_slots(names)
+    names = list(index)
+    slots = np.fromiter(map(word_slot, names), np.int16, len(names))
+    parts = [gram_slots(names[k : k + 8192]) for k in range(0, len(names), 8192)]
+    grams, counts = np.concatenate([p[0].astype(np.int16) for p in parts]), np.concatenate([p[1] for p in parts])
+    del index, names, parts
     begin = np.cumsum(counts) - counts
-    coded = []
-    for w, y in docs:
-        ids = np.fromiter(map(index.__getitem__, w), np.int64, len(w))
-        at = window_rows(len(ids))
-        place = at[:, None] + np.arange(WINDOW)[None, :]
-        coded.append((ids[np.minimum(place, len(ids) - 1)], (place < len(ids)).astype(np.float32), y))
-    weight = {1: 0.5 / np.mean([y for _, y in docs]), 0: 0.5 / (1 - np.mean([y for _, y in docs]))}
+    ratio = float(np.mean([c[2] for c in coded]))
+    weight = {1: 0.5 / ratio, 0: 0.5 / (1 - ratio)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     r, step = np.random.default_rng(seed), 0
     steps = max(epochs * -(-len(coded) // batch), 150)  # few documents are seen more often
@@ -211,11 +214,8 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 32, ra
             order += r.permutation(len(coded)).tolist()
         picked, order = order[:batch], order[batch:]
         part = [coded[i] for i in picked]
-        rows_, mask = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
-        words, inverse = np.unique(rows_, return_inverse=True)
-        inverse = inverse.reshape(rows_.shape)
-        own_counts = counts[words]
-        own = grams[np.repeat(begin[words] - (np.cumsum(own_counts) - own_counts), own_counts) + np.arange(own_counts.sum())]
+        rows_, mask = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part]).astype(np.float32)
+        words, inverse, own, own_counts = distinct(rows_, grams, begin, counts)
         x = net.features(slots[words], own, own_counts)
         drop = (r.random(x.shape, np.float32) >= DROPOUT).astype(np.float32) / (1 - DROPOUT)
         x *= drop
@@ -251,14 +251,24 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 32, ra
             m += 0.1 * (v - m)
             q += 0.01 * (v * v - q)
             net.p[name] -= (lr * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    calibrate(net, coded, slots, grams, counts)
+    calibrate(net, coded, slots, grams, begin, counts)
     return net
 
 
-def calibrate(net: Network, coded: list, slots, grams, counts) -> None:
+def distinct(rows: np.ndarray, grams: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> tuple:
+    """Distinct words of windows, the windows in terms of them, and their n-grams."""
+    words, inverse = np.unique(rows, return_inverse=True)
+    n = counts[words]
+    own = grams[np.repeat(begin[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
+    return words, inverse.reshape(rows.shape), own, n
+
+
+def calibrate(net: Network, coded: list, slots, grams, begin, counts) -> None:
     """Scale and shift of document logits by regularised logistic regression on the training documents."""
-    gates = net.project(net.features(slots, grams, counts))
-    s = np.array([pooled_logit(net.run(gates, rows, mask))[0] for rows, mask, _ in coded])
+    s = np.empty(len(coded))
+    for k, (rows, mask, _) in enumerate(coded):
+        words, inverse, own, n = distinct(rows, grams, begin, counts)
+        s[k] = pooled_logit(net.run(net.project(net.features(slots[words], own, n)), inverse, mask.astype(np.float32)))[0]
     y = np.array([c[2] for c in coded], float)
     w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     a, b = 1.0, 0.0
