@@ -60,3 +60,62 @@ class SparkFramework:
     reduce = staticmethod(linear.reduce)
     elementwise = staticmethod(linear.elementwise)
     outer = staticmethod(linear.outer)
+
+
+class Lazy:
+    """A tensor inside a lazy region: it can enter operations, but not be read before ``compute``."""
+
+    def __init__(self, value: SparseTensor):
+        self.value = value
+
+    def _refuse(self, *_):
+        raise TypeError("compute a lazy tensor before reading it")
+
+    __getitem__ = __setitem__ = __float__ = __int__ = __bool__ = __complex__ = __index__ = item = to_numpy = _refuse
+
+    def __matmul__(self, other):
+        return Lazy(self.value @ opened(other))
+
+
+def opened(x):
+    return x.value if isinstance(x, Lazy) else x
+
+
+for _name in "add radd sub rsub mul rmul truediv rtruediv floordiv rfloordiv mod rmod pow rpow and rand or ror xor rxor lshift rlshift rshift rrshift lt le gt ge".split():
+    setattr(Lazy, f"__{_name}__", lambda self, other, name=f"__{_name}__": Lazy(getattr(self.value, name)(opened(other))))
+for _name in "neg pos abs invert".split():
+    setattr(Lazy, f"__{_name}__", lambda self, name=f"__{_name}__": Lazy(getattr(self.value, name)()))
+
+
+class CheckerFramework(SparkFramework):
+    """The same backend with the discipline of lazy regions enforced: what is made of lazy tensors is lazy, and
+    only ``compute`` makes it readable."""
+
+    def lazy(self, x):
+        if isinstance(x, (tuple, list)):
+            return type(x)(self.lazy(t) for t in x)
+        return Lazy(x) if isinstance(x, SparseTensor) else x
+
+    def compute(self, x):
+        if isinstance(x, (tuple, list)):
+            return type(x)(self.compute(t) for t in x)
+        return super().compute(opened(x))
+
+    def to_benchmark(self, t) -> Interchange:
+        if isinstance(t, Lazy):
+            raise TypeError("compute a lazy tensor before converting it")
+        return super().to_benchmark(t)
+
+    def einsum(self, program: str, **tensors):
+        out = einsum(program, **{k: opened(v) for k, v in tensors.items()})
+        return Lazy(out) if any(isinstance(v, Lazy) for v in tensors.values()) else out
+
+    def with_fill_value(self, t, value):
+        out = opened(t).with_fill_value(value)
+        return Lazy(out) if isinstance(t, Lazy) else out
+
+    def __getattribute__(self, name: str):
+        found = super().__getattribute__(name)
+        if name in ("matmul", "where", "transpose", "permute_dims", "reshape", "take", "roll", "diagonal", "argsort", "sort", "expand_dims", "reduce", "elementwise", "outer", "solve"):
+            return lambda *a, **k: (Lazy if any(isinstance(x, Lazy) for x in a) else opened)(found(*map(opened, a), **k))
+        return found

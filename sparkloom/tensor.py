@@ -74,12 +74,50 @@ class SparseTensor:
         out[tuple(rows[d].to_numpy() for d in self.dims)] = rows["v"].to_numpy()
         return out
 
+    # --- operators, by the einsum tables; equality of whole tensors is ``equal`` ---
+
+    def _with(self, name: str, other, reflected: bool = False) -> SparseTensor:
+        from .operators.linear import elementwise
+
+        return elementwise(name, other, self) if reflected else elementwise(name, self, other)
+
+    def _alone(self, name: str) -> SparseTensor:
+        from .operators.linear import elementwise
+
+        return elementwise(name, self)
+
+    def __matmul__(self, other: SparseTensor) -> SparseTensor:
+        from .operators.linear import matmul
+
+        return matmul(self, other)
+
+    @property
+    def T(self) -> SparseTensor:  # noqa: N802
+        from .operators.linear import transpose
+
+        return transpose(self)
+
     def item(self):
         """The value of a rank-0 tensor."""
         r = self.df.first()
         return self.fill if r is None else r["v"]
 
 
+def _install() -> None:
+    """Python's operators on tensors of one shape and scalars, with their reflected forms."""
+    pairs = {"add": "+", "sub": "-", "mul": "*", "truediv": "/", "floordiv": "//", "mod": "%", "pow": "**", "and": "&", "or": "|", "xor": "^", "lshift": "<<", "rshift": ">>"}
+    for method, name in pairs.items():
+        setattr(SparseTensor, f"__{method}__", lambda self, other, name=name: self._with(name, other))
+        setattr(SparseTensor, f"__r{method}__", lambda self, other, name=name: self._with(name, other, True))
+    for method, name in {"lt": "<", "le": "<=", "gt": ">", "ge": ">="}.items():
+        setattr(SparseTensor, f"__{method}__", lambda self, other, name=name: self._with(name, other))
+    for method, name in {"neg": "-", "pos": "+", "abs": "abs", "invert": "~"}.items():
+        setattr(SparseTensor, f"__{method}__", lambda self, name=name: self._alone(name))
+
+
+_install()
+
+
 def tensor(df: DataFrame, shape, fill=0, dup: str = "sum") -> SparseTensor:
     """From rows of index columns and a value column, in that order.
 

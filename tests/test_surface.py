@@ -35,6 +35,35 @@ def test_framework(spark):
     assert np.allclose(xp.solve(from_numpy(spark, np.array([[2.0, 0], [0, 4]])), from_numpy(spark, np.array([2.0, 4]))).to_numpy(), [1, 1])
 
 
+def test_checker_and_operators(spark):
+    from sparkloom.framework import CheckerFramework, Lazy
+
+    xp = CheckerFramework(spark)
+    x = np.array([[1.0, 0, -2], [0, 3, 0]])
+    a = xp.from_benchmark(Interchange.from_numpy(x))
+    lazy = xp.lazy(a)
+    made = abs(-lazy * 2 + a) / 4 - 1
+    assert isinstance(made, Lazy) and isinstance(xp.einsum("S[] += A[i,j]", A=lazy), Lazy) and isinstance(xp.transpose(lazy), Lazy)
+    for read in (float, bool, lambda t: t[0], xp.to_benchmark):
+        with pytest.raises(TypeError):
+            read(made)
+    assert np.allclose(xp.compute(made).to_numpy(), abs(-x * 2 + x) / 4 - 1)
+    assert np.allclose((2 - a).to_numpy(), 2 - x) and np.allclose((a @ a.T).to_numpy(), x @ x.T) and ((a > 0) & (a < 2)).to_numpy().sum() == 1
+
+
+def test_generators(spark):
+    from sparkloom.operators import solvers
+    from sparkloom.sources import generators
+
+    a, b, zero = (ingest(spark, s) for s in generators.system(generators.poisson(4)))
+    x = solvers.conjugate_gradient(a, b, zero)
+    assert np.allclose(a.to_numpy() @ x.to_numpy(), b.to_numpy(), atol=1e-5)
+    assert generators.sparse_tensor((5, 5, 5), 0.1).data["shape"] == (5, 5, 5) and len(generators.gcn(10, 3, 2)) == 6
+    assert np.linalg.matrix_rank(np.reshape(generators.factorizable_tensor((4, 4, 4), (2.0, 1.0)).data["values"], (4, 16))) == 2
+    g = generators.graph(20, 2).data
+    assert (g["indices_0"] != g["indices_1"]).all() and generators.rectangular(6, 3)[1].data["shape"] == (6,)
+
+
 def test_primitives(spark):
     r = np.random.default_rng(0)
     a, b = np.round(r.random((3, 4)) * (r.random((3, 4)) < 0.6), 3), np.round(r.random((3, 4)), 3)
