@@ -45,9 +45,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bound the rows that one Arrow batch carries, so that long texts do not pile up in a Python worker."""
+def small_batches(spark: SparkSession, rows: int = TEXT_BATCH, size: str = "8m") -> None:
+    """Bound the rows and bytes that one Arrow batch carries, so that long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

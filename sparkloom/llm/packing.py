@@ -46,7 +46,7 @@ def _cut(batches, path: str, context: int, end_id: int):
         docs = batch.column(0).to_pylist()
         raw = [t or "" for t in batch.column(1).to_pylist()]
         out: list[tuple] = []
-        for a, b in common.chunks(raw):
+        for a, b in common.chunks(raw, tokens.CHUNK):
             ids, at = memo.ids(raw[a:b])
             data, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), at.tolist()
             for k in range(b - a):
@@ -63,7 +63,7 @@ def _cut(batches, path: str, context: int, end_id: int):
 
 def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document with their number within (task, length)."""
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, tokens.BATCH)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_cut, path=tokenizer, context=context, end_id=end_id), PIECES)
 
 

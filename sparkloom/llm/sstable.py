@@ -220,7 +220,7 @@ def _write(batches, folder: str, tokenizer: str, end_id: int):
         raw = [t or "" for t in batch.column(1).to_pylist()]
         if docs and out is None:
             out = Writer(path)
-        for a, b in common.chunks(raw):
+        for a, b in common.chunks(raw, tokens.CHUNK):
             ids, at = memo.ids(raw[a:b])
             for k in range(b - a):
                 out.add(key_of(docs[a + k]), np.concatenate([ids[at[k] : at[k + 1]], end]))
@@ -231,7 +231,7 @@ def _write(batches, folder: str, tokenizer: str, end_id: int):
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write all documents in ascending id order; one row per shard, see SHARDS."""
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, tokens.BATCH)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id), SHARDS)
 

@@ -1,12 +1,11 @@
 """Exact tokenizer output through a word memo.
 
 The vocabulary's pre-tokenizer never joins text across white space, so the ids
-of a text are the ids of its white-space-separated words in turn. Each distinct
-word is encoded once by the tokenizers library and then looked up; texts with
-the separators U+001C-U+001F, which Python splits at and the pre-tokenizer does
-not, are encoded whole. To have fewer distinct words, texts are lower-cased first,
-as the vocabulary's normalizer does itself, and ASCII punctuation between a letter
-and white space is set apart, where the pre-tokenizer cuts anyway.
+of a text are the ids of its words, cut at ASCII white space, in turn. Each distinct
+word is encoded once by the tokenizers library and then looked up. To have fewer
+distinct words, texts are lower-cased first, as the vocabulary's normalizer does
+itself, and ASCII punctuation between a letter and white space is set apart, where the
+pre-tokenizer cuts anyway.
 """
 
 from __future__ import annotations
@@ -16,11 +15,16 @@ import re
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _TAIL = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[^\W\d_].)(?=\s)")
 
 
+#: Rows of an Arrow batch and characters of a call: the more words at once, the fewer lookups.
+BATCH, CHUNK = 1500, 1 << 22
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -103,30 +107,26 @@ class WordMemo:
         return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
     def ids(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = {i for i, t in enumerate(items) if any(c in t for c in _ODD)}
-        split = [[] if i in whole else apart(t).split() for i, t in enumerate(items)]
-        words = [w for ws in split for w in ws]
+        split = pc.ascii_split_whitespace(pa.array([apart(t) for t in items], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         rows = self.find(words)
         missing = np.flatnonzero(rows < 0)
         if len(missing):
-            new = list({words[i] for i in missing.tolist()})
-            if len(self.index) + len(new) > self.limit and len(self.index) > self.limit // 2:
+            if len(self.index) + len(missing) > self.limit and len(self.index) > self.limit // 2:
                 self.shrink()
                 self.learn(list(set(words).difference(self.index)))
                 rows = self.find(words)
             else:
+                new = [words[i] for i in missing.tolist()]
                 self.learn(new)
-                rows[missing] = self.find([words[i] for i in missing.tolist()])
-        np.add.at(self.places[2], rows, 1)
+                rows[missing] = self.find(new)
+        self.places[2, rows] += np.bincount(codes, minlength=len(words))
+        rows = rows[codes]
         begin, length = self.places[0, rows], self.places[1, rows]
         upto = np.concatenate([[0], np.cumsum(length)])
         flat = self.data[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])] if upto[-1] else np.empty(0, np.uint32)
-        word_end = np.cumsum([0, *map(len, split)])
-        offsets = upto[word_end].astype(np.int64)
-        if not whole:
-            return flat, offsets
-        parts = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if i in whole else flat[offsets[i] : offsets[i + 1]] for i, t in enumerate(items)]
-        return np.concatenate(parts), np.cumsum([0, *map(len, parts)]).astype(np.int64)
+        return flat, upto[split.offsets.to_numpy()].astype(np.int64)
 
 
 _memos: dict[str, WordMemo] = {}
