@@ -1,6 +1,7 @@
 """Connected components of a link table, without gathering links on the driver.
 
-Each task first contracts its links with union-find to a forest; alternating
+Up to ONE_TASK links (a checked count, some tens of megabytes) are contracted with
+union-find in a single task. Beyond, each task contracts its own links to a forest, and alternating
 large-star and small-star rounds (Kiveris et al., 2014) then hook every node to
 the smallest node it can reach. Both are grouped minima and joins on node ids, so
 a node with very many links is combined map-side and its join can be split.
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from . import common
 
 
+ONE_TASK = 500_000
+
+
 class UnionFind:
     def __init__(self):
         self.parent: dict[int, int] = {}
@@ -51,13 +55,16 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200, one_task: int = ONE_TASK) -> DataFrame:
     """Rows (node, component) for every node of the links (a, b); component is its smallest node.
 
     Rows with a null end or equal ends are ignored; repeated links are harmless.
     """
     a, b = (F.col(c).cast("long") for c in links.columns[:2])
-    edges = links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(a.alias("a"), b.alias("b"))
+    edges = common.written(links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(a.alias("a"), b.alias("b")), "links")
+    if edges.count() <= one_task:
+        edges = common.written(edges.coalesce(1).mapInArrow(_contract, "u long, v long"), "forest")
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
     edges = common.checkpointed(edges.mapInArrow(_contract, "u long, v long").distinct())
     state = _state(edges)
     for _ in range(rounds):

@@ -6,12 +6,13 @@
    2017). Values of step j are below those of step j + 1, so drawing stops as soon as
    every slot is filled: for most documents after one or two steps.
 2. Documents with equal shingle sets form a class; its smallest id stands for it.
-3. Slots are banded. Representatives that share a band meet in a bucket; each is
-   compared with the smallest id it meets (one link a document), on full sets.
-4. Buckets whose members are not yet in one component are compared in full,
-   all members outside the bucket's largest component against all of the others;
-   whole-signature agreement and set sizes sift these pairs before the sets do.
-   Groups of copies are one component by then, so their pairs are never listed.
+3. Slots are banded; representatives that share a band meet in a bucket. In each of
+   a few rounds a bucket has one hub (first the document that meets most others), and every document that meets hubs of other
+   components is compared with one of them: one pair a document. Set sizes and
+   whole-signature agreement sift the pairs, full sets decide, links merge components.
+4. Documents in buckets that are still not of one component are compared in full, within
+   the clusters that these buckets connect, block by block; only links leave a task. Most near
+   copies are one component by then, and no pair is ever a row.
 5. Components of the verified links give the groups.
 
 The only loss is a pair that shares no band: with 42 bands of 6 slots that is
@@ -27,17 +28,24 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import UnionFind, components
 from .textcore import U64, Chunk, mix, shingle_set
 
 BANDS, ROWS = 42, 6
-#: Signature agreement below similarity minus this margin (8 standard errors) is not verified.
-MARGIN = 0.2
+#: Signature agreement below similarity minus this margin (almost 5 standard errors) is not verified.
+MARGIN = 0.12
+#: Rounds of one pair a document before the rest is compared in full.
+ROUNDS = 3
+#: Ids up to this count are broadcast to pick rows from the large tables; more are joined.
+BROADCAST_IDS = 200_000
+#: Documents, and bytes of their sets, that a block of a cluster holds at most on average.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 24
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 SIGNATURES = "doc_id long, n long, set_a long, set_b long, bands array<long>, sketch binary"
@@ -107,15 +115,7 @@ def _sets(batches, k: int):
 
 def _verify(batches, percent: int):
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                keep.append(False)
-                continue
-            both = np.sort(np.concatenate([p, q]))
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
+        keep = [similar(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -127,11 +127,90 @@ def _sift(batches, least: float):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets reach the similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(partial(_verify, percent=percent), "a long, b long")
+def _block(key, frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the parts of two blocks of a cluster, or inside one."""
+    _, lo, hi = key
+    frame = frame.sort_values(["n", "rep"], kind="stable")
+    n, part, own, rep = (frame[c].to_numpy() for c in ("n", "part", "own", "rep"))
+    sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
+    items = [np.frombuffer(x, U64) for x in frame["items"]]
+    joined, out = UnionFind(), []
+    end = np.searchsorted(100 * n, 100 * n * 100 // percent + 1, "right")  # sizes up to n * 100 / percent
+    for i in range(len(frame)):
+        rows = np.arange(i + 1, end[i])
+        rows = rows[(part[rows] != part[i]) & ((own[rows] != own[i]) if lo != hi else True)]
+        if not len(rows):
+            continue
+        rows = rows[(sketch[rows] == sketch[i]).mean(1) >= percent / 100 - MARGIN]
+        for j in rows.tolist():
+            if joined.find(int(part[i])) != joined.find(int(part[j])) and similar(items[i], items[j], percent):
+                joined.union(int(part[i]), int(part[j]))
+                out.append((int(rep[i]), int(rep[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Exact similarity of two sorted sets of distinct hashes."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = np.sort(np.concatenate([p, q]))
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= percent * (len(p) + len(q) - shared)
+
+
+def picked(table: DataFrame, on: str, ids: DataFrame) -> DataFrame:
+    """Rows of a table whose ``on`` is among the ids (one distinct column, already written)."""
+    ids = ids.toDF(on)
+    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
+
+
+class Comparison:
+    """What pairs of representatives are compared by."""
+
+    def __init__(self, traits: DataFrame, sets: DataFrame, percent: int):
+        self.traits, self.sets, self.percent = traits, sets, percent
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs (a, b) those that reach the similarity."""
+        pairs = common.written(pairs, "pairs")
+        ids = pairs.select("a").union(pairs.select("b")).distinct()
+        traits = picked(self.traits, "node", common.written(ids, "ids"))
+        sifted = pairs.join(traits.toDF("a", "n_a", "s_a"), "a").join(traits.toDF("b", "n_b", "s_b"), "b")
+        sifted = sifted.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent).select("a", "b", "s_a", "s_b")
+        near = common.written(sifted.mapInArrow(partial(_sift, least=self.percent / 100 - MARGIN), "a long, b long"), "sifted")
+        ids = near.select("a").union(near.select("b")).distinct()
+        sets = picked(self.sets, "node", common.written(ids, "ids"))
+        full = near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
+        return full.mapInArrow(partial(_verify, percent=self.percent), "a long, b long")
+
+
+    def rest(self, members: DataFrame) -> DataFrame:
+        """Spanning links (a, b) between parts among documents that meet in some bucket, directly or through others.
+
+        Documents that buckets connect form a cluster. A cluster is cut into blocks of bounded
+        rows and bytes, and every pair of its blocks is compared in one task, by size, signature
+        and full sets; only links leave the task.
+        """
+        reps = common.written(members.select("rep", "part").distinct(), "reps")
+        lows = members.groupBy("key").agg(F.min("rep").alias("low"))
+        clusters = components(members.join(lows, "key").select("rep", "low").distinct())
+        ids = common.written(reps.select("rep"), "ids")
+        full = reps.join(clusters.toDF("rep", "cluster"), "rep").join(picked(self.sets, "node", ids).toDF("rep", "items"), "rep").join(picked(self.traits, "node", ids).toDF("rep", "n", "sketch"), "rep")
+        full = common.written(full, "rest")
+        blocks = full.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("s") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        dealt = full.join(blocks, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "part", "n", "sketch", "items")
+        return dealt.groupBy("cluster", "lo", "hi").applyInPandas(partial(_block, percent=self.percent), "a long, b long")
+
+
+def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links."""
+    sides = links.join(label.toDF("a", "c_a"), "a", "left").join(label.toDF("b", "c_b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    merged = components(sides)
+    moved = label.join(merged.toDF("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    new = merged.join(label.select("node"), "node", "left_anti").select("node", "component")
+    return common.written(moved.union(new), "components")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -147,34 +226,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     reps = classed.where(F.col("bands").isNotNull())
 
     buckets = reps.select(F.explode("bands").alias("key"), "rep")
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").drop("top")
-    met = common.written(buckets.join(shared, "key"), "buckets")
-    ids = met.select(F.col("rep").alias("doc_id")).distinct()
-    sets = common.written(texts.join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, k=k), "node long, items binary"), "sets")
-
-    nearest = met.where("rep <> hub").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    first = components(verified(nearest, sets, percent))
-    first = common.checkpointed(first)
-
-    labelled = common.written(met.join(first, met["rep"] == first["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part")), "labelled")
-    parts = labelled.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("size", "part")).alias("main")).where("parts > 1").drop("parts")
-    members = labelled.join(mixed, "key")
-    minor = members.where("part <> main").select("key", F.col("rep").alias("p"), F.col("part").alias("p_part"))
-    every = members.select("key", F.col("rep").alias("q"), F.col("part").alias("q_part"), (F.col("part") == F.col("main")).alias("is_main"))
-    pairs = minor.join(every, "key").where("p_part <> q_part and (is_main or p < q)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    traits = reps.select(F.col("rep").alias("node"), F.col("n").alias("size"), "sketch")
-    sifted = pairs.join(traits.toDF("a", "n_a", "s_a"), "a").join(traits.toDF("b", "n_b", "s_b"), "b")
-    sifted = sifted.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b", "s_a", "s_b")
-    sifted = sifted.mapInArrow(partial(_sift, least=percent / 100 - MARGIN), "a long, b long")
-    second = common.written(verified(sifted, sets, percent), "links")
-
-    label = first.select("node", "component")
-    joined = second.join(label.toDF("a", "c_a"), "a", "left").join(label.toDF("b", "c_b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    merged = components(joined)
-    moved = label.join(merged.toDF("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("group"))
-    alone = merged.join(label.select(F.col("node")), "node", "left_anti").select("node", F.col("component").alias("group"))
-    groups = moved.union(alone)
+    shared = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low <> top").select("key")
+    met = common.written(buckets.join(shared, "key").select("key", "rep"), "buckets")
+    ids = common.written(met.select("rep").distinct(), "ids")
+    sets = common.written(picked(texts, "doc_id", ids).mapInArrow(partial(_sets, k=k), "node long, items binary"), "sets")
+    compare = Comparison(reps.select(F.col("rep").alias("node"), F.col("n").alias("size"), "sketch"), sets, percent)
+
+    # the first hub is the document that meets most others: of a group of edited copies the least edited
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    degree = common.written(met.join(sizes, "key").groupBy("rep").agg(F.sum("size").alias("degree")), "degrees")
+    label = spark.createDataFrame([], "node long, component long")
+    for turn in range(ROUNDS + 1):
+        placed = met.join(label, met["rep"] == label["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+        mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("top")).where("low <> top").select("key")
+        members = common.written(placed.join(mixed, "key").select("key", "rep", "part"), "members")
+        met = members.select("key", "rep")
+        if turn == ROUNDS or members.isEmpty():
+            break
+        order = F.xxhash64(F.lit(turn), "rep") if turn else -F.col("degree")
+        chosen = members if turn else members.join(degree, "rep")
+        hubs = chosen.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("rep").alias("hub"), F.col("part").alias("hub_part"))).alias("x"))
+        facing = members.join(hubs, "key").where("part <> x.hub_part").groupBy("rep").agg(F.min(F.struct("x.h", "x.hub")).alias("y"))
+        label = relabelled(label, compare.links(facing.select(F.least("rep", "y.hub").alias("a"), F.greatest("rep", "y.hub").alias("b")).distinct()))
+
+    groups = relabelled(label, compare.rest(members))
     out = classed.select("doc_id", "n", "rep").join(groups, F.col("rep") == F.col("node"), "left")
-    group = F.coalesce("group", "rep")
+    group = F.coalesce("component", "rep")
     return out.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(False)).alias("kept"))
