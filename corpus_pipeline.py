@@ -18,8 +18,6 @@ from sparkloom.llm import common, minhash, mixing, packing, quality, tokens, tox
 #: No stage after the first can be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
-ID = F.col("doc_id").cast("long")
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.clean(docs)
@@ -32,10 +30,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: its smallest id, and of rows that share that id the first by text."""
+    """One document of each group: the one with its smallest id. Rows without an id stay, for nothing can name them."""
     found = minhash.near_duplicates(docs)
-    kept = found.where(F.col("kept") | F.col("doc_id").isNull()).select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(kept, ID.eqNullSafe(F.col("k_id"))).drop("k_id")
+    name = common.fresh(docs, "kept_")
+    kept = found.where(F.col("kept") | F.col("doc_id").isNull()).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(name))).drop(name)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ from .textcore import Chunk, table_of, windows
 SYMBOLS = table_of(b"#*$%&|<>")
 MEASURES = "row long, doc_id long, host string, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 DOCS, SHARE, LONGEST, WORDS_LEFT, SHARE_LEFT = 20, 0.001, 24, 20, 0.3
+#: Lines above the limit that are broadcast (some megabytes); beyond, documents are joined with their verdicts.
+BROADCAST_LINES = 200_000
 
 
 def normal(line: bytes) -> bytes:
@@ -81,7 +83,7 @@ def line_facts(text: bytes, longest: int) -> tuple[int, dict[int, int]]:
 def _measure(batches, longest: int):
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        ids, hosts, items = batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch.column(2))
+        ids, hosts, items, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch.column(2)), batch.column(3).to_pylist()
         out: list[tuple] = []
         for a, b in common.chunks(items):
             chunk = Chunk(items[a:b])
@@ -94,7 +96,7 @@ def _measure(batches, longest: int):
                 i, j = chunk.begin[d], chunk.begin[d + 1]
                 dup, lines = line_facts(items[a + d], longest)
                 own = h[chunk.first[d] : chunk.first[d + 1]]
-                out.append((row, ids[a + d], hosts[a + d], line_hash(items[a + d]), len(own), int(letters[j] - letters[i]), int(symbols[j] - symbols[i]), dup, repeat_words(own), list(lines), list(lines.values())))
+                out.append((row, ids[a + d], hosts[a + d], contents[a + d], len(own), int(letters[j] - letters[i]), int(symbols[j] - symbols[i]), dup, repeat_words(own), list(lines), list(lines.values())))
                 row += 1
         if out:
             types = (pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64()), pa.list_(pa.int32()))
@@ -102,42 +104,105 @@ def _measure(batches, longest: int):
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
-def assess(docs: DataFrame, docs_limit: int = DOCS, share: float = SHARE, longest: int = LONGEST, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
-    """Measures, base_failed, words_removed, removed (hashes of the lines above the limit) and kept, a row per document."""
+def measure(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """See MEASURES; written, since it is read more than once."""
     common.small_batches(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    measured = common.written(base.mapInArrow(partial(_measure, longest=longest), MEASURES), "measures")
-    lines = measured.select("row", "host", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", "content", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    found = lines.groupBy("host", "line", "content").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > docs_limit)
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text, F.xxhash64(text))
+    return common.written(base.mapInArrow(partial(_measure, longest=longest), MEASURES), "measures")
+
+
+def line_rows(measured: DataFrame) -> DataFrame:
+    return measured.select("row", "host", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", "content", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+
+
+def above_limit(measured: DataFrame, docs_limit: int = DOCS, share: float = SHARE) -> DataFrame:
+    """(f_host, f_line) of the lines in too many distinct documents of their host."""
+    found = line_rows(measured).groupBy("host", "line", "content").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > docs_limit)
     sizes = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    limited = found.join(sizes, found["host"].eqNullSafe(sizes["host"])).where(F.col("docs") > F.col("host_docs") * share).select(found["host"].alias("f_host"), F.col("line").alias("f_line"))
+    return found.join(sizes, found["host"].eqNullSafe(sizes["host"])).where(F.col("docs") > F.col("host_docs") * share).select(found["host"].alias("f_host"), F.col("line").alias("f_line"))
+
+
+def base_failed(n_words, n_repeat_words):
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
+def depleted(n_words, gone, words_left: int, share_left: float):
+    left = n_words - gone
+    return (gone > 0) & ((left < words_left) | (left < n_words * share_left))
+
+
+def judged(measured: DataFrame, limited: DataFrame, words_left: int, share_left: float) -> DataFrame:
+    lines = line_rows(measured)
     hit = lines.join(limited, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")))
     removed = hit.groupBy(F.col("row").alias("r_row")).agg(F.sum("words").alias("words_removed"), F.collect_list("line").alias("removed"))
     out = measured.drop("lines", "line_words").join(removed, F.col("row") == F.col("r_row"), "left")
     gone = F.coalesce("words_removed", F.lit(0))
-    left = F.col("n_words") - gone
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    depleted = (gone > 0) & ((left < words_left) | (left < F.col("n_words") * share_left))
-    return out.withColumns({"words_removed": gone, "base_failed": failed, "kept": ~failed & ~depleted}).drop("r_row", "row")
-
-
-def _strip(text, removed):
-    if text is None:
-        return None
-    gone = set(removed)
-    return b"\n".join(x for x in text.encode().split(b"\n") if line_hash(normal(x)) not in gone).decode()
-
-
-def clean(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that pass, without the lines above the limit; all columns stay, ``n_chars`` follows the text."""
-    verdict = assess(docs, **limits).where("kept").select(F.col("doc_id").alias("v_id"), F.col("content").alias("v_content"), F.col("host").alias("v_host"), "removed").dropDuplicates(["v_id", "v_content", "v_host"])
-    content = F.udf(lambda t: line_hash((t or "").encode()), T.LongType(), useArrow=True)
-    strip = F.udf(_strip, T.StringType(), useArrow=True)
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("v_id")) & F.col("source").eqNullSafe(F.col("v_host")) & (F.col("__content") == F.col("v_content"))
-    joined = docs.withColumn("__content", content("text")).join(verdict, on)
-    shorter = strip(F.when(F.col("removed").isNotNull(), F.col("text")), F.coalesce("removed", F.array().cast("array<long>")))
-    out = joined.withColumn("__shorter", F.when(F.col("removed").isNotNull(), shorter))
-    changes = {"text": F.coalesce("__shorter", "text")}
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    return out.withColumns({"words_removed": gone, "base_failed": failed, "kept": ~failed & ~depleted(F.col("n_words"), gone, words_left, share_left)}).drop("r_row", "row")
+
+
+def assess(docs: DataFrame, docs_limit: int = DOCS, share: float = SHARE, longest: int = LONGEST, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
+    """Measures, base_failed, words_removed, removed (hashes of the lines above the limit) and kept, a row per document."""
+    measured = measure(docs, longest)
+    return judged(measured, above_limit(measured, docs_limit, share), words_left, share_left)
+
+
+def strip(text: bytes, gone: set[int]) -> bytes:
+    return b"\n".join(x for x in text.split(b"\n") if line_hash(normal(x)) not in gone)
+
+
+def _clean(batches, sent, names: list[str], longest: int, words_left: int, share_left: float):
+    gone = sent.value
+    at = {n: names.index(n) for n in ("text", "source", "n_chars") if n in names}
+    for batch in batches:
+        items, hosts = common.texts(batch.column(at["text"])), batch.column(at["source"]).to_pylist()
+        keep, new, changed = np.zeros(len(items), bool), list(items), np.zeros(len(items), bool)
+        for a, b in common.chunks(items):
+            chunk = Chunk(items[a:b])
+            h = chunk.word_hashes()
+            for d in range(b - a):
+                own = h[chunk.first[d] : chunk.first[d + 1]]
+                if base_failed(len(own), repeat_words(own)):
+                    continue
+                lines = gone.get(hosts[a + d])
+                facts = line_facts(items[a + d], longest)[1] if lines else {}
+                hit = lines.intersection(facts) if lines else set()
+                if not depleted(len(own), sum(facts[x] for x in hit), words_left, share_left):
+                    keep[a + d] = True
+                    if hit:
+                        new[a + d], changed[a + d] = strip(items[a + d], hit), True
+        columns = list(batch.columns)
+        if changed.any():
+            text = [x.decode() for x in new]
+            columns[at["text"]] = pa.array(text, pa.string()).cast(columns[at["text"]].type)
+            if "n_chars" in at:
+                old = columns[at["n_chars"]]
+                columns[at["n_chars"]] = pa.array([len(t) if c else o for t, c, o in zip(text, changed, old.to_pylist(), strict=True)], old.type)
+        yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+
+
+def clean(docs: DataFrame, docs_limit: int = DOCS, share: float = SHARE, longest: int = LONGEST, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
+    """The documents that pass, without the lines above the limit; all columns stay, ``n_chars`` follows the text.
+
+    Up to BROADCAST_LINES lines above the limit are sent to the tasks, and one pass over
+    the documents judges and cleans them without a join; more are joined.
+    """
+    measured = measure(docs, longest)
+    limited = common.written(above_limit(measured, docs_limit, share), "limited")
+    if limited.count() <= BROADCAST_LINES:
+        gone: dict = {}
+        for r in limited.collect():
+            gone.setdefault(r["f_host"], set()).add(r["f_line"])
+        sent = docs.sparkSession.sparkContext.broadcast(gone)
+        plain = docs.withColumns({"text": F.col("text").cast("string"), "source": F.col("source").cast("string")})
+        return plain.mapInArrow(partial(_clean, sent=sent, names=plain.columns, longest=longest, words_left=words_left, share_left=share_left), plain.schema)
+    x = common.fresh(docs, "judged_")
+    verdict = judged(measured, limited, words_left, share_left).where("kept").select(F.col("doc_id").alias(f"{x}id"), F.col("content").alias(f"{x}content"), F.col("host").alias(f"{x}host"), F.col("removed").alias(f"{x}gone")).dropDuplicates([f"{x}id", f"{x}content", f"{x}host"])
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{x}id")) & F.col("source").eqNullSafe(F.col(f"{x}host")) & (F.xxhash64(F.col("text").cast("string")) == F.col(f"{x}content"))
+    shorter = F.udf(lambda t, gone: None if t is None or not gone else strip(t.encode(), set(gone)).decode(), T.StringType(), useArrow=True)
+    out, new = docs.join(verdict, on).withColumn(f"{x}text", shorter("text", f"{x}gone")), F.col(f"{x}text")
+    changes = {"text": F.coalesce(new, F.col("text"))}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.col("__shorter").isNotNull(), F.length("__shorter")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        changes["n_chars"] = F.when(new.isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumns(changes).select(*docs.columns)
