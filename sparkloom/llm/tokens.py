@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from itertools import repeat
 
 import numpy as np
@@ -43,7 +44,7 @@ class WordMemo:
     full, the half that was used most stays.
     """
 
-    def __init__(self, path: str, limit: int = 550_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -135,5 +136,8 @@ _memos: dict[str, WordMemo] = {}
 def memo(path: str) -> WordMemo:
     """The worker's memo, kept between tasks."""
     if path not in _memos:
+        # a worker that scored texts before, in a pipeline, gives that memory back first
+        if scoring := sys.modules.get(f"{__package__}.toxicity"):
+            scoring._scorers.clear()
         _memos[path] = WordMemo(path)
     return _memos[path]
