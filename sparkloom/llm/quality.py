@@ -3,11 +3,10 @@
 Every line is normalised (A-Z lower-cased, runs of white space made one space) and
 hashed. For each host the distinct documents that hold a line are counted;
 documents with equal texts count once, so plain copies do not turn their own
-lines into boilerplate. A line of at most ``longest`` words in more than
+lines into boilerplate. A line of any length in more than
 ``max(docs, share * documents of the host)`` documents is above the limit. It is
 removed, and a document is rejected as depleted when what is left of it has fewer
-than ``words_left`` words or a smaller share than ``share_left``. Longer lines that
-repeat are copied passages; they are the business of near-duplicate removal.
+than ``words_left`` words or a smaller share than ``share_left``.
 
 Base rules (``base_failed``): fewer than 50 words, or over half of the words in
 3-word windows that the text holds twice or more.
@@ -34,7 +33,7 @@ from .textcore import Chunk, table_of, windows
 
 SYMBOLS = table_of(b"#*$%&|<>")
 MEASURES = "row long, doc_id long, host string, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
-DOCS, SHARE, LONGEST, WORDS_LEFT, SHARE_LEFT = 20, 0.001, 24, 20, 0.3
+DOCS, SHARE, WORDS_LEFT, SHARE_LEFT = 20, 0.001, 20, 0.3
 #: Lines above the limit that are broadcast (some megabytes); beyond, documents are joined with their verdicts.
 BROADCAST_LINES = 200_000
 
@@ -64,8 +63,8 @@ def repeat_words(h: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def line_facts(text: bytes, longest: int) -> tuple[int, dict[int, int]]:
-    """Lines equal to an earlier one, and words by hash of the normalised lines of at most ``longest`` words."""
+def line_facts(text: bytes) -> tuple[int, dict[int, int]]:
+    """Lines equal to an earlier one, and words by hash of the normalised lines."""
     seen, dup, out = set(), 0, {}
     for line in text.split(b"\n"):
         words = line.split()
@@ -74,13 +73,12 @@ def line_facts(text: bytes, longest: int) -> tuple[int, dict[int, int]]:
         if line in seen:
             dup += 1
         seen.add(line)
-        if len(words) <= longest:
-            h = line_hash(b" ".join(words).lower())
-            out[h] = out.get(h, 0) + len(words)
+        h = line_hash(b" ".join(words).lower())
+        out[h] = out.get(h, 0) + len(words)
     return dup, out
 
 
-def _measure(batches, longest: int):
+def _measure(batches):
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         ids, hosts, items, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch.column(2)), batch.column(3).to_pylist()
@@ -94,7 +92,7 @@ def _measure(batches, longest: int):
             symbols = np.concatenate([[0], np.cumsum(SYMBOLS[chunk.buf])])
             for d in range(b - a):
                 i, j = chunk.begin[d], chunk.begin[d + 1]
-                dup, lines = line_facts(items[a + d], longest)
+                dup, lines = line_facts(items[a + d])
                 own = h[chunk.first[d] : chunk.first[d + 1]]
                 out.append((row, ids[a + d], hosts[a + d], contents[a + d], len(own), int(letters[j] - letters[i]), int(symbols[j] - symbols[i]), dup, repeat_words(own), list(lines), list(lines.values())))
                 row += 1
@@ -104,12 +102,12 @@ def _measure(batches, longest: int):
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
-def measure(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
+def measure(docs: DataFrame) -> DataFrame:
     """See MEASURES; written, since it is read more than once."""
     common.small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     base = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text, F.xxhash64(text))
-    return common.written(base.mapInArrow(partial(_measure, longest=longest), MEASURES), "measures")
+    return common.written(base.mapInArrow(_measure, MEASURES), "measures")
 
 
 def line_rows(measured: DataFrame) -> DataFrame:
@@ -142,9 +140,9 @@ def judged(measured: DataFrame, limited: DataFrame, words_left: int, share_left:
     return out.withColumns({"words_removed": gone, "base_failed": failed, "kept": ~failed & ~depleted(F.col("n_words"), gone, words_left, share_left)}).drop("r_row", "row")
 
 
-def assess(docs: DataFrame, docs_limit: int = DOCS, share: float = SHARE, longest: int = LONGEST, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
+def assess(docs: DataFrame, docs_limit: int = DOCS, share: float = SHARE, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
     """Measures, base_failed, words_removed, removed (hashes of the lines above the limit) and kept, a row per document."""
-    measured = measure(docs, longest)
+    measured = measure(docs)
     return judged(measured, above_limit(measured, docs_limit, share), words_left, share_left)
 
 
@@ -152,7 +150,7 @@ def strip(text: bytes, gone: set[int]) -> bytes:
     return b"\n".join(x for x in text.split(b"\n") if line_hash(normal(x)) not in gone)
 
 
-def _clean(batches, sent, names: list[str], longest: int, words_left: int, share_left: float):
+def _clean(batches, sent, names: list[str], words_left: int, share_left: float):
     gone = sent.value
     at = {n: names.index(n) for n in ("text", "source", "n_chars") if n in names}
     for batch in batches:
@@ -166,7 +164,7 @@ def _clean(batches, sent, names: list[str], longest: int, words_left: int, share
                 if base_failed(len(own), repeat_words(own)):
                     continue
                 lines = gone.get(hosts[a + d])
-                facts = line_facts(items[a + d], longest)[1] if lines else {}
+                facts = line_facts(items[a + d])[1] if lines else {}
                 hit = lines.intersection(facts) if lines else set()
                 if not depleted(len(own), sum(facts[x] for x in hit), words_left, share_left):
                     keep[a + d] = True
@@ -182,13 +180,13 @@ def _clean(batches, sent, names: list[str], longest: int, words_left: int, share
         yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
 
-def clean(docs: DataFrame, docs_limit: int = DOCS, share: float = SHARE, longest: int = LONGEST, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
+def clean(docs: DataFrame, docs_limit: int = DOCS, share: float = SHARE, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
     """The documents that pass, without the lines above the limit; all columns stay, ``n_chars`` follows the text.
 
     Up to BROADCAST_LINES lines above the limit are sent to the tasks, and one pass over
     the documents judges and cleans them without a join; more are joined.
     """
-    measured = measure(docs, longest)
+    measured = measure(docs)
     limited = common.written(above_limit(measured, docs_limit, share), "limited")
     if limited.count() <= BROADCAST_LINES:
         gone: dict = {}
@@ -196,7 +194,7 @@ def clean(docs: DataFrame, docs_limit: int = DOCS, share: float = SHARE, longest
             gone.setdefault(r["f_host"], set()).add(r["f_line"])
         sent = docs.sparkSession.sparkContext.broadcast(gone)
         plain = docs.withColumns({"text": F.col("text").cast("string"), "source": F.col("source").cast("string")})
-        return plain.mapInArrow(partial(_clean, sent=sent, names=plain.columns, longest=longest, words_left=words_left, share_left=share_left), plain.schema)
+        return plain.mapInArrow(partial(_clean, sent=sent, names=plain.columns, words_left=words_left, share_left=share_left), plain.schema)
     x = common.fresh(docs, "judged_")
     verdict = judged(measured, limited, words_left, share_left).where("kept").select(F.col("doc_id").alias(f"{x}id"), F.col("content").alias(f"{x}content"), F.col("host").alias(f"{x}host"), F.col("removed").alias(f"{x}gone")).dropDuplicates([f"{x}id", f"{x}content", f"{x}host"])
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{x}id")) & F.col("source").eqNullSafe(F.col(f"{x}host")) & (F.xxhash64(F.col("text").cast("string")) == F.col(f"{x}content"))

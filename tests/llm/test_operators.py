@@ -470,3 +470,16 @@ def test_quality(spark, corpus, monkeypatch):
     monkeypatch.setattr(quality, "BROADCAST_LINES", -1)
     assert {r["doc_id"]: r["text"] for r in quality.clean(documents(spark, rows), docs_limit=20).collect()} == cleaned
     assert quality.assess(empty(spark)).collect() == [] and quality.clean(empty(spark)).collect() == []
+
+
+def test_quality_long_lines(spark, monkeypatch):
+    """A line of 60 words above the limit counts, goes and depletes as a short one does."""
+    passage = " ".join(f"passage{k}" for k in range(60))
+    own = lambda i: " ".join(f"own{i}_{k}" for k in range(60))
+    rows = [(i, f"{own(i)}\n{passage if i % 2 else passage.upper()}", "hot") for i in range(30)] + [(100, passage, "hot"), (101, f"{own(101)}\n{passage}", "cold")]
+    got = {r["doc_id"]: (r["words_removed"], r["kept"]) for r in quality.assess(documents(spark, rows)).collect()}
+    assert got == {i: (60, True) for i in range(30)} | {100: (60, False), 101: (0, True)}
+    want = {i: own(i) for i in range(30)} | {101: rows[31][1]}
+    for lines in (quality.BROADCAST_LINES, -1):
+        monkeypatch.setattr(quality, "BROADCAST_LINES", lines)
+        assert {r["doc_id"]: r["text"] for r in quality.clean(documents(spark, rows)).collect()} == want
