@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, STRIDE, HIDDEN = 32, 24, 8
+WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORDS, WORD_DIM, GRAMS, GRAM_DIM = 1 << 13, 8, 1 << 14, 12
 #: Every ^word$ has a 2-gram, so no word is without grams.
 GRAM_SIZES = (2, 3, 4, 5)
 SHARPNESS = 4.0
 #: Most labelled documents of each class that training reads.
-PER_CLASS = 800
+PER_CLASS = 1200
 EPOCHS = 6
 EMBEDDING_RATE, DECAY, DROPOUT = 2.0, 0.2, 0.5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -55,22 +55,26 @@ def word_slot(word: str) -> int:
 
 def gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of ``^word$`` for all words in a row, and the number of each word's."""
-    joined = np.frombuffer("".join(f"^{w.strip(_STRIP)}$" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
-    length = np.fromiter((len(w.strip(_STRIP)) + 2 for w in words), np.int64, len(words))
+    marked = [f"^{w.strip(_STRIP)}$" for w in words]
+    joined = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+    length = np.fromiter(map(len, marked), np.int64, len(marked))
     word = np.repeat(np.arange(len(words)), length)
-    slots, owner = [], []
-    for n in GRAM_SIZES:
+    own = [np.maximum(length - n + 1, 0) for n in GRAM_SIZES]
+    counts = sum(own)
+    # a word's n-grams lie together, sizes in order: place of its first of this size, less what precedes it in a size's list
+    to = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.int64)
+    for n, many in zip(GRAM_SIZES, own, strict=True):
         if len(joined) >= n:
             h = np.full(len(joined) - n + 1, n, np.uint64)
             for i in range(n):
                 h = (h ^ joined[i : len(joined) - n + 1 + i]) * np.uint64(0x100000001B3)
                 h ^= h >> np.uint64(29)
             inside = word[: len(h)] == word[n - 1 :]
-            slots.append((h[inside] % np.uint64(GRAMS)).astype(np.int64))
-            owner.append(word[: len(h)][inside])
-    slots, owner = np.concatenate(slots), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return slots[order], np.bincount(owner, minlength=len(words))
+            place = np.repeat(to - (np.cumsum(many) - many), many)
+            out[place + np.arange(len(place))] = h[inside] % np.uint64(GRAMS)
+        to += many
+    return out, counts
 
 
 def window_rows(n: int) -> np.ndarray:
@@ -140,6 +144,40 @@ class Network:
             keep |= {"states": states, "a": a, "pooled": pooled}
         return pooled @ self.p["out"] + self.p["bias"][0]
 
+    def logits(self, gates: np.ndarray, rows: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+        """As ``run``, without training's records and with a state's units as rows, so that every step is on whole arrays."""
+        n, t = rows.shape
+        h = HIDDEN
+        states = np.empty((t, 2 * h, n), np.float32)
+        for side, (first, order) in enumerate(((0, range(t)), (3 * h, range(t - 1, -1, -1)))):
+            u = np.ascontiguousarray(self.p["uf" if side == 0 else "ub"].T)
+            own = np.ascontiguousarray(gates[:, first : first + 3 * h])
+            state, s = np.zeros((h, n), np.float32), np.empty((3 * h, n), np.float32)
+            for k in order:
+                g = np.ascontiguousarray(own[rows[:, k]].T)
+                np.matmul(u, state, out=s)
+                zr = g[: 2 * h]
+                zr += s[: 2 * h]
+                zr *= 0.5
+                np.tanh(zr, out=zr)
+                zr *= 0.5
+                zr += 0.5
+                new = s[2 * h :]
+                new *= zr[h:]
+                new += g[2 * h :]
+                np.tanh(new, out=new)
+                after = state - new
+                after *= zr[:h]
+                after += new
+                state = after if mask is None else np.where(mask[:, k] > 0, after, state)
+                states[k, side * h : (side + 1) * h] = state
+        e = np.matmul(self.p["attend"], states)
+        if mask is not None:
+            e = np.where(mask.T > 0, e, np.float32(-1e9))
+        a = np.exp(e - e.max(0))
+        a /= a.sum(0)
+        return (a * np.matmul(self.p["out"], states)).sum(0) + self.p["bias"][0]
+
     def backward(self, d_logit: np.ndarray, rows: np.ndarray, mask: np.ndarray, keep: dict, n_words: int) -> tuple[dict, np.ndarray]:
         """Gradients of the parameters, and of the distinct words' gate inputs."""
         h, t = HIDDEN, rows.shape[1]
@@ -321,16 +359,16 @@ class Scorer:
         doc = np.repeat(np.arange(len(items)), count)
         start = np.concatenate([w + first[d] for d, w in enumerate(windows)]) if len(doc) else np.empty(0, np.int64)
         short = np.diff(first)[doc] < WINDOW
-        logits = np.empty(len(doc), np.float32)
+        logits, gates = np.empty(len(doc), np.float32), self.gates[: len(self.index)]
         for rows, padded in ((np.flatnonzero(~short), False), (np.flatnonzero(short), True)):
             for k in range(0, len(rows), 2048):
                 r = rows[k : k + 2048]
                 place = start[r][:, None] + np.arange(WINDOW)[None, :]
                 if padded:
                     end = first[doc[r] + 1][:, None]
-                    logits[r] = self.net.run(self.gates, ids[np.minimum(place, end - 1)], (place < end).astype(np.float32))
+                    logits[r] = self.net.logits(gates, ids[np.minimum(place, end - 1)], place < end)
                 else:
-                    logits[r] = self.net.run(self.gates, ids[place], None)
+                    logits[r] = self.net.logits(gates, ids[place], None)
         out = np.zeros(len(items))
         for d in np.flatnonzero(count).tolist():
             s = pooled_logit(logits[edge[d] : edge[d + 1]].astype(float))[0]

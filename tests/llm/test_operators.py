@@ -200,6 +200,29 @@ def test_gradients():
         assert (up - down) / (2 * e) == pytest.approx(float(g[name][at]), rel=0.08, abs=2e-3), name
 
 
+def test_windows_share_half():
+    """Every span of 17 words lies whole in one window, wherever it begins."""
+    for n in (33, 48, 49, 200, 1001):
+        at = toxicity.window_rows(n)
+        assert all(any(a <= k and k + 17 <= a + toxicity.WINDOW for a in at) for k in range(n - 16))
+    assert toxicity.PER_CLASS >= 1200
+
+
+def test_scoring_pass_equals_training_pass():
+    r = np.random.default_rng(6)
+    net, gates = toxicity.Network(2), r.standard_normal((50, 6 * toxicity.HIDDEN)).astype(np.float32)
+    rows = r.integers(0, 50, (9, toxicity.WINDOW))
+    mask = np.arange(toxicity.WINDOW)[None] < r.integers(1, toxicity.WINDOW + 1, 9)[:, None]
+    assert np.allclose(net.logits(gates, rows, None), net.run(gates, rows, None), atol=1e-5)
+    assert np.allclose(net.logits(gates, rows, mask), net.run(gates, rows, mask.astype(np.float32)), atol=1e-5)
+
+
+def test_gram_slots_by_word():
+    words = ["abc", "(de)", "", "!", "fghij", "é", "abc"]
+    grams, counts = toxicity.gram_slots(words)
+    alone = [toxicity.gram_slots([w]) for w in words]
+    assert list(counts) == [len(g) for g, _ in alone] and list(grams) == [x for g, _ in alone for x in g]
+
 # --- 3: archives ----------------------------------------------------------------
 
 
