@@ -37,13 +37,13 @@ gpl-3.0 | 84 | gpl | gplv3
 gpl | 70 | gpl | licensed under (?:the )?(?:gnu )?gpl
 gpl | 70 | gpl | under the terms of the (?:gnu )?gpl
 gpl | 78 | gnu | under the terms of the gnu general public license
-gpl | 76 | copying gnu | you should have received a copy of the gnu general public license
+gpl | 76 | received gnu | you should have received a copy of the gnu general public license
 gpl-classpath | 88 | classpath | (?:gnu )?classpath exception
 gpl-autoconf | 88 | autoconf | autoconf(?: configure)? exception
 gpl-bison | 88 | bison | bison exception
 gpl-gcc | 88 | runtime gcc | gcc runtime library exception
 gpl-font | 86 | font exception | gpl (?:with )?font exception
-gpl-url | 72 | gnu licenses | (?:www )?gnu org (?:licenses|copyleft) gpl(?: [0-9]+ [0-9])?(?: html| txt| en html)?
+gpl-url | 72 | gnu gpl | (?:www )?gnu org (?:licenses|copyleft) gpl(?: [0-9]+ [0-9])?(?: html| txt| en html)?
 lgpl-url | 72 | gnu lgpl | (?:www )?gnu org (?:licenses|copyleft) (?:old licenses )?lgpl(?: [0-9]+ [0-9])?(?: html| txt)?
 agpl-url | 72 | gnu agpl | (?:www )?gnu org licenses agpl(?: [0-9]+ [0-9])?(?: html| txt)?
 gfdl-1.3 | 92 | documentation gnu | gnu free documentation license (?:version|v) 1 3
@@ -59,7 +59,7 @@ apache-1.1 | 88 | apache | apache (?:software )?license (?:version )?1 1
 apache-1.0 | 88 | apache | apache (?:software )?license (?:version )?1 0
 apache | 72 | apache | apache software license
 apache-2.0-url | 80 | apache licenses | (?:www )?apache org licenses license 2 0(?: txt| html)?
-apache | 66 | apache | asl 2 0
+apache | 66 | asl | asl 2 0
 apache-llvm | 88 | llvm apache | apache(?: license)? 2 0 with llvm exceptions?
 mit | 92 | permission charge | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit | 85 | mit licen | released under the mit licen[cs]e
@@ -72,7 +72,7 @@ mit-0 | 90 | mit attribution | mit no attribution
 mit-0 | 88 | mit licen | mit 0 licen[cs]e
 mit-modern | 84 | mit modern | mit license modern variant
 mit-x11 | 84 | x11 | (?:mit )?x11 licen[cs]e
-x11-distribute | 86 | x11 consortium | x consortium license
+x11-distribute | 86 | consortium | x consortium license
 expat | 86 | expat | expat licen[cs]e
 mit-notice | 74 | notice substantial | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
 mit-warranty | 62 | warranty fitness | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
@@ -82,7 +82,8 @@ isc | 84 | isc | isc licen[cs]e
 0bsd | 84 | 0bsd | 0bsd
 bsd-4-clause | 90 | bsd | (?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)(?: licen[cs]e)?
 bsd-3-clause | 90 | bsd | (?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?
-bsd-2-clause | 90 | bsd | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: licen[cs]e)
+bsd-2-clause | 90 | bsd | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)(?: licen[cs]e)
+bsd-2-clause | 90 | freebsd | freebsd licen[cs]e
 bsd-1-clause | 90 | bsd | (?:bsd 1 clause|1 clause bsd)(?: licen[cs]e)?
 bsd-2-patent | 92 | bsd patent | bsd 2 clause plus patent(?: licen[cs]e)?
 bsd-3-clear | 92 | bsd clear | bsd 3 clause clear(?: licen[cs]e)?
@@ -94,7 +95,7 @@ bsd-source-clause | 66 | redistributions retain | redistributions of source code
 bsd-binary-clause | 66 | redistributions reproduce | redistributions in binary form must reproduce the above copyright notice
 bsd-endorse-clause | 66 | endorse promote | neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products
 bsd-advert-clause | 66 | advertising acknowledgement | all advertising materials mentioning features or use of this software must display the following acknowledgement
-bsd-warranty | 60 | warranty holders | this software is provided by the copyright holders and contributors as is
+bsd-warranty | 60 | contributors holders | this software is provided by the copyright holders and contributors as is
 bsd-protection | 86 | bsd protection | bsd protection licen[cs]e
 bsd-open-mpi | 86 | open mpi | open mpi licen[cs]e
 mpl-2.0 | 92 | mozilla | (?:terms of the )?mozilla public license (?:version |v )?2(?: 0)?
@@ -129,7 +130,8 @@ cecill-2.1 | 90 | cecill | cecill (?:version |v )?2 1
 cecill-2.0 | 90 | cecill | cecill (?:version |v )?2 0
 cecill-b | 90 | cecill | cecill b(?: licen[cs]e)?
 cecill-c | 90 | cecill | cecill c(?: licen[cs]e)?
-cecill | 78 | cecill | (?:ce|la licence )?cecill
+cecill | 78 | cecill | (?:la licence )?cecill
+cecill | 78 | cececill | cececill
 artistic-2.0 | 90 | artistic | artistic license (?:version )?2 0
 artistic-1.0 | 90 | artistic | artistic license (?:version )?1 0
 artistic | 78 | artistic | (?:the |perl )artistic license
@@ -246,8 +248,9 @@ proprietary | 70 | proprietary | (?:proprietary and confidential|confidential an
 proprietary | 70 | unauthorized copying | unauthorized copying of this file via any medium is strictly prohibited
 all-rights-reserved | 55 | rights reserved | all rights reserved
 eula | 70 | end user | end user licen[cs]e agreement
-openrail | 86 | openrail | (?:creativeml |bigscience )?open ?rail(?: m| s)?(?: licen[cs]e)?
-rail | 82 | rail | responsible ai licen[cs]e
+openrail | 86 | openrail | (?:creativeml |bigscience )?openrail(?: m| s)?(?: licen[cs]e)?
+openrail | 86 | open rail | (?:creativeml |bigscience )?open rail(?: m| s)?(?: licen[cs]e)?
+rail | 82 | responsible ai | responsible ai licen[cs]e
 llama-community | 86 | llama | llama [0-9](?: [0-9])? community license(?: agreement)?
 gemma-terms | 84 | gemma | gemma terms of use
 dual-mit-apache | 93 | mit apache | (?:mit or apache 2 0|apache 2 0 or mit)
@@ -262,7 +265,7 @@ ntp | 84 | ntp | ntp licen[cs]e
 nasa-1.3 | 86 | nasa | nasa open source agreement(?: (?:version )?1 3)?
 nist-pd | 84 | nist | nist (?:public domain notice|software licen[cs]e)
 json | 84 | evil | the software shall be used for good not evil
-jsr | 80 | jcp | jsr [0-9]+ specification license
+jsr | 80 | jsr | jsr [0-9]+ specification license
 fair | 82 | fair | fair license
 hippocratic | 86 | hippocratic | hippocratic license(?: [0-9] [0-9])?
 ncgl-uk | 86 | government | non commercial government licen[cs]e
@@ -274,7 +277,7 @@ realnetworks | 84 | realnetworks | realnetworks public source license
 sugarcrm | 84 | sugarcrm | sugarcrm public license
 vovida | 84 | vovida | vovida software license
 watcom | 84 | watcom | sybase open watcom public license
-xnet | 84 | xnet | x net license
+xnet | 84 | net license | x net license
 entessa | 84 | entessa | entessa public license
 eiffel-forum-2 | 86 | eiffel | eiffel forum license(?: version)?(?: 2)?
 frameworx | 84 | frameworx | frameworx open license

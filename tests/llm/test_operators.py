@@ -302,6 +302,41 @@ def test_licenses(spark):
     assert len(licenses.rules()) > 200 and licenses.scan_licenses(empty(spark)).collect() == []
 
 
+def matches(tree):
+    """Texts that a parsed regex matches: every alternation, and each repeat at its least number and one more."""
+    out = [""]
+    for op, x in tree:
+        match str(op):
+            case "LITERAL":
+                own = [chr(x)]
+            case "ANY":
+                own = ["a"]
+            case "IN":
+                own = [chr(v if str(kind) == "LITERAL" else v[0]) for kind, v in x]
+            case "SUBPATTERN":
+                own = matches(x[3])
+            case "BRANCH":
+                own = [m for b in x[1] for m in matches(b)]
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                own = [m * n for n in range(x[0], min(x[0] + 1, x[1]) + 1) for m in matches(x[2])]
+            case "ASSERT_NOT":
+                own = [""]
+        out = [a + b for a in out for b in dict.fromkeys(own)]
+    return out
+
+
+def test_license_keywords_are_in_every_match():
+    for r in licenses.rules():
+        for text in matches(re._parser.parse(r.regex.pattern)):
+            assert r.regex.fullmatch(text), (r.label, text)
+            assert r in licenses.candidates(text), (r.label, text)
+
+
+def test_licenses_without_former_keywords(spark):
+    texts = {"X Consortium License": "x11-distribute", "responsible AI license": "rail", "JSR-175 specification license": "jsr", "ASL 2.0": "apache", "open rail license": "openrail", "gnu.org/copyleft/gpl": "gpl-url", "You should have received a copy of the GNU General Public License": "gpl", "This software is provided by the copyright holders and contributors as is and any express or implied warranties": "bsd-warranty", "FreeBSD license": "bsd-2-clause", "X.Net license": "xnet"}
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert all(label in got[i] for i, label in enumerate(texts.values())), got
+
 # --- 5: vectors -----------------------------------------------------------------
 
 
