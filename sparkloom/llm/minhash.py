@@ -38,8 +38,8 @@ from .components import UnionFind, components
 from .textcore import U64, Chunk, mix, shingle_set
 
 BANDS, ROWS = 42, 6
-#: Signature agreement below similarity minus this margin (almost 5 standard errors) is not verified.
-MARGIN = 0.12
+#: Signature agreement below similarity minus this margin (almost 8 standard errors) is not verified.
+MARGIN = 0.2
 #: Rounds of one pair a document before the rest is compared in full.
 ROUNDS = 3
 #: Ids up to this count are broadcast to pick rows from the large tables; more are joined.

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -417,6 +418,14 @@ def test_minhash_dense_group(spark):
     assert got == {i: c for i, _, c in brute_documents(rows, 1, 80)}
 
 
+def test_block_compares_low_agreement():
+    """A pair at similarity 0.8 whose signatures agree in 0.62 of the slots only is still compared exactly."""
+    p = np.arange(9, dtype=np.uint64)
+    same = int(0.62 * 252) + 1
+    sketches = [bytes(252), bytes(same) + b"\x01" * (252 - same)]
+    frame = pd.DataFrame({"part": [1, 2], "own": [0, 0], "rep": [1, 2], "n": [9, 9], "sketch": sketches, "items": [p.tobytes(), (p + (p == 8)).astype("<u8").tobytes()]})
+    assert minhash._block((0, 0, 0), frame, 80).values.tolist() == [[1, 2]]
+
 def test_superminhash():
     r = np.random.default_rng(3)
     hashes = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64)
