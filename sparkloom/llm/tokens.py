@@ -5,7 +5,11 @@ of a text are the ids of its words, cut at ASCII white space, in turn. Each dist
 word is encoded once by the tokenizers library and then looked up. To have fewer
 distinct words, texts are lower-cased first, as the vocabulary's normalizer does
 itself, and ASCII punctuation between a letter and white space is set apart, where the
-pre-tokenizer cuts anyway.
+pre-tokenizer cuts anyway. The normalizer composes (NFC) before it lower-cases, so a
+text is lower-cased first only if it and its lower-cased form are composed already.
+
+Nulls are the caller's: it passes an empty text, which has no ids. Equal texts have equal ids,
+and a text of any length is coded whole.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import os
 import re
 import sys
 from itertools import repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +38,17 @@ def default_path() -> str:
 
 
 def apart(text: str) -> str:
-    """A text with the same ids and fewer distinct words; the final sigma depends on context, so it is left alone."""
-    return _TAIL.sub(r" \g<0>", text.lower()) if "\u03a3" not in text and "<|" not in text else text
+    """A text with the same ids and fewer distinct words.
+
+    The final sigma depends on context, so texts with one are left alone, and so are those whose
+    composed form depends on whether they are lower-cased before or after.
+    """
+    if "\u03a3" in text or "<|" in text:
+        return text
+    low = text.lower()
+    if not text.isascii() and not (is_normalized("NFC", text) and is_normalized("NFC", low)):
+        return text
+    return _TAIL.sub(r" \g<0>", low)
 
 
 class WordMemo:

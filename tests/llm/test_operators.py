@@ -86,6 +86,24 @@ def test_word_memo_is_exact(corpus):
                 assert list(ids[at[k] : at[k + 1]]) == memo.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def odd_texts(n, seed):
+    """Short texts over all code points, marks and characters with odd case or composition drawn often."""
+    r = np.random.default_rng(seed)
+    marks = [*range(0x300, 0x370), 0x130, 0x131, 0x49, 0x69, 0x4B, 0x212A, 0x3A3, 0x3C2, 0x1E9E, 0xC5, 0x212B, 0x2126, 0x344, 0x1100, 0x1161, 0xAC00, 0xFB01, 0xA0, 0x85, 0x3000, 0x1F80]
+    for _ in range(n):
+        kind = r.integers(0, 4, int(r.integers(1, 9)))
+        points = [int(r.integers(1, 0x110000)) if k == 0 else int(r.choice(marks)) if k == 1 else int(r.integers(32, 127)) if k == 2 else int(r.choice([32, 10, 46, 39, 0x49])) for k in kind]
+        yield "".join(chr(c) for c in points if not 0xD800 <= c < 0xE000)
+
+
+def test_word_memo_on_all_code_points():
+    memo = tokens.WordMemo(tokens.default_path())
+    items = [*odd_texts(30_000, 11), "\u0130\u0326", "I\u0307\u0326", "x I\u0326\u0307. y"]
+    ids, at = memo.ids(items)
+    want = memo.tokenizer.encode_batch_fast(items, add_special_tokens=False)
+    assert [t for k, t in enumerate(items) if list(ids[at[k] : at[k + 1]]) != want[k].ids] == []
+
+
 def test_packing(spark, corpus):
     rows = packing.pack(frame(spark, corpus), tokens.default_path()).collect()
     want = Counter()
