@@ -13,10 +13,12 @@ rows. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,27 +75,56 @@ def normal(text: bytes) -> str:
     return b" ".join(WORD.findall(text.lower())).decode()
 
 
+class Intervals:
+    """Intervals that tell whether one of them holds another: only those not inside another are kept, by start and so by end."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def hold(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start) - 1
+        return i >= 0 and self.ends[i] >= end
+
+    def add(self, start: int, end: int) -> None:
+        """An interval that none of them holds; those that it holds go."""
+        i = bisect_right(self.starts, start)
+        if i and self.starts[i - 1] == start:
+            i -= 1
+        j = bisect_right(self.ends, end)
+        self.starts[i:j], self.ends[i:j] = [start], [end]
+
+
+def words_before(text: str, at: list[int]) -> list[int]:
+    """Number of blanks before each place of a normalised text."""
+    blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
+    return np.searchsorted(blanks, at).tolist()
+
+
 def scan(text: str, among: list[Rule]) -> list[tuple[str, int, int, int]]:
     """Detections (label, first word, word after the last, rule) of a normalised text, overlaps resolved, in text order."""
     found = [(-r.priority, m.start() - m.end(), r.order, m.start(), m.end(), r) for r in among for m in r.regex.finditer(text)]
     found.sort(key=lambda x: x[:4])
-    taken: list[tuple[int, int, Rule]] = []
+    held, taken = Intervals(), []
     for *_, start, end, r in found:
-        if not any(s <= start and end <= e for s, e, _ in taken):
+        if not held.hold(start, end):
+            held.add(start, end)
             taken.append((start, end, r))
-    return [(r.label, text.count(" ", 0, s), text.count(" ", 0, e) + 1, r.order) for s, e, r in sorted(taken, key=lambda x: (x[0], x[1]))]
+    taken.sort(key=lambda x: (x[0], x[1]))
+    first, last = (words_before(text, [x[k] for x in taken]) if taken else [] for k in (0, 1))
+    return [(r.label, i, j + 1, r.order) for (_, _, r), i, j in zip(taken, first, last, strict=True)]
 
 
 def base_places(text: str) -> tuple[list[int], set[str]]:
     """Word index of every place of a base phrase, and the phrases' labels."""
-    padded, places, labels = f" {text} ", [], set()
+    padded, found, labels = f" {text} ", [], set()
     for phrase, label in BASE.items():
         at = padded.find(needle := f" {phrase} ")
         while at >= 0:
-            places.append(padded.count(" ", 0, at))
+            found.append(at)
             labels.add(label)
             at = padded.find(needle, at + 1)
-    return places, labels
+    return words_before(padded, found) if found else [], labels
 
 
 def _scan(batches):

@@ -351,11 +351,34 @@ def test_license_keywords_are_in_every_match():
             assert r in licenses.candidates(text), (r.label, text)
 
 
+def test_license_intervals():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        held, taken = licenses.Intervals(), []
+        for _ in range(30):
+            a = int(r.integers(0, 30))
+            b = a + int(r.integers(1, 12))
+            inside = any(s <= a and b <= e for s, e in taken)
+            assert held.hold(a, b) == inside
+            if not inside:
+                held.add(a, b)
+                taken.append((a, b))
+
+
+def test_licenses_in_a_very_long_text():
+    text = "mit license " * 170_000
+    places, labels = licenses.base_places(text[:-1])
+    assert places == list(range(0, 340_000, 2)) and labels == {"mit"}
+    found = licenses.scan(text[:-1], licenses.candidates(text))
+    assert [x[1:3] for x in found] == [(k, k + 2) for k in range(0, 340_000, 2)]
+
+
 def test_licenses_without_former_keywords(spark):
     texts = {"X Consortium License": "x11-distribute", "responsible AI license": "rail", "JSR-175 specification license": "jsr", "ASL 2.0": "apache", "open rail license": "openrail", "gnu.org/copyleft/gpl": "gpl-url", "You should have received a copy of the GNU General Public License": "gpl", "This software is provided by the copyright holders and contributors as is and any express or implied warranties": "bsd-warranty", "FreeBSD license": "bsd-2-clause", "X.Net license": "xnet"}
     got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
     assert all(label in got[i] for i, label in enumerate(texts.values())), got
 
+
 # --- 5: vectors -----------------------------------------------------------------
 
 
