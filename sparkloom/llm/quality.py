@@ -2,9 +2,9 @@
 
 Every line is normalised (A-Z lower-cased, runs of white space made one space) and
 hashed. For each host the distinct documents that hold a line are counted;
-documents with equal texts count once, so plain copies do not turn their own
-lines into boilerplate. A line of any length in more than
-``max(docs, share * documents of the host)`` documents is above the limit. It is
+documents with equal texts are one, so plain copies do not turn their own
+lines into boilerplate. A line of any length in more than ``docs_limit`` distinct
+documents of its host is above the limit, whatever the host's size. It is
 removed, and a document is rejected as depleted when what is left of it has fewer
 than ``words_left`` words or a smaller share than ``share_left``.
 
@@ -33,7 +33,7 @@ from .textcore import Chunk, table_of, windows
 
 SYMBOLS = table_of(b"#*$%&|<>")
 MEASURES = "row long, doc_id long, host string, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
-DOCS, SHARE, WORDS_LEFT, SHARE_LEFT = 20, 0.001, 20, 0.3
+DOCS, WORDS_LEFT, SHARE_LEFT = 20, 20, 0.3
 #: Lines above the limit that are broadcast (some megabytes); beyond, documents are joined with their verdicts.
 BROADCAST_LINES = 200_000
 
@@ -114,11 +114,11 @@ def line_rows(measured: DataFrame) -> DataFrame:
     return measured.select("row", "host", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", "content", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
 
 
-def above_limit(measured: DataFrame, docs_limit: int = DOCS, share: float = SHARE) -> DataFrame:
+def above_limit(measured: DataFrame, docs_limit: int = DOCS) -> DataFrame:
     """(f_host, f_line) of the lines in too many distinct documents of their host."""
-    found = line_rows(measured).groupBy("host", "line", "content").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > docs_limit)
-    sizes = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    return found.join(sizes, found["host"].eqNullSafe(sizes["host"])).where(F.col("docs") > F.col("host_docs") * share).select(found["host"].alias("f_host"), F.col("line").alias("f_line"))
+    held = line_rows(measured).select("host", "line", "content").distinct()
+    found = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > docs_limit)
+    return found.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
 
 
 def base_failed(n_words, n_repeat_words):
@@ -140,10 +140,10 @@ def judged(measured: DataFrame, limited: DataFrame, words_left: int, share_left:
     return out.withColumns({"words_removed": gone, "base_failed": failed, "kept": ~failed & ~depleted(F.col("n_words"), gone, words_left, share_left)}).drop("r_row", "row")
 
 
-def assess(docs: DataFrame, docs_limit: int = DOCS, share: float = SHARE, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
+def assess(docs: DataFrame, docs_limit: int = DOCS, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
     """Measures, base_failed, words_removed, removed (hashes of the lines above the limit) and kept, a row per document."""
     measured = measure(docs)
-    return judged(measured, above_limit(measured, docs_limit, share), words_left, share_left)
+    return judged(measured, above_limit(measured, docs_limit), words_left, share_left)
 
 
 def strip(text: bytes, gone: set[int]) -> bytes:
@@ -180,14 +180,14 @@ def _clean(batches, sent, names: list[str], words_left: int, share_left: float):
         yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
 
-def clean(docs: DataFrame, docs_limit: int = DOCS, share: float = SHARE, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
+def clean(docs: DataFrame, docs_limit: int = DOCS, words_left: int = WORDS_LEFT, share_left: float = SHARE_LEFT) -> DataFrame:
     """The documents that pass, without the lines above the limit; all columns stay, ``n_chars`` follows the text.
 
     Up to BROADCAST_LINES lines above the limit are sent to the tasks, and one pass over
     the documents judges and cleans them without a join; more are joined.
     """
     measured = measure(docs)
-    limited = common.written(above_limit(measured, docs_limit, share), "limited")
+    limited = common.written(above_limit(measured, docs_limit), "limited")
     if limited.count() <= BROADCAST_LINES:
         gone: dict = {}
         for r in limited.collect():

@@ -84,14 +84,14 @@ WITH d AS MATERIALIZED (
 ), rep AS (
     SELECT rid, count(DISTINCT p + k) AS n_repeat_words FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, x) AS c FROM tri), (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY rid
 ), l AS MATERIALIZED (
-    SELECT rid, source, text, line, lower(array_to_string(lw, ' ')) AS norm, len(lw) AS words FROM (
+    SELECT rid, source, text, line, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, len(lw) AS words FROM (
         SELECT rid, source, text, line, regexp_extract_all(line, '[^ \t\n\x0B\f\r]+') AS lw FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d)
     ) WHERE len(lw) > 0
 ), dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
 gone AS (
     SELECT l.rid, sum(words) AS words_removed FROM l JOIN (
-        SELECT source, norm FROM (SELECT source, norm, count(DISTINCT text) AS c FROM l WHERE words <= 24 GROUP BY ALL) JOIN (SELECT source, count(*) AS h FROM d GROUP BY source) USING (source) WHERE c > 20 AND c > 0.001 * h
-    ) USING (source, norm) GROUP BY l.rid
+        SELECT source, norm FROM l GROUP BY ALL HAVING count(DISTINCT text) > 20
+    ) often ON l.source IS NOT DISTINCT FROM often.source AND l.norm = often.norm GROUP BY l.rid
 ), f AS (
     SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(words_removed, 0) AS BIGINT) AS words_removed
     FROM m LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid)
