@@ -5,22 +5,25 @@
    step + fraction into the slot it reaches; a slot keeps its minimum (Ertl,
    2017). Values of step j are below those of step j + 1, so drawing stops as soon as
    every slot is filled: for most documents after one or two steps.
-2. Documents with equal shingle sets form a class; its smallest id stands for it.
+2. Every row has a number of its own. Rows with equal shingle sets form a class; its smallest
+   number stands for it.
 3. Slots are banded; representatives that share a band meet in a bucket. In each of
    a few rounds a bucket has one hub (first the document that meets most others), and every document that meets hubs of other
    components is compared with one of them: one pair a document. Set sizes and
    whole-signature agreement sift the pairs, full sets decide, links merge components.
-4. Documents in buckets that are still not of one component are compared in full, within
-   the clusters that these buckets connect, block by block; only links leave a task. Most near
-   copies are one component by then, and no pair is ever a row.
+4. Documents in buckets that are still not of one component are compared in full. Buckets are cut
+   into blocks, whose signatures alone are compared first; a spanning forest of the pairs
+   that may be similar leaves a task. The forests' components are compared with full
+   sets, block by block, and only links leave. Most near copies are one component by then, and
+   no pair is ever a row.
 5. Components of the verified links give the groups.
 
 The only loss is a pair that shares no band: with 42 bands of 6 slots that is
 3e-6 of the pairs at similarity 0.8 exactly, and less above.
 
-Nulls and empty texts: no shingles, linked with nothing. Repeated rows follow
-their text. Rows with a null id take part, but cannot name a group. An empty
-table gives no rows. Other columns are ignored.
+Nulls and empty texts: no shingles, linked with nothing. Repeated rows, and rows that share an
+id but not a text, are rows of their own. Rows with a null id take part, but cannot name a
+group. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +52,7 @@ BROADCAST_IDS = 200_000
 BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 24
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-SIGNATURES = "doc_id long, n long, set_a long, set_b long, bands array<long>, sketch binary"
+SIGNATURES = "row long, doc_id long, content long, n long, set_a long, set_b long, bands array<long>, sketch binary"
 
 
 def superminhash(elements: np.ndarray, slots: int) -> np.ndarray:
@@ -92,25 +96,27 @@ def sets_of(items: list[bytes], k: int):
 
 
 def _sign(batches, k: int, bands: int, rows: int):
+    row = TaskContext.get().partitionId() << 33
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, s in zip(batch.column(0).to_pylist(), sets_of(common.texts(batch.column(1)), k), strict=True):
+        for doc_id, content, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(common.texts(batch.column(2)), k), strict=True):
             if len(s):
                 h = superminhash(s, bands * rows)
                 a, b = int(np.bitwise_xor.reduce(mix(s))), int(mix(s + U64(_GOLD)).sum(dtype=U64))
-                out.append((doc_id, len(s), a - (a >> 63 << 64), b - (b >> 63 << 64), band_keys(h, bands, rows), (mix(h) & U64(255)).astype(np.uint8).tobytes()))
+                out.append((row, doc_id, content, len(s), a - (a >> 63 << 64), b - (b >> 63 << 64), band_keys(h, bands, rows), (mix(h) & U64(255)).astype(np.uint8).tobytes()))
             else:
-                out.append((doc_id, 0, 0, 0, None, None))
+                out.append((row, doc_id, content, 0, 0, 0, None, None))
+            row += 1
         if out:
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n", "set_a", "set_b", "bands", "sketch"])
+            types = (*[pa.int64()] * 6, pa.list_(pa.int64()), pa.binary())
+            names = [x.split()[0] for x in SIGNATURES.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
 def _sets(batches, k: int):
     for batch in batches:
-        ids = batch.column(0).to_pylist()
         found = [s.tobytes() for s in sets_of(common.texts(batch.column(1)), k)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["node", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "items"])
 
 
 def _verify(batches, percent: int):
@@ -127,28 +133,79 @@ def _sift(batches, least: float):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
 
 
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
+class Block:
+    """Two blocks of a group of documents, or one block with itself: rows with their part, block, size and signature."""
+
+    def __init__(self, part: np.ndarray, own: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int):
+        self.part, self.own, self.n, self.sketch, self.percent = part, own, n, sketch, percent
+        self.between = len(own) > 0 and own.min() != own.max()
+        self.end = np.searchsorted(100 * n, 100 * n * 100 // percent + 1, "right")  # sizes up to n * 100 / percent
+
+    def near(self, i: int) -> list[int]:
+        """Rows after i (rows are in order of size) of another part, and of the other block if there are two, that may be similar to it."""
+        rows = np.arange(i + 1, self.end[i])
+        rows = rows[(self.part[rows] != self.part[i]) & ((self.own[rows] != self.own[i]) if self.between else True)]
+        if not len(rows):
+            return []
+        return rows[(self.sketch[rows] == self.sketch[i]).mean(1) >= self.percent / 100 - MARGIN].tolist()
+
+
 def _block(key, frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between the parts of two blocks of a cluster, or inside one."""
-    _, lo, hi = key
     frame = frame.sort_values(["n", "rep"], kind="stable")
-    n, part, own, rep = (frame[c].to_numpy() for c in ("n", "part", "own", "rep"))
-    sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
+    part, rep = frame["part"].to_numpy(), frame["rep"].to_numpy()
+    block = Block(part, frame["own"].to_numpy(), frame["n"].to_numpy(), _sketches(frame["sketch"]), percent)
     items = [np.frombuffer(x, U64) for x in frame["items"]]
     joined, out = UnionFind(), []
-    end = np.searchsorted(100 * n, 100 * n * 100 // percent + 1, "right")  # sizes up to n * 100 / percent
     for i in range(len(frame)):
-        rows = np.arange(i + 1, end[i])
-        rows = rows[(part[rows] != part[i]) & ((own[rows] != own[i]) if lo != hi else True)]
-        if not len(rows):
-            continue
-        rows = rows[(sketch[rows] == sketch[i]).mean(1) >= percent / 100 - MARGIN]
-        for j in rows.tolist():
+        for j in block.near(i):
             if joined.find(int(part[i])) != joined.find(int(part[j])) and similar(items[i], items[j], percent):
                 joined.union(int(part[i]), int(part[j]))
                 out.append((int(rep[i]), int(rep[j])))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _forest(batches, percent: int):
+    """Of rows in order of (key, lo, hi): a spanning forest of the pairs in each block that may be similar."""
+
+    def pairs(table: pa.Table):
+        if len(table) < 2:
+            return
+        table = table.sort_by([("n", "ascending"), ("rep", "ascending")])
+        rep = table["rep"].to_pylist()
+        block = Block(*(table[c].to_numpy() for c in ("part", "own", "n")), _sketches(table["sketch"].to_pylist()), percent)
+        joined = UnionFind()
+        for i in range(len(rep)):
+            for j in block.near(i):
+                if joined.find(i) != joined.find(j):
+                    joined.union(i, j)
+                    yield rep[i], rep[j]
+
+    def blocks():
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("key", "lo", "hi")]) if len(batch) else np.empty((3, 0), np.int64)
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                if held and len(part) and any(held[0].column(c)[0] != part.column(c)[0] for c in ("key", "lo", "hi")):
+                    yield pa.Table.from_batches(held)
+                    held = []
+                if len(part):
+                    held.append(part)
+        if held:
+            yield pa.Table.from_batches(held)
+
+    for table in blocks():
+        if found := list(pairs(table)):
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     """Exact similarity of two sorted sets of distinct hashes."""
     if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
@@ -158,10 +215,14 @@ def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(p) + len(q) - shared)
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def picked(table: DataFrame, on: str, ids: DataFrame) -> DataFrame:
     """Rows of a table whose ``on`` is among the ids (one distinct column, already written)."""
-    ids = ids.toDF(on)
-    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
+    return table.join(small(ids.toDF(on)), on, "left_semi")
 
 
 class Comparison:
@@ -183,26 +244,35 @@ class Comparison:
         full = near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
         return full.mapInArrow(partial(_verify, percent=self.percent), "a long, b long")
 
-
     def rest(self, members: DataFrame) -> DataFrame:
-        """Spanning links (a, b) between parts among documents that meet in some bucket, directly or through others.
+        """Spanning links (a, b) between parts among documents that share a bucket (key, rep, part).
 
-        Documents that buckets connect form a cluster. A cluster is cut into blocks of bounded
-        rows and bytes, and every pair of its blocks is compared in one task, by size, signature
-        and full sets; only links leave the task.
+        A bucket is cut into blocks of bounded rows and every two of them are compared by size and
+        signature; what may be similar makes clusters. A cluster is cut into blocks of bounded
+        rows and bytes, and every two of them are compared by full sets too.
         """
-        reps = common.written(members.select("rep", "part").distinct(), "reps")
-        lows = members.groupBy("key").agg(F.min("rep").alias("low"))
-        clusters = components(members.join(lows, "key").select("rep", "low").distinct())
-        ids = common.written(reps.select("rep"), "ids")
-        full = reps.join(clusters.toDF("rep", "cluster"), "rep").join(picked(self.sets, "node", ids).toDF("rep", "items"), "rep").join(picked(self.traits, "node", ids).toDF("rep", "n", "sketch"), "rep")
+        ids = common.written(members.select("rep").distinct(), "ids")
+        traits = common.written(picked(self.traits, "node", ids).toDF("rep", "n", "sketch"), "sketches")
+        blocks = common.written(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "sizes")
+        dealt = self.dealt(members.join(small(traits), "rep"), blocks, "key").select("key", "lo", "hi", "rep", "part", "own", "n", "sketch")
+        ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        near = common.written(ordered.mapInArrow(partial(_forest, percent=self.percent), "a long, b long"), "forest")
+
+        clusters = common.written(components(near).toDF("rep", "cluster"), "clusters")
+        ids = clusters.select("rep")
+        full = members.select("rep", "part").distinct().join(small(clusters), "rep").join(small(traits), "rep").join(picked(self.sets, "node", ids).toDF("rep", "items"), "rep")
         full = common.written(full, "rest")
         blocks = full.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("s") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        dealt = full.join(blocks, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "part", "n", "sketch", "items")
+        dealt = self.dealt(full, common.written(blocks, "blocks"), "cluster").select("cluster", "lo", "hi", "own", "rep", "part", "n", "sketch", "items")
         return dealt.groupBy("cluster", "lo", "hi").applyInPandas(partial(_block, percent=self.percent), "a long, b long")
 
+    @staticmethod
+    def dealt(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+        """Rows to every two blocks of their group that hold them: own block, and the pair (lo, hi)."""
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        dealt = rows.join(small(blocks), key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+
 
 def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
     """Components (node, component) after more links."""
@@ -213,43 +283,88 @@ def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
     return common.written(moved.union(new), "components")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept."""
+def grouped(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row a document: row, doc_id, content, n and grp.
+
+    ``content`` is xxhash64 of the text, n the number of shingles; ``grp`` is the least row of the group, or null for a
+    document without any other of its group.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"))
     signed = common.written(texts.mapInArrow(partial(_sign, k=k, bands=bands, rows=rows), SIGNATURES), "signatures")
-    copies = signed.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    worded = signed.where("n > 0")
+    copies = worded.groupBy("set_a", "set_b", "n").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     same = [F.col(f"s.{c}") == F.col(f"c.{c}") for c in ("set_a", "set_b", "n")]
-    classed = signed.alias("s").join(copies.alias("c"), same, "left").select("s.doc_id", "s.n", "s.bands", "s.sketch", F.coalesce("c.rep", "s.doc_id").alias("rep"))
-    classed = common.written(classed.withColumns({c: F.when(F.col("rep") == F.col("doc_id"), F.col(c)) for c in ("bands", "sketch")}), "classes")
-    reps = classed.where(F.col("bands").isNotNull())
+    classed = worded.alias("s").join(copies.alias("c"), same, "left").select("s.row", "s.doc_id", "s.content", "s.n", "s.bands", "s.sketch", F.col("c.rep").alias("copy_of"))
+    first = F.col("copy_of").isNull() | (F.col("copy_of") == F.col("row"))
+    classed = common.written(classed.withColumns({c: F.when(first, F.col(c)) for c in ("bands", "sketch")}), "classes")
+    reps = classed.where(F.col("bands").isNotNull()).withColumnRenamed("row", "rep")
 
     buckets = reps.select(F.explode("bands").alias("key"), "rep")
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low <> top").select("key")
-    met = common.written(buckets.join(shared, "key").select("key", "rep"), "buckets")
-    ids = common.written(met.select("rep").distinct(), "ids")
-    sets = common.written(picked(texts, "doc_id", ids).mapInArrow(partial(_sets, k=k), "node long, items binary"), "sets")
+    shared = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("size")).where("low <> top").select("key", "size")
+    shared = common.written(shared, "shared")
+    met = common.written(buckets.join(small(shared), "key").select("key", "rep", "size"), "buckets")
+    # the first hub is the document that meets most others: of a group of edited copies the least edited
+    degree = common.written(met.groupBy("rep").agg(F.sum("size").alias("degree")), "degrees")
+    wanted = common.written(reps.select("rep", "doc_id", "content").join(small(degree.select("rep")), "rep", "left_semi"), "ids").toDF("node", "w_id", "w_content")
+    own = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("content") == F.col("w_content"))
+    sets = common.written(texts.join(small(wanted), own).select("node", "text").mapInArrow(partial(_sets, k=k), "node long, items binary"), "sets")
+    if sets.count() > wanted.count():  # rows that are repeated, id and text
+        sets = common.written(sets.dropDuplicates(["node"]), "sets")
     compare = Comparison(reps.select(F.col("rep").alias("node"), F.col("n").alias("size"), "sketch"), sets, percent)
 
-    # the first hub is the document that meets most others: of a group of edited copies the least edited
-    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    degree = common.written(met.join(sizes, "key").groupBy("rep").agg(F.sum("size").alias("degree")), "degrees")
     label = spark.createDataFrame([], "node long, component long")
+    met = met.select("key", "rep")
     for turn in range(ROUNDS + 1):
-        placed = met.join(label, met["rep"] == label["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-        mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("top")).where("low <> top").select("key")
-        members = common.written(placed.join(mixed, "key").select("key", "rep", "part"), "members")
+        placed = met.join(small(label), met["rep"] == label["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+        mixed = common.written(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("top")).where("low <> top").select("key"), "mixed")
+        members = common.written(placed.join(small(mixed), "key").select("key", "rep", "part"), "members")
         met = members.select("key", "rep")
         if turn == ROUNDS or members.isEmpty():
             break
         order = F.xxhash64(F.lit(turn), "rep") if turn else -F.col("degree")
-        chosen = members if turn else members.join(degree, "rep")
+        chosen = members if turn else members.join(small(degree), "rep")
         hubs = chosen.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("rep").alias("hub"), F.col("part").alias("hub_part"))).alias("x"))
-        facing = members.join(hubs, "key").where("part <> x.hub_part").groupBy("rep").agg(F.min(F.struct("x.h", "x.hub")).alias("y"))
+        facing = members.join(small(common.written(hubs, "hubs")), "key").where("part <> x.hub_part").groupBy("rep").agg(F.min(F.struct("x.h", "x.hub")).alias("y"))
         label = relabelled(label, compare.links(facing.select(F.least("rep", "y.hub").alias("a"), F.greatest("rep", "y.hub").alias("b")).distinct()))
 
-    groups = relabelled(label, compare.rest(members))
-    out = classed.select("doc_id", "n", "rep").join(groups, F.col("rep") == F.col("node"), "left")
-    group = F.coalesce("component", "rep")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(False)).alias("kept"))
+    linked = relabelled(label, compare.rest(members)) if not members.isEmpty() else label
+    rep = F.coalesce("copy_of", "row")
+    out = classed.join(small(linked), rep == F.col("node"), "left").select("row", "doc_id", "content", "n", F.coalesce("component", "copy_of").alias("grp"))
+    empty = signed.where("n = 0").select("row", "doc_id", "content", "n", F.lit(None).cast("long").alias("grp"))
+    return common.written(out.union(empty), "groups")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept."""
+    found = grouped(docs, k, percent, bands, rows)
+    names = common.written(found.where("grp is not null").groupBy(F.col("grp").alias("named")).agg(F.min("doc_id").alias("component_id")), "names")
+    alone = found.where("grp is null").withColumn("component_id", F.col("doc_id"))
+    others = found.where("grp is not null").join(small(names), F.col("grp") == F.col("named")).drop("named")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return alone.unionByName(others).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The documents, one row of each group, with all columns of ``docs``.
+
+    Of a group the row with the smallest id stays (rows without an id come last, then the smallest hash of the text decides);
+    of rows that share id and text, the one whose columns are first as JSON text. Rows without words all stay.
+    """
+    found = grouped(docs, k, percent, bands, rows).where("grp is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content")
+    stays = found.groupBy("grp").agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("rows")).select(F.col("grp").alias("s_grp"), "x")
+    stays = common.written(stays, "stays")
+    stay = F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("content") == F.col("x.content"))
+    judged = found.join(small(stays), F.col("grp") == F.col("s_grp")).groupBy("doc_id", "content").agg(F.first(stay).alias("stay"), F.count(F.lit(1)).alias("rows"))
+    x = common.fresh(docs, "near_")
+    judged = common.written(judged.toDF(f"{x}id", f"{x}content", f"{x}stay", f"{x}rows").where(f"not {x}stay or {x}rows > 1"), "judged")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{x}id")) & (F.xxhash64(F.col("text").cast("string")) == F.col(f"{x}content"))
+    out = docs.join(small(judged), own, "left_anti")
+    repeated = judged.where(f"{x}stay")
+    if not repeated.isEmpty():
+        one = docs.join(small(repeated), own).groupBy(f"{x}id", f"{x}content").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias(f"{x}row"))
+        out = out.union(one.select(f"{x}row.*"))
+    return out

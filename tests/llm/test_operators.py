@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -466,6 +467,41 @@ def test_block_compares_low_agreement():
     sketches = [bytes(252), bytes(same) + b"\x01" * (252 - same)]
     frame = pd.DataFrame({"part": [1, 2], "own": [0, 0], "rep": [1, 2], "n": [9, 9], "sketch": sketches, "items": [p.tobytes(), (p + (p == 8)).astype("<u8").tobytes()]})
     assert minhash._block((0, 0, 0), frame, 80).values.tolist() == [[1, 2]]
+    batch = pa.RecordBatch.from_pandas(frame.drop(columns="items").assign(key=5, lo=0, hi=0))
+    assert [b.to_pylist() for b in minhash._forest([batch.slice(0, 1), batch.slice(1)], 80)] == [[{"a": 1, "b": 2}]]
+    other = pa.RecordBatch.from_pandas(frame.drop(columns="items").assign(key=[5, 6], lo=0, hi=0))
+    assert list(minhash._forest([other], 80)) == []
+
+
+@pytest.mark.parametrize("broadcast", [0, minhash.BROADCAST_IDS])
+def test_minhash_in_many_blocks(spark, monkeypatch, broadcast):
+    """Without rounds all is left to the comparison by blocks, here of a few rows each."""
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", broadcast)
+    r = np.random.default_rng(9)
+    rows = []
+    for g in range(3):
+        base = [f"w{g}_{i}" for i in range(100)]
+        rows += [(100 * g + i, " ".join(f"x{i}_{k}" if r.random() < 0.08 else w for k, w in enumerate(base)), "s") for i in range(20)]
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(documents(spark, rows), k=1).collect()}
+    assert got == {i: c for i, _, c in brute_documents(rows, 1, 80)}
+
+
+def test_distinct_documents(spark, corpus):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "s"), (1, a, "s"), (2, a + " z", "s"), (2, b, "s"), (3, c, "s"), (None, c, "s"), (None, c + " z", "t"), (None, "q " + b + " z", "t"), (4, None, "s"), (4, None, "s"), (5, "", "s")]
+    got = Counter((r["doc_id"], r["text"]) for r in minhash.distinct_documents(documents(spark, rows)).collect())
+    assert got == Counter([(1, a), (2, b), (3, c), (4, None), (4, None), (5, "")])
+    null = [(None, a, "s"), (None, a, "r"), (None, b, "s")]
+    assert sorted(r["source"] for r in minhash.distinct_documents(documents(spark, null)).collect()) == ["r", "s"]
+    groups = {}
+    for (i, t, s), (_, n, c) in zip(corpus, brute_documents(corpus, 5, 80), strict=True):
+        groups.setdefault(c if n else (i, "alone"), []).append((i is None, i, t))
+    left = minhash.distinct_documents(frame(spark, corpus))
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(min(g, key=lambda x: (x[0], x[1] or 0))[1:] for g in groups.values())
+    assert left.columns == frame(spark, corpus).columns and minhash.distinct_documents(empty(spark)).collect() == []
+
 
 def test_superminhash():
     r = np.random.default_rng(3)
