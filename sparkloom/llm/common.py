@@ -3,28 +3,43 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch for columns that hold whole texts.
-TEXT_BATCH = 128
+#: Rows and bytes of one Arrow batch, the same for all operators, since the session has one setting: long texts don't pile up in a worker.
+BATCH_ROWS, BATCH_BYTES = 1500, "8m"
+#: A table of at most so many rows (ids, keys, counts: some tens of bytes each) is broadcast; larger ones are joined.
+BROADCAST_ROWS = 200_000
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+def base_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session, or the checkpoint folder in use.
+
+    Where neither is set, a session on one machine (tests) gets a temporary folder. On a cluster that is an error,
+    since executors would not see the driver's folder.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,18 +52,54 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        scratch(spark, "init")
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    context, base = df.sparkSession.sparkContext, base_folder(df.sparkSession)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH, size: str = "8m") -> None:
-    """Bound the rows and bytes that one Arrow batch carries, so that long texts do not pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def small(table: DataFrame, width: int = 1) -> DataFrame:
+    """A written table, to be broadcast if it has at most BROADCAST_ROWS short rows (counted); ``width``: how many short rows one is worth."""
+    return F.broadcast(table) if table.count() * width <= BROADCAST_ROWS else table
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes that one Arrow batch carries, by the same numbers whichever operator runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def runs(batches, keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of neighbouring rows with equal keys (integers or text, none null), across batches; a run must fit in memory."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        change = np.zeros(len(batch) - 1, bool)
+        for k in keys:
+            c = batch.column(k)
+            change |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(a, b - a)
+            if held and any(held[0].column(k)[0] != part.column(k)[0] for k in keys):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: What a Python worker keeps between tasks: the cache of one operator at a time, so that those of a pipeline's stages don't add up.
+_held: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """The worker's cache of this name; those of other names are given up."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,17 +1,21 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
-Equal vectors of a label form a class with one representative. Representatives of a label
-are dealt to cells around pivots (the top of the tree: up to ``pivots`` per label,
-drawn by hash) and cells to blocks of bounded size. Two cells are compared only
-if their pivots are no further apart than both covering radii and the threshold
-distance together, and a vector enters a comparison only if the other cell's ball can reach it.
-
-A comparison builds a cover tree over each block: nested levels whose radii
+Equal vectors of a label form a class with one representative. The top levels of the tree
+are built by rounds over all labels at once: a cell (at first a label) of more than ``block``
+vectors draws up to ``fan`` pivots by hash and every vector goes home to its nearest one.
+It is also a guest in the cell of another pivot if a vector at home there can be near
+enough: its distance to that pivot is at most that to its nearest plus twice the
+threshold distance, and at most the cell's radius plus the threshold distance. Of two cells only
+the one with the higher number sends guests, so a pair meets once. Cells are rows of tables:
+nothing about labels or cells goes to the driver.
+
+In a cell, blocks of bounded size are compared: each gets a cover tree, nested levels whose radii
 halve, each node with its real covering radius. Pairs of nodes are walked from the
 top: pruned when too far apart for any link, taken whole when so close that all
 their pairs are links, else opened. What is left is decided by the cosine in
 double precision, so the links are exactly the pairs at or above the threshold. Links
-leave a task as counts per vector and a spanning forest, never as pairs.
+leave a task as counts per vector and a spanning forest, never as pairs. A cell so small that
+all its vectors are linked needs no comparison.
 
 Nulls: a vector that is null, zero, or has null or non-finite components, and a row
 without a label, is linked with nothing. Vectors of other lengths are not
@@ -22,11 +26,9 @@ no rows. Other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +36,14 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-BLOCK, PIVOTS, LEAF = 2048, 64, 24
-#: Labels up to this count get pivots, which are sent to the tasks; more labels are one cell each.
-LABELS = 4096
+BLOCK, FAN, LEAF = 2048, 64, 24
+#: Rounds of splitting cells; what is still large then is compared by blocks.
+LEVELS = 8
+#: Vectors of one cell that a task splits.
+CHUNK = 1 << 16
 SLACK = 1e-6
 FOUND = "a long, b long, links long"
+PLACES = "cell string, home boolean, rep long, n long, salt long, vec binary, gap double"
 
 
 class Node:
@@ -108,7 +113,11 @@ class DualTraversal:
         self.link(rows[i], cols[j])
 
     def whole(self, a: Node, b: Node) -> None:
-        self.link(np.repeat(a.members, len(b.members)), np.tile(b.members, len(a.members)))
+        """All pairs between two nodes, as sums and a star."""
+        self.x_links[a.members] += self.v[b.members].sum()
+        (self.x_links if self.own else self.y_links)[b.members] += self.w[a.members].sum()
+        self.pairs.append((a.members, np.repeat(b.members[:1], len(a.members))))
+        self.pairs.append((np.repeat(a.members[:1], len(b.members)), b.members))
 
     def distances(self, a: list[Node], b: list[Node]) -> np.ndarray:
         p = self.left.unit[[n.center for n in a]]
@@ -116,6 +125,11 @@ class DualTraversal:
         return np.sqrt(np.maximum(0.0, 2 - 2 * (p @ q.T)))
 
     def inside(self, node: Node) -> None:
+        if 2 * node.radius <= self.reach - SLACK:
+            m = node.members
+            self.x_links[m] += self.w[m].sum() - self.w[m]
+            self.pairs.append((m[1:], np.repeat(m[:1], len(m) - 1)))
+            return
         if not node.children:
             self.test(node.members, node.members, upper=True)
             return
@@ -173,127 +187,135 @@ def matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
 
 
-def _compare(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    frame = frame.sort_values("rep", kind="stable")
-    x = frame[frame["side"] == 0]
-    y = frame[frame["side"] == 1]
-    same = bool((frame["own"]).all())
-    if not len(x) or not (same or len(y)):
-        return pd.DataFrame({"a": [], "b": [], "links": []}, dtype="int64")
-    dual = DualTraversal(matrix(x["vec"]), x["n"].to_numpy(), None if same else matrix(y["vec"]), None if same else y["n"].to_numpy(), cosine)
-    ids = np.concatenate([x["rep"].to_numpy(), y["rep"].to_numpy()])
-    links = np.concatenate([dual.x_links, dual.y_links]) if not same else dual.x_links
-    some = np.flatnonzero(links)
-    rows = [pd.DataFrame({"a": ids[some], "b": pd.array([None] * len(some), "Int64"), "links": links[some]})]
-    if pairs := dual.forest():
-        a, b = np.array(pairs).T
-        rows.append(pd.DataFrame({"a": ids[a], "b": pd.array(ids[b], "Int64"), "links": np.zeros(len(a), np.int64)}))
-    return pd.concat(rows)
-
-
 def _units(vectors: list) -> np.ndarray:
     m = matrix(vectors)
     return m / np.sqrt((m * m).sum(1))[:, None]
 
 
-def _assign(batches, sent):
-    """Nearest pivot of the vector's own group, and the distance to it."""
-    pivots = sent.value
-    for batch in batches:
-        groups, vectors = batch.column("grp").to_pylist(), batch.column("vec").to_pylist()
-        cell, gap = np.zeros(len(groups), np.int32), np.zeros(len(groups))
-        at = defaultdict(list)
-        for i, g in enumerate(groups):
-            at[g].append(i)
-        for g, rows in at.items():
-            if g in pivots:
-                u = _units([vectors[i] for i in rows])
-                d = np.sqrt(np.maximum(0.0, 2 - 2 * (u @ pivots[g].T)))
-                cell[rows], gap[rows] = d.argmin(1), d.min(1)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(gap)], [*batch.schema.names, "cell", "gap"])
-
-
-def _deal(batches, sent, reach: float):
-    """Every vector to the comparisons it can have links in."""
-    pivots, radius, blocks, partners = sent.value
+def _compare(batches, cosine: float):
+    """Counts and forests of every two blocks that lie together."""
+    for table in common.runs(batches, ["cell", "kind", "lo", "hi"]):
+        table = table.sort_by("rep")
+        second, same = table["second"].to_numpy(), table["kind"][0].as_py() == 0 and table["lo"][0].as_py() == table["hi"][0].as_py()
+        rep, n, vec = table["rep"].to_numpy(), table["n"].to_numpy(), table["vec"].to_pylist()
+        x, y = np.flatnonzero(~second), np.flatnonzero(second)
+        if len(x) < 1 + same or not (same or len(y)):
+            continue
+        own = matrix([vec[i] for i in x])
+        dual = DualTraversal(own, n[x], None if same else matrix([vec[i] for i in y]), None if same else n[y], cosine)
+        ids = rep[x] if same else np.concatenate([rep[x], rep[y]])
+        links = dual.x_links if same else np.concatenate([dual.x_links, dual.y_links])
+        some, pairs = np.flatnonzero(links), dual.forest()
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        if len(some):
+            null = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), null, pa.array(links[some])], ["a", "b", "links"])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(np.zeros(len(a), np.int64))], ["a", "b", "links"])
+
+
+def _split(batches, reach: float):
+    """Rows in order of (cell, part), each part led by its cell's pivots: every vector to its home and where it is a guest."""
+    at, pivots = None, None
     for batch in batches:
-        out: list[tuple] = []
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("grp", "rep", "n", "vec", "cell", "salt")), strict=True))
-        at = defaultdict(list)
-        for i, r in enumerate(rows):
-            at[r[0]].append(i)
-        for g, own in at.items():
-            d = None
-            if g in pivots:
-                u = _units([rows[i][3] for i in own])
-                d = np.sqrt(np.maximum(0.0, 2 - 2 * (u @ pivots[g].T)))
-            for k, i in enumerate(own):
-                _, rep, n, vec, cell, salt = rows[i]
-                block = salt % blocks[g, cell]
-                for other in partners[g, cell]:
-                    if d is not None and other != cell and d[k, other] > radius[g, other] + reach + SLACK:
-                        continue
-                    for b in range(blocks[g, other]):
-                        mine, theirs = (cell, block), (other, b)
-                        low, high = min(mine, theirs), max(mine, theirs)
-                        out.append((f"{g}:{low[0]}.{low[1]}:{high[0]}.{high[1]}", int(mine > theirs), mine == theirs, rep, n, vec))
-        if out:
-            types = (pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["pair", "side", "own", "rep", "n", "vec"])
+        for table in common.runs([batch], ["cell", "part"]):
+            key = (table["cell"][0].as_py(), table["part"][0].as_py())
+            lead = table["pivots"][0].as_py()
+            if lead is not None:
+                at, pivots, table = key, _units(lead), table.slice(1)
+            if at != key:
+                raise ValueError("a part without its pivots")
+            for k in range(0, len(table), 256):
+                part = table.slice(k, 256)
+                home = part["home"].to_numpy()
+                d = np.sqrt(np.maximum(0.0, 2 - 2 * (_units(part["vec"].to_pylist()) @ pivots.T)))
+                near, own = d.argmin(1), d.min(1)
+                reached = d <= own[:, None] + 2 * reach + SLACK
+                reached &= ~home[:, None] | (np.arange(len(pivots))[None] <= near[:, None])
+                i, j = np.nonzero(reached)
+                out = part.take(pa.array(i))
+                cells = pa.array([f"{key[0]}.{x}" for x in j.tolist()])
+                columns = [cells, pa.array(home[i] & (near[i] == j)), *(out[c].combine_chunks() for c in ("rep", "n", "salt", "vec")), pa.array(d[i, j])]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PLACES.split(", ")])
 
 
 def _pack(batches):
     for batch in batches:
         vectors = [np.asarray(v, "<f8").tobytes() for v in batch.column("v").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("rep"), batch.column("n"), batch.column("salt"), pa.array(vectors, pa.binary())], ["grp", "rep", "n", "salt", "vec"])
-
-
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell", "home", "rep", "n", "salt")), pa.array(vectors, pa.binary()), batch.column("gap")], [x.split()[0] for x in PLACES.split(", ")])
+
+
+def measured(places: DataFrame) -> DataFrame:
+    """Of every cell: vectors at home and their radius, representatives (with copies) and the least of them, and guests."""
+    home = F.when(F.col("home"), F.lit(1))
+    return common.written(places.groupBy("cell").agg(F.count(home).alias("h"), F.max(F.when(F.col("home"), F.col("gap"))).alias("radius"), F.sum(F.when(F.col("home"), F.col("n"))).alias("copies"), F.min(F.when(F.col("home"), F.col("rep"))).alias("least"), F.count_if(~F.col("home")).alias("g")), "cells")
+
+
+def split(places: DataFrame, cells: DataFrame, block: int, fan: int, reach: float) -> DataFrame:
+    """The places in the cells' children."""
+    how = cells.select("cell", F.least(F.lit(fan), F.ceil(F.col("h") / block)).alias("many"), F.ceil((F.col("h") + F.col("g")) / CHUNK).alias("parts"))
+    inside = places.join(common.small(how), "cell")
+    drawn = inside.where("home").groupBy("cell", "parts", F.pmod("salt", "many").alias("j")).agg(F.min(F.struct("salt", "vec")).alias("x"))
+    pivots = drawn.groupBy("cell", "parts").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x.vec"))), lambda x: x["vec"]).alias("pivots"))
+    lead = pivots.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivots")
+    rest = inside.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("many", "parts")
+    both = lead.unionByName(rest, allowMissingColumns=True).select("cell", "part", "pivots", "home", "rep", "n", "salt", "vec")
+    ordered = both.repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("pivots").isNull())
+    return common.written(ordered.mapInArrow(partial(_split, reach=reach), PLACES), "places")
+
+
+def blocks_of(places: DataFrame, cells: DataFrame, block: int) -> DataFrame:
+    """Rows to every two blocks of their cell that hold them: kind 0 for two blocks at home, 1 for one of guests."""
+    sized = cells.where("h + g > 1 and h > 0").select("cell", F.ceil(F.col("h") / block).alias("hb"), F.ceil(F.col("g") / block).alias("gb"), "tight")
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("hb")).otherwise(F.col("gb")))
+    rows = places.join(common.small(sized), "cell").withColumn("own", own)
+    place = lambda kind, lo, hi, second: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), second.alias("second"))
+    each = lambda many, f: F.when(many > 0, F.transform(F.sequence(F.lit(0).cast("long"), many - 1), f)).otherwise(F.array().cast("array<struct<kind:int,lo:bigint,hi:bigint,second:boolean>>"))
+    o, hb, gb = F.col("own"), F.col("hb"), F.col("gb")
+    at_home = F.concat(each(F.when(F.col("tight"), F.lit(0)).otherwise(hb), lambda x: place(0, F.least(o, x), F.greatest(o, x), o > x)), each(gb, lambda x: place(1, o, x, F.lit(False))))
+    as_guest = each(hb, lambda x: place(1, x, o, F.lit(True)))
+    dealt = rows.withColumn("x", F.explode(F.when(F.col("home"), at_home).otherwise(as_guest)))
+    return dealt.select("cell", "x.kind", "x.lo", "x.hi", "x.second", "rep", "n", "vec")
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    common.small_batches(spark, 2048)
+    common.small_batches(spark)
+    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     good = F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)
     classes = rows.where(good).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    packed = classes.where("rep is not null").select(F.concat_ws("/", "label", F.size("v").cast("string")).alias("grp"), "rep", "n", F.pmod(F.xxhash64("v"), F.lit(1 << 30)).alias("salt"), "v")
-    packed = common.written(packed.mapInArrow(_pack, "grp string, rep long, n long, salt long, vec binary"), "vectors")
-
-    sizes = {r["grp"]: r["m"] for r in packed.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).limit(LABELS + 1).collect()}
-    centres: dict[str, np.ndarray] = {}
-    if len(sizes) <= LABELS:
-        many = {g: min(pivots, -(-m // block)) for g, m in sizes.items() if m > block}
-        if many:
-            wanted = F.broadcast(spark.createDataFrame(list(many.items()), "grp string, pivots int"))
-            drawn = packed.join(wanted, "grp").groupBy("grp", F.pmod("salt", F.col("pivots")).alias("j")).agg(F.min(F.struct("salt", "vec")).alias("x")).select("grp", "j", "x.vec")
-            held = defaultdict(list)
-            for r in drawn.orderBy("grp", "j").collect():
-                held[r["grp"]].append(bytes(r["vec"]))
-            centres = {g: _units(v) for g, v in held.items()}
-    sent = spark.sparkContext.broadcast(centres)
-    placed = common.written(packed.mapInArrow(partial(_assign, sent=sent), "grp string, rep long, n long, salt long, vec binary, cell int, gap double"), "cells")
-    cells = placed.groupBy("grp", "cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("m")).collect()
-    radius = {(r["grp"], r["cell"]): r["radius"] for r in cells}
-    blocks = {(r["grp"], r["cell"]): -(-r["m"] // block) for r in cells}
-    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-    by_group = defaultdict(list)
-    for g, c in radius:
-        by_group[g].append(c)
-    partners: dict[tuple, list[int]] = {}
-    for g, own in by_group.items():
-        for a in own:
-            if g in centres:
-                d = np.sqrt(np.maximum(0.0, 2 - 2 * centres[g] @ centres[g][a]))
-                partners[g, a] = sorted(b for b in own if b == a or d[b] <= radius[g, a] + radius[g, b] + reach + SLACK)
-            else:
-                partners[g, a] = [a]
-    tables = spark.sparkContext.broadcast((centres, radius, blocks, partners))
-    dealt = placed.mapInArrow(partial(_deal, sent=tables, reach=reach), "pair string, side int, own boolean, rep long, n long, vec binary")
-    found = common.written(dealt.groupBy("pair").applyInPandas(partial(_compare, cosine=cosine), FOUND), "found")
-
-    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    groups = components(found.where("b is not null").select("a", "b")).toDF("c_node", "component")
-    known = classes.where("rep is not null").join(links, F.col("rep") == F.col("node"), "left").join(groups, F.col("rep") == F.col("c_node"), "left")
+    packed = classes.where("rep is not null").select(F.concat_ws("/", "label", F.size("v").cast("string")).alias("cell"), F.lit(True).alias("home"), "rep", "n", F.pmod(F.xxhash64("v"), F.lit(1 << 30)).alias("salt"), "v", F.lit(2.0).alias("gap"))
+    places = common.written(packed.mapInArrow(_pack, PLACES), "vectors")
+
+    found = []
+    for level in range(LEVELS + 1):
+        tight = F.col("radius") <= reach / 2 - SLACK
+        cells = measured(places).withColumn("tight", F.coalesce(tight, F.lit(False)))
+        large = (F.col("h") > block) & ~F.col("tight") & F.lit(level < LEVELS)
+        if level:  # guests beyond the reach of the vectors at home
+            near = common.small(cells.select("cell", "radius"))
+            places = places.join(near, "cell").where(F.col("home") | (F.col("gap") <= F.col("radius") + reach + SLACK)).drop("radius")
+        leaves = cells.where(~large)
+        ordered = blocks_of(places, leaves, block).repartition("cell", "kind", "lo", "hi").sortWithinPartitions("cell", "kind", "lo", "hi")
+        found.append(common.written(ordered.mapInArrow(partial(_compare, cosine=cosine), FOUND), "found"))
+        close = leaves.where("tight and h > 1").select(F.col("cell").alias("t_cell"), "copies", "least")
+        if not close.isEmpty():
+            own = places.where("home").join(common.small(close), F.col("cell") == F.col("t_cell"))
+            found.append(common.written(own.select(F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("copies") - F.col("n")).alias("links")).union(own.select("rep", "least", F.lit(0).cast("long"))), "close"))
+        open_ = cells.where(large)
+        if open_.isEmpty():
+            break
+        places = split(places, open_, block, fan, reach)
+    links = found[0]
+    for more in found[1:]:
+        links = links.union(more)
+
+    counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    groups = components(links.where("b is not null").select("a", "b")).toDF("c_node", "component")
+    known = classes.where("rep is not null").join(counts, F.col("rep") == F.col("node"), "left").join(groups, F.col("rep") == F.col("c_node"), "left")
     known = known.select(F.col("label").alias("k_label"), F.col("v").alias("k_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(known, (F.col("label") == F.col("k_label")) & (F.col("v") == F.col("k_v")), "left")
     component = F.coalesce("component_id", "vec_id")

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 from itertools import repeat
 from unicodedata import is_normalized
 
@@ -24,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 _TAIL = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[^\W\d_].)(?=\s)")
 
 
-#: Rows of an Arrow batch and characters of a call: the more words at once, the fewer lookups.
-BATCH, CHUNK = 1500, 1 << 22
+#: Characters of a call: the more words at once, the fewer lookups.
+CHUNK = 1 << 22
 
 
 def default_path() -> str:
@@ -144,14 +145,6 @@ class WordMemo:
         return flat, upto[split.offsets.to_numpy()].astype(np.int64)
 
 
-_memos: dict[str, WordMemo] = {}
-
-
 def memo(path: str) -> WordMemo:
     """The worker's memo, kept between tasks."""
-    if path not in _memos:
-        # a worker that scored texts before, in a pipeline, gives that memory back first
-        if scoring := sys.modules.get(f"{__package__}.toxicity"):
-            scoring._scorers.clear()
-        _memos[path] = WordMemo(path)
-    return _memos[path]
+    return common.held(f"tokens {path}", lambda: WordMemo(path))

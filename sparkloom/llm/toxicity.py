@@ -397,16 +397,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     return [(r["text"] or "", r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"] or ""))]
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(sent) -> Scorer:
     """The worker's scorer for a broadcast network, kept between tasks."""
     net = sent.value
-    if net.name not in _scorers:
-        _scorers.clear()
-        _scorers[net.name] = Scorer(net)
-    return _scorers[net.name]
+    return common.held(f"toxicity {net.name}", lambda: Scorer(net))
 
 
 def _score(batches, sent):

@@ -396,17 +396,22 @@ def brute_vectors(rows, cosine):
     return links, union
 
 
-@pytest.mark.parametrize("block", [7, 2048])
-def test_vectors(spark, block):
+@pytest.mark.parametrize(("block", "broadcast"), [(3, -1), (7, common.BROADCAST_ROWS), (2048, common.BROADCAST_ROWS)])
+def test_vectors(spark, monkeypatch, block, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(covertree, "CHUNK", 40)
     r = np.random.default_rng(4)
     centres = r.standard_normal((6, 8))
     rows = [(i, (centres[i % 6] + r.standard_normal(8) * r.choice([0.02, 0.1, 1.0])).astype("float32").tolist(), i % 2) for i in range(120)]
     rows += [(200 + k, rows[0][1], 0) for k in range(5)] + [(300, None, 0), (301, [0.0] * 8, 0), (302, [None] + [1.0] * 7, 0), (303, [float("nan")] * 8, 0), (304, [float("inf")] * 8, 0), (305, rows[0][1], None), (306, rows[0][1][:4], 0), (307, [], 1)]
-    df = spark.createDataFrame([(*x, "c", 1.5) for x in rows], "vec_id long, embedding array<float>, label int, grp string, n double")
+    rows += [(400 + i, (centres[i % 6] * (1 + i % 3) + r.standard_normal(8) * 1e-3).tolist(), 3) for i in range(90)]  # tight cells
+    rows += [(500 + i, (centres[0] + r.standard_normal(8) * 0.15).tolist(), 4) for i in range(90)]  # links across cells
+    df = spark.createDataFrame([(*x, "c", 1.5) for x in rows], "vec_id long, embedding array<double>, label int, cell string, n double")
     links, union = brute_vectors(rows, 0.98)
-    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in covertree.near_vectors(df, block=block, pivots=4).collect()}
+    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in covertree.near_vectors(df, block=block, fan=4).collect()}
     assert got == {i: (links[i], union.find(i), union.find(i) == i) for i, _, _ in rows}
-    assert covertree.near_vectors(df.where("false")).collect() == []
+    if block == 7:
+        assert covertree.near_vectors(df.where("false")).collect() == []
 
 
 def test_dual_traversal():
@@ -473,12 +478,12 @@ def test_block_compares_low_agreement():
     assert list(minhash._forest([other], 80)) == []
 
 
-@pytest.mark.parametrize("broadcast", [0, minhash.BROADCAST_IDS])
+@pytest.mark.parametrize("broadcast", [-1, common.BROADCAST_ROWS])
 def test_minhash_in_many_blocks(spark, monkeypatch, broadcast):
     """Without rounds all is left to the comparison by blocks, here of a few rows each."""
     monkeypatch.setattr(minhash, "ROUNDS", 0)
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
-    monkeypatch.setattr(minhash, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     r = np.random.default_rng(9)
     rows = []
     for g in range(3):
