@@ -46,8 +46,6 @@ BANDS, ROWS = 42, 6
 MARGIN = 0.2
 #: Rounds of one pair a document before the rest is compared in full.
 ROUNDS = 3
-#: Ids up to this count are broadcast to pick rows from the large tables; more are joined.
-BROADCAST_IDS = 200_000
 #: Documents, and bytes of their sets, that a block of a cluster holds at most on average.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 24
 _GOLD = 0x9E3779B97F4A7C15
@@ -185,22 +183,7 @@ def _forest(batches, percent: int):
                     joined.union(i, j)
                     yield rep[i], rep[j]
 
-    def blocks():
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("key", "lo", "hi")]) if len(batch) else np.empty((3, 0), np.int64)
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), len(batch)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                part = batch.slice(a, b - a)
-                if held and len(part) and any(held[0].column(c)[0] != part.column(c)[0] for c in ("key", "lo", "hi")):
-                    yield pa.Table.from_batches(held)
-                    held = []
-                if len(part):
-                    held.append(part)
-        if held:
-            yield pa.Table.from_batches(held)
-
-    for table in blocks():
+    for table in common.runs(batches, ["key", "lo", "hi"]):
         if found := list(pairs(table)):
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -215,14 +198,9 @@ def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(p) + len(q) - shared)
 
 
-def small(table: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has at most BROADCAST_IDS rows."""
-    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
-
-
 def picked(table: DataFrame, on: str, ids: DataFrame) -> DataFrame:
     """Rows of a table whose ``on`` is among the ids (one distinct column, already written)."""
-    return table.join(small(ids.toDF(on)), on, "left_semi")
+    return table.join(common.small(ids.toDF(on)), on, "left_semi")
 
 
 class Comparison:
@@ -254,13 +232,13 @@ class Comparison:
         ids = common.written(members.select("rep").distinct(), "ids")
         traits = common.written(picked(self.traits, "node", ids).toDF("rep", "n", "sketch"), "sketches")
         blocks = common.written(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "sizes")
-        dealt = self.dealt(members.join(small(traits), "rep"), blocks, "key").select("key", "lo", "hi", "rep", "part", "own", "n", "sketch")
+        dealt = self.dealt(members.join(common.small(traits, 10), "rep"), blocks, "key").select("key", "lo", "hi", "rep", "part", "own", "n", "sketch")
         ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
         near = common.written(ordered.mapInArrow(partial(_forest, percent=self.percent), "a long, b long"), "forest")
 
         clusters = common.written(components(near).toDF("rep", "cluster"), "clusters")
         ids = clusters.select("rep")
-        full = members.select("rep", "part").distinct().join(small(clusters), "rep").join(small(traits), "rep").join(picked(self.sets, "node", ids).toDF("rep", "items"), "rep")
+        full = members.select("rep", "part").distinct().join(common.small(clusters), "rep").join(common.small(traits, 10), "rep").join(picked(self.sets, "node", ids).toDF("rep", "items"), "rep")
         full = common.written(full, "rest")
         blocks = full.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("s") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
         dealt = self.dealt(full, common.written(blocks, "blocks"), "cluster").select("cluster", "lo", "hi", "own", "rep", "part", "n", "sketch", "items")
@@ -270,7 +248,7 @@ class Comparison:
     def dealt(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
         """Rows to every two blocks of their group that hold them: own block, and the pair (lo, hi)."""
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        dealt = rows.join(small(blocks), key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = rows.join(common.small(blocks), key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         return dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
 
 
@@ -297,7 +275,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     worded = signed.where("n > 0")
     copies = worded.groupBy("set_a", "set_b", "n").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     same = [F.col(f"s.{c}") == F.col(f"c.{c}") for c in ("set_a", "set_b", "n")]
-    classed = worded.alias("s").join(copies.alias("c"), same, "left").select("s.row", "s.doc_id", "s.content", "s.n", "s.bands", "s.sketch", F.col("c.rep").alias("copy_of"))
+    classed = worded.alias("s").join(common.small(common.written(copies, "copies")).alias("c"), same, "left").select("s.row", "s.doc_id", "s.content", "s.n", "s.bands", "s.sketch", F.col("c.rep").alias("copy_of"))
     first = F.col("copy_of").isNull() | (F.col("copy_of") == F.col("row"))
     classed = common.written(classed.withColumns({c: F.when(first, F.col(c)) for c in ("bands", "sketch")}), "classes")
     reps = classed.where(F.col("bands").isNotNull()).withColumnRenamed("row", "rep")
@@ -305,12 +283,12 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     buckets = reps.select(F.explode("bands").alias("key"), "rep")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("size")).where("low <> top").select("key", "size")
     shared = common.written(shared, "shared")
-    met = common.written(buckets.join(small(shared), "key").select("key", "rep", "size"), "buckets")
+    met = common.written(buckets.join(common.small(shared), "key").select("key", "rep", "size"), "buckets")
     # the first hub is the document that meets most others: of a group of edited copies the least edited
     degree = common.written(met.groupBy("rep").agg(F.sum("size").alias("degree")), "degrees")
-    wanted = common.written(reps.select("rep", "doc_id", "content").join(small(degree.select("rep")), "rep", "left_semi"), "ids").toDF("node", "w_id", "w_content")
+    wanted = common.written(reps.select("rep", "doc_id", "content").join(common.small(degree.select("rep")), "rep", "left_semi"), "ids").toDF("node", "w_id", "w_content")
     own = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("content") == F.col("w_content"))
-    sets = common.written(texts.join(small(wanted), own).select("node", "text").mapInArrow(partial(_sets, k=k), "node long, items binary"), "sets")
+    sets = common.written(texts.join(common.small(wanted), own).select("node", "text").mapInArrow(partial(_sets, k=k), "node long, items binary"), "sets")
     if sets.count() > wanted.count():  # rows that are repeated, id and text
         sets = common.written(sets.dropDuplicates(["node"]), "sets")
     compare = Comparison(reps.select(F.col("rep").alias("node"), F.col("n").alias("size"), "sketch"), sets, percent)
@@ -318,21 +296,21 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     label = spark.createDataFrame([], "node long, component long")
     met = met.select("key", "rep")
     for turn in range(ROUNDS + 1):
-        placed = met.join(small(label), met["rep"] == label["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+        placed = met.join(common.small(label), met["rep"] == label["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
         mixed = common.written(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("top")).where("low <> top").select("key"), "mixed")
-        members = common.written(placed.join(small(mixed), "key").select("key", "rep", "part"), "members")
+        members = common.written(placed.join(common.small(mixed), "key").select("key", "rep", "part"), "members")
         met = members.select("key", "rep")
         if turn == ROUNDS or members.isEmpty():
             break
         order = F.xxhash64(F.lit(turn), "rep") if turn else -F.col("degree")
-        chosen = members if turn else members.join(small(degree), "rep")
+        chosen = members if turn else members.join(common.small(degree), "rep")
         hubs = chosen.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("rep").alias("hub"), F.col("part").alias("hub_part"))).alias("x"))
-        facing = members.join(small(common.written(hubs, "hubs")), "key").where("part <> x.hub_part").groupBy("rep").agg(F.min(F.struct("x.h", "x.hub")).alias("y"))
+        facing = members.join(common.small(common.written(hubs, "hubs")), "key").where("part <> x.hub_part").groupBy("rep").agg(F.min(F.struct("x.h", "x.hub")).alias("y"))
         label = relabelled(label, compare.links(facing.select(F.least("rep", "y.hub").alias("a"), F.greatest("rep", "y.hub").alias("b")).distinct()))
 
     linked = relabelled(label, compare.rest(members)) if not members.isEmpty() else label
     rep = F.coalesce("copy_of", "row")
-    out = classed.join(small(linked), rep == F.col("node"), "left").select("row", "doc_id", "content", "n", F.coalesce("component", "copy_of").alias("grp"))
+    out = classed.join(common.small(linked), rep == F.col("node"), "left").select("row", "doc_id", "content", "n", F.coalesce("component", "copy_of").alias("grp"))
     empty = signed.where("n = 0").select("row", "doc_id", "content", "n", F.lit(None).cast("long").alias("grp"))
     return common.written(out.union(empty), "groups")
 
@@ -342,7 +320,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     found = grouped(docs, k, percent, bands, rows)
     names = common.written(found.where("grp is not null").groupBy(F.col("grp").alias("named")).agg(F.min("doc_id").alias("component_id")), "names")
     alone = found.where("grp is null").withColumn("component_id", F.col("doc_id"))
-    others = found.where("grp is not null").join(small(names), F.col("grp") == F.col("named")).drop("named")
+    others = found.where("grp is not null").join(common.small(names), F.col("grp") == F.col("named")).drop("named")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return alone.unionByName(others).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
@@ -358,13 +336,13 @@ def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80, bands: in
     stays = found.groupBy("grp").agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("rows")).select(F.col("grp").alias("s_grp"), "x")
     stays = common.written(stays, "stays")
     stay = F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("content") == F.col("x.content"))
-    judged = found.join(small(stays), F.col("grp") == F.col("s_grp")).groupBy("doc_id", "content").agg(F.first(stay).alias("stay"), F.count(F.lit(1)).alias("rows"))
+    judged = found.join(common.small(stays), F.col("grp") == F.col("s_grp")).groupBy("doc_id", "content").agg(F.first(stay).alias("stay"), F.count(F.lit(1)).alias("rows"))
     x = common.fresh(docs, "near_")
     judged = common.written(judged.toDF(f"{x}id", f"{x}content", f"{x}stay", f"{x}rows").where(f"not {x}stay or {x}rows > 1"), "judged")
     own = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{x}id")) & (F.xxhash64(F.col("text").cast("string")) == F.col(f"{x}content"))
-    out = docs.join(small(judged), own, "left_anti")
+    out = docs.join(common.small(judged), own, "left_anti")
     repeated = judged.where(f"{x}stay")
     if not repeated.isEmpty():
-        one = docs.join(small(repeated), own).groupBy(f"{x}id", f"{x}content").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias(f"{x}row"))
+        one = docs.join(common.small(repeated), own).groupBy(f"{x}id", f"{x}content").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias(f"{x}row"))
         out = out.union(one.select(f"{x}row.*"))
     return out
