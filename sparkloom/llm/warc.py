@@ -114,6 +114,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     shared = rows.where(F.octet_length("html") >= least).groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 and top is not null")
+    # only digests and ids are shuffled; pages stay where they are, unless very many digests are shared
+    shared = common.small(common.written(shared.drop("n"), "shared"), 2)
     joined = rows.join(shared, F.col("digest") == F.col("d"), "left")
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     out = joined.select("page_id", "url", "html", F.when(revisit, F.col("top")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
