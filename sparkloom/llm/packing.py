@@ -270,6 +270,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, end_id: int =
     sent = spark.sparkContext.broadcast(plan(histogram, context, grid, most).places())
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select(F.col("length").alias("b_length"), F.col("part").alias("b_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = common.small(common.written(base, "bases"))
     ranked = cut.join(base, (F.col("length") == F.col("b_length")) & (F.col("part") == F.col("b_part")))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local_rank")).alias("rank"))
     return ranked.mapInArrow(partial(_place, sent=sent), PACKED)
