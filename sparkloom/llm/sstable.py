@@ -232,7 +232,10 @@ def _write(batches, folder: str, tokenizer: str, end_id: int):
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write all documents in ascending id order; one row per shard, see SHARDS."""
     common.small_batches(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("content"), F.monotonically_increasing_id().alias("place"))
+    # the place only splits rows that repeat id and text among shards; any order of those is the same
+    ordered = rows.repartitionByRange("doc_id", "content", "place").sortWithinPartitions("doc_id", "content").select("doc_id", "text")
     return ordered.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id), SHARDS)
 
 
