@@ -17,7 +17,8 @@ source is only more buckets.
 Sources are few next to documents: their sizes (a row each) go to the driver.
 
 Nulls: a null text has size 0; a null source is a source of its own. Repeated rows are
-drawn each by itself. An empty table gives no rows. Other columns are ignored.
+counted first, then drawn each by itself, in runs of at most ``RUN`` rows a bucket. An empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from . import common
 from .textcore import U64, mix
 
 WEIGHTS, BUDGET, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
-BUCKET, FAN_IN = 1024, 64
+BUCKET, FAN_IN, RUN = 1024, 64, 256
 #: Targets are broadcast up to this many sources, joined beyond.
 BROADCAST_SOURCES = 20_000
 ROWS = "doc_id long, content long, source string, size long, source_size long, target double, bucket long, copies int, part double"
@@ -103,8 +104,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: f
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = common.written(sized, "sizes")
-    stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()
+    sized = common.written(sized.groupBy("doc_id", "content", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    stats = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n")).collect()
     stats = sorted(stats, key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["source_size"] for r in stats], [weights[i % len(weights)] for i in range(len(stats))], budget, cap)
     rows = [(r["source"], r["source_size"], t, -(-r["n"] // BUCKET)) for r, t in zip(stats, goal, strict=True)]
@@ -114,10 +115,12 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: f
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     whole = F.floor(expected + F.lit(1e-12))
     part = F.greatest(expected - whole, F.lit(0.0))
-    state = sized.join(known, F.col("source").eqNullSafe(F.col("t_source"))).select(
+    runs = sized.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / RUN))))
+    inside = F.least(F.lit(RUN).cast("long"), F.col("rows") - F.col("run") * RUN)
+    state = runs.join(known, F.col("source").eqNullSafe(F.col("t_source"))).select(
         "doc_id", "content", "source", "size", "source_size", "target",
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "content"), F.col("buckets")).alias("bucket"), whole.cast("int").alias("copies"), F.when(part < 1e-12, 0.0).otherwise(part).alias("part"),
-    )
+        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "content", "run"), F.col("buckets")).alias("bucket"), whole.cast("int").alias("copies"), F.when(part < 1e-12, 0.0).otherwise(part).alias("part"), inside.alias("inside"),
+    ).withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("inside")))).drop("place", "inside")
     most, level, done = max((r[3] for r in rows), default=1), 0, []
     while True:
         met = state.groupBy("source", "bucket").applyInPandas(partial(_meet, level=level, seed=seed, last=most <= 1), ROWS)
@@ -139,13 +142,19 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     """The documents, each as often as it is taken, with the columns of ``docs``."""
     x, keys = common.fresh(docs, "mix_"), ["doc_id", "content", "source"]
     taken = mix_sources(docs, **how).groupBy(*keys).agg(F.sum("copies").alias(f"{x}total"), F.count(F.lit(1)).alias(f"{x}rows"))
-    taken = taken.withColumnsRenamed({k: x + k for k in keys}).where(F.col(f"{x}total") > 0)
+    taken = common.written(taken.withColumnsRenamed({k: x + k for k in keys}).where(F.col(f"{x}total") > 0), "taken")
     text = F.xxhash64(F.col("text").cast("string"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{x}doc_id")) & (text == F.col(f"{x}content")) & F.col("source").eqNullSafe(F.col(f"{x}source"))
-    joined = docs.join(taken, on)
-    total, rows = F.col(f"{x}total"), F.col(f"{x}rows")
-    # equal rows share their total: the first of them get one more where it doesn't divide
-    place = F.when(rows == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(*(x + k for k in keys)).orderBy(F.lit(0))))
-    times = F.floor(total / rows) + (place <= total % rows).cast("long")
-    counted = joined.withColumn(f"{x}times", times.cast("int")).where(F.col(f"{x}times") > 0)
-    return counted.withColumn(f"{x}copy", F.explode(F.sequence(F.lit(1), F.col(f"{x}times")))).select(*docs.columns)
+    total, rows, times = F.col(f"{x}total"), F.col(f"{x}rows"), F.col(f"{x}times")
+
+    def repeated(joined: DataFrame) -> DataFrame:
+        return joined.where(times > 0).withColumn(f"{x}copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+
+    out = repeated(docs.join(taken.where(rows == 1), on).withColumn(f"{x}times", total.cast("int")))
+    many = taken.where(rows > 1)
+    if not many.isEmpty():
+        # equal rows share their total: the first of them get one more where it doesn't divide
+        place = F.row_number().over(Window.partitionBy(*(x + k for k in keys)).orderBy(F.lit(0)))
+        share = F.floor(total / rows) + (place <= total % rows).cast("long")
+        out = out.union(repeated(docs.join(common.small(many), on).withColumn(f"{x}times", share.cast("int"))))
+    return out
