@@ -42,7 +42,7 @@ def floor_divide(a: Column, b: Column, integral: bool) -> Column:
         safe = F.when(b == 0, F.lit(1)).otherwise(b)
         rest = a % safe
         down = (rest != 0) & ((rest < 0) != (safe < 0))
-        whole = ((a - rest) / safe).cast("bigint")
+        whole = F.call_function("div", a, safe)
         return F.when(b == 0, F.lit(0).cast("bigint")).otherwise(F.when(down, whole - 1).otherwise(whole))
     quotient = divide(a, b)
     return F.when(F.isnan(quotient) | (F.abs(quotient) == inf()), quotient).otherwise(F.floor(F.when(F.isnan(quotient) | (F.abs(quotient) == inf()), F.lit(0.0)).otherwise(quotient)).cast("double"))
@@ -82,32 +82,74 @@ def compare(f: Callable[[Column, Column], Column], unordered: bool) -> Callable[
 
 
 def power(a: Column, b: Column, integral: bool) -> Column:
-    out = F.pow(a.cast("double"), b.cast("double"))
-    return F.round(out).cast("bigint") if integral else out
+    """Integers exactly: a result beyond 64 bits is an overflow error (NumPy wraps around), a negative exponent an error as in NumPy."""
+    if not integral:
+        return F.pow(a.cast("double"), b.cast("double"))
+    a, b, one = a.cast("bigint"), b.cast("bigint"), F.lit(1).cast("bigint")
+    unit = F.when(a == -1, F.when(b % 2 == 0, one).otherwise(-one)).otherwise(a)
+    # 2 to the 64th overflows already, so no more factors are ever needed
+    product = F.aggregate(F.sequence(one, F.greatest(one, F.least(b, F.lit(64).cast("bigint")))), one, lambda held, _: held * a)
+    negative = F.raise_error(F.lit("integers to negative integer powers are not allowed")).cast("bigint")
+    return F.when(b < 0, negative).when(b == 0, one).when(F.abs(F.greatest(a, F.lit(-2).cast("bigint"))) < 2, unit).otherwise(product)
 
 
 def least(a: Column, b: Column, floats: bool) -> Column:
     return F.when(either_nan(a, b), nan()).otherwise(F.least(a, b)) if floats else F.least(a, b)
 
 
-#: spelling: canonical name
+# The language's spellings of the array functions, spelling: array function.
 BINARY_NAMES = {
-    "+": "add", "add": "add", "-": "subtract", "sub": "subtract", "subtract": "subtract", "*": "multiply", "mul": "multiply", "multiply": "multiply",
-    "/": "divide", "div": "divide", "divide": "divide", "//": "floor_divide", "fld": "floor_divide", "floor_divide": "floor_divide",
-    "%": "remainder", "mod": "remainder", "remainder": "remainder", "**": "power", "pow": "power", "power": "power",
-    "==": "equal", "eq": "equal", "equal": "equal", "!=": "not_equal", "ne": "not_equal", "not_equal": "not_equal",
-    "<": "less", "lt": "less", "less": "less", "<=": "less_equal", "le": "less_equal", "less_equal": "less_equal",
-    ">": "greater", "gt": "greater", "greater": "greater", ">=": "greater_equal", "ge": "greater_equal", "greater_equal": "greater_equal",
-    "&": "bitwise_and", "bitwise_and": "bitwise_and", "|": "bitwise_or", "bitwise_or": "bitwise_or", "^": "bitwise_xor", "bitwise_xor": "bitwise_xor",
-    "<<": "left_shift", "lshift": "left_shift", "bitwise_left_shift": "left_shift", ">>": "right_shift", "rshift": "right_shift", "bitwise_right_shift": "right_shift",
-    "and": "logical_and", "or": "logical_or", "min": "minimum", "max": "maximum", "logaddexp": "logaddexp", "logical_xor": "logical_xor", "atan2": "arctan2",
-}
+    "+": "add", "add": "add",
+    "-": "subtract", "sub": "subtract", "subtract": "subtract",
+    "*": "multiply", "mul": "multiply", "multiply": "multiply",
+    "/": "divide", "div": "divide", "divide": "divide",
+    "//": "floor_divide", "fld": "floor_divide", "floor_divide": "floor_divide",
+    "%": "remainder", "mod": "remainder", "remainder": "remainder",
+    "**": "power", "pow": "power", "power": "power",
+    "==": "equal", "eq": "equal", "equal": "equal",
+    "!=": "not_equal", "ne": "not_equal", "not_equal": "not_equal",
+    "<": "less", "lt": "less", "less": "less",
+    "<=": "less_equal", "le": "less_equal", "less_equal": "less_equal",
+    ">": "greater", "gt": "greater", "greater": "greater",
+    ">=": "greater_equal", "ge": "greater_equal", "greater_equal": "greater_equal",
+    "&": "bitwise_and", "bitwise_and": "bitwise_and",
+    "|": "bitwise_or", "bitwise_or": "bitwise_or",
+    "^": "bitwise_xor", "bitwise_xor": "bitwise_xor",
+    "<<": "left_shift", "lshift": "left_shift", "bitwise_left_shift": "left_shift",
+    ">>": "right_shift", "rshift": "right_shift", "bitwise_right_shift": "right_shift",
+    "and": "logical_and",
+    "or": "logical_or",
+    "min": "minimum",
+    "max": "maximum",
+    "logaddexp": "logaddexp",
+    "logical_xor": "logical_xor",
+    "atan2": "arctan2",
+}
 UNARY_NAMES = {
-    "+": "positive", "pos": "positive", "positive": "positive", "-": "negative", "neg": "negative", "negative": "negative",
-    "~": "invert", "invert": "invert", "bitwise_invert": "invert", "not": "logical_not", "logical_not": "logical_not", "abs": "absolute", "absolute": "absolute",
-    "sqrt": "sqrt", "exp": "exp", "log": "log", "log1p": "log1p", "log10": "log10", "log2": "log2", "sin": "sin", "cos": "cos", "tan": "tan",
-    "sinh": "sinh", "cosh": "cosh", "tanh": "tanh", "asin": "arcsin", "acos": "arccos", "atan": "arctan", "asinh": "arcsinh", "acosh": "arccosh", "atanh": "arctanh",
-}
+    "+": "positive", "pos": "positive", "positive": "positive",
+    "-": "negative", "neg": "negative", "negative": "negative",
+    "~": "invert", "invert": "invert", "bitwise_invert": "invert",
+    "not": "logical_not", "logical_not": "logical_not",
+    "abs": "absolute", "absolute": "absolute",
+    "sqrt": "sqrt",
+    "exp": "exp",
+    "log": "log",
+    "log1p": "log1p",
+    "log10": "log10",
+    "log2": "log2",
+    "sin": "sin",
+    "cos": "cos",
+    "tan": "tan",
+    "sinh": "sinh",
+    "cosh": "cosh",
+    "tanh": "tanh",
+    "asin": "arcsin",
+    "acos": "arccos",
+    "atan": "arctan",
+    "asinh": "arcsinh",
+    "acosh": "arccosh",
+    "atanh": "arctanh",
+}
 COMPARISONS = {"equal": lambda a, b: a == b, "not_equal": lambda a, b: a != b, "less": lambda a, b: a < b, "less_equal": lambda a, b: a <= b, "greater": lambda a, b: a > b, "greater_equal": lambda a, b: a >= b}
 LOGICAL = {"logical_and": lambda a, b: a & b, "logical_or": lambda a, b: a | b, "logical_xor": lambda a, b: a != b}
 BITS = {"bitwise_and": ("bitwiseAND", lambda a, b: a & b), "bitwise_or": ("bitwiseOR", lambda a, b: a | b), "bitwise_xor": ("bitwiseXOR", lambda a, b: a != b)}

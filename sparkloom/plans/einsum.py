@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +21,24 @@ from ..tensor import SparseTensor
 from .grid import grid
 from .parse import Access, Call, Literal, Program, parse
 
+# The language's spellings of the reductions, spelling: array function.
 REDUCTIONS = {
-    "+": "sum", "add": "sum", "sum": "sum", "*": "prod", "mul": "prod", "prod": "prod", "and": "all", "all": "all", "or": "any", "any": "any", "min": "min", "max": "max",
-    "argmin": "argmin", "argmax": "argmax", "mean": "mean", "std": "std", "var": "var", "count_nonzero": "count_nonzero", "&": "bit_and", "|": "bit_or", "^": "bit_xor",
-}
+    "+": "sum", "add": "sum", "sum": "sum",
+    "*": "prod", "mul": "prod", "prod": "prod",
+    "and": "all", "all": "all",
+    "or": "any", "any": "any",
+    "min": "min",
+    "max": "max",
+    "argmin": "argmin",
+    "argmax": "argmax",
+    "mean": "mean",
+    "std": "std",
+    "var": "var",
+    "count_nonzero": "count_nonzero",
+    "&": "bit_and",
+    "|": "bit_or",
+    "^": "bit_xor",
+}
 #: (operation, value): f(value, x) is value for every finite x.
 ANNIHILATORS = {"multiply": (0, 0.0, False), "logical_and": (0, 0.0, False), "bitwise_and": (0, False)}
 #: reduction: operations that distribute over it, and the fill at which cells vanish.
@@ -310,12 +325,12 @@ class Lowering:
             rest = number * n if reduction == "sum" else float(number)
             if number != number or (isinstance(number, float) and math.isinf(number)):
                 rest = number
+        elif reduction == "prod" and r.kind != "float":
+            return self.integer_product(r, number, n)
         elif reduction == "prod":
             aggs = [F.product(x.cast("double")).alias("s")]
             value = F.when(short, F.col("s") * F.pow(F.lit(float(number)), lack.cast("double"))).otherwise(F.col("s"))
-            value = value if r.kind == "float" else F.round(value).cast("bigint")
             rest = S.on_values("power", float(number), float(n))
-            rest = rest if r.kind == "float" else int(rest)
         elif reduction in ("all", "any"):
             both = reduction == "all"
             aggs = [(F.bool_and if both else F.bool_or)(S.truth(r.kind, v)).alias("s")]
@@ -352,6 +367,28 @@ class Lowering:
         df = df.select(*out, value.alias("v"))
         return self.finish(Relation(df, out, rest, "float"), rest)
 
+    def integer_product(self, r: Relation, number: int, n: int) -> SparseTensor:
+        """Exact 64-bit products; one that needs more bits is an overflow error.
+
+        Equal magnitudes are counted first, so what is gathered of a group are its distinct magnitudes above 1, and a product with more
+        than 20 of them does not fit in 64 bits.
+        """
+        out, one = self.program.indices, F.lit(1).cast("bigint")
+        x = S.num(r.kind, F.col("v")).cast("bigint")
+        counted = r.df.groupBy(*out, F.abs(x).alias("size")).agg(F.count(F.lit(1)).alias("c"), F.count_if(x < 0).alias("below"))
+        power = F.struct("size", F.col("c").alias("times"))
+        aggs = [F.sum("c").alias("c"), F.sum("below").alias("below"), F.min("size").alias("least"), F.collect_list(F.when(F.col("size") > 1, power)).alias("powers")]
+        grouped = counted.groupBy(*out).agg(*aggs) if out else counted.agg(*aggs).where("c > 0")
+        lack = F.lit(n).cast("bigint") - F.col("c")
+        filled = F.when(lack > 0, S.power(F.lit(number), lack, True)).otherwise(one)
+        size = F.aggregate("powers", one, lambda held, p: held * S.power(p["size"], p["times"], True))
+        sign = F.when(F.col("below") % 2 == 1, -one).otherwise(one)
+        zero = (F.col("least") == 0) | ((lack > 0) & F.lit(number == 0))
+        value = F.when(zero, F.lit(0).cast("bigint")).otherwise(sign * size * filled)
+        with np.errstate(all="ignore"):
+            rest = int(np.power(np.int64(number), np.int64(n)))
+        return self.finish(Relation(grouped.select(*out, value.alias("v")), out, rest, "int"), rest)
+
     def arg(self, r: Relation, reduction: str, reduced: tuple[str, ...]) -> SparseTensor:
         if len(reduced) != 1:
             raise ValueError(f"{reduction} reduces exactly one index")
