@@ -5,11 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import SparkSession
 
-from .operators import linear
+from .operators import linear, solvers
 from .plans.einsum import einsum
 from .sources.interchange import Interchange, export, ingest
 from .storage import cut
-from .tensor import SparseTensor
+from .tensor import SparseTensor, from_numpy
+
+#: Unknowns of a system that the driver solves: its matrix has 32 MB.
+DIRECT = 2048
 
 
 class SparkFramework:
@@ -39,10 +42,17 @@ class SparkFramework:
         return t.with_fill_value(value)
 
     def solve(self, a: SparseTensor, b: SparseTensor) -> SparseTensor:
-        """A direct solve on the driver, for small systems; use the iterative solvers beyond."""
-        from .tensor import from_numpy
-
-        return from_numpy(self.spark, np.linalg.solve(a.to_numpy(), b.to_numpy()))
+        """x with A x = b. Up to DIRECT unknowns are solved on the driver; more by GMRES in tasks, and a residual above 1e-8 of b is an error."""
+        n = a.shape[0]
+        if a.shape != (n, n):
+            raise ValueError("the matrix is not square")
+        if n <= DIRECT:
+            return from_numpy(self.spark, np.linalg.solve(a.to_numpy(), b.to_numpy()))
+        x = solvers.gmres(a, b, linear.zeros(self.spark, (n,)), tol=1e-11, max_iter=2000)
+        gap = einsum("G[i] = P[i] - B[i]", P=linear.matmul(a, x), B=b)
+        if linear.norm(gap) > 1e-8 * max(linear.norm(b), 1e-300):
+            raise RuntimeError("the system was not solved")
+        return x
 
     matmul = staticmethod(linear.matmul)
     vecdot = staticmethod(linear.vecdot)

@@ -9,10 +9,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import Rounds, cut
 from ..tensor import SparseTensor
 from .linear import BROADCAST_CELLS
 
+#: Numbers of a starting factor that the driver draws.
+DRIVER_CELLS = 1_000_000
 #: Longest axis whose Gram matrix is gathered for an eigendecomposition.
 GRAM_ROWS = 4096
 
@@ -22,8 +24,12 @@ def factor_table(spark: SparkSession, f: np.ndarray) -> DataFrame:
 
 
 def seeded_factor(spark: SparkSession, n: int, rank: int, seed: int = 0) -> DataFrame:
-    """Starting values in [0, 1): those of a fresh seeded generator, so factors of equal size start equal."""
-    return factor_table(spark, np.random.default_rng(seed).random((n, rank)))
+    """Starting values in [0, 1), equal for factors of equal size: those of a fresh seeded generator, or, beyond
+    DRIVER_CELLS numbers, hashes of seed and place that the tasks draw."""
+    if n * rank <= DRIVER_CELLS:
+        return factor_table(spark, np.random.default_rng(seed).random((n, rank)))
+    value = lambda r: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", F.lit(r)), 11).cast("double") / float(1 << 53)
+    return spark.range(n).select(F.col("id").alias("i"), F.array(*[value(r) for r in range(rank)]).alias("f"))
 
 
 def joined_factors(x: DataFrame, factors: list[DataFrame], shape, skip: int) -> tuple[DataFrame, list[str]]:
@@ -63,13 +69,13 @@ def cp_als(x: SparseTensor, rank: int, max_iter: int = 50, seed: int = 0) -> tup
     spark, order = x.spark, x.rank
     x = x.with_df(cut(x.df))
     factors = [seeded_factor(spark, n, rank, seed) for n in x.shape]
-    grams = [gram(f, rank) for f in factors]
+    grams, kept = [gram(f, rank) for f in factors], Rounds(2 * order)
     for _ in range(max_iter):
         for mode in range(order):
             g = reduce(np.multiply, [grams[k] for k in range(order) if k != mode])
             solved = mttkrp(x, factors, mode, rank).select("i", times_small(F.col("m"), np.linalg.pinv(g)).alias("f"))
             every = spark.range(x.shape[mode]).withColumnRenamed("id", "i").join(solved, "i", "left")
-            factors[mode] = cut(every.select("i", F.coalesce("f", F.array(*[F.lit(0.0)] * rank)).alias("f")))
+            factors[mode] = kept.cut(every.select("i", F.coalesce("f", F.array(*[F.lit(0.0)] * rank)).alias("f")))
             grams[mode] = gram(factors[mode], rank)
     norms = [np.sqrt(np.diag(g)) for g in grams]
     scaled = [f.select("i", F.array(*[F.col("f")[r] / float(max(n[r], 1e-10)) for r in range(rank)]).alias("f")) for f, n in zip(factors, norms, strict=True)]

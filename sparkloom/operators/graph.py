@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import Appended, Rounds, cut
 from ..tensor import SparseTensor
-from .linear import BROADCAST_CELLS, spmv
+from .linear import BROADCAST_CELLS, prepared, spmv
 
 
 def edges(a: SparseTensor) -> DataFrame:
@@ -24,28 +24,28 @@ def small(df: DataFrame, n: int) -> DataFrame:
 def bfs_levels(a: SparseTensor, source: int) -> SparseTensor:
     """Level of every vertex: 1 for the source, 0 (the fill) for what it does not reach."""
     spark, e = a.spark, cut(edges(a).select("s", "t").distinct())
-    visited = spark.createDataFrame([(source, 1)], "i long, level long")
-    frontier, level = visited.select("i"), 1
+    frontier, level = spark.createDataFrame([(source, 1)], "i long, level long"), 1
+    visited = Appended(frontier, "visited")
     while True:
         level += 1
-        step = e.join(small(frontier, a.shape[0]), e["s"] == F.col("i")).select(F.col("t").alias("i")).distinct()
-        frontier = cut(step.join(visited.select("i"), "i", "left_anti"))
+        step = e.join(small(frontier.select("i"), a.shape[0]), e["s"] == F.col("i")).select(F.col("t").alias("i")).distinct()
+        new = step.join(visited.read().select("i"), "i", "left_anti").withColumn("level", F.lit(level).cast("long"))
+        frontier = visited.append(new)
         if frontier.isEmpty():
             break
-        visited = cut(visited.union(frontier.withColumn("level", F.lit(level).cast("long"))))
-    return SparseTensor(visited.select(F.col("i").alias("i0"), F.col("level").alias("v")), (a.shape[0],), 0)
+    return SparseTensor(visited.read().select(F.col("i").alias("i0"), F.col("level").alias("v")), (a.shape[0],), 0)
 
 
 def bellman_ford(a: SparseTensor, source: int) -> SparseTensor:
     """Distances from a source; absent edges are infinite (the tensor's fill), so are unreached vertices. At most n rounds."""
-    spark, e = a.spark, cut(edges(a.with_fill_value(math.inf)))
-    state = spark.createDataFrame([(source, 0.0)], "i long, d double")
+    spark, e, rounds = a.spark, cut(edges(a.with_fill_value(math.inf))), Rounds()
+    state = spark.createDataFrame([(source, 0.0, True)], "i long, d double, moved boolean")
     for _ in range(a.shape[0]):
-        relaxed = e.join(small(state, a.shape[0]), e["s"] == F.col("i")).select(F.col("t").alias("i"), (F.col("d") + F.col("w")).alias("d"))
-        new = cut(state.union(relaxed).groupBy("i").agg(F.min("d").alias("d")))
-        changed = not new.exceptAll(state).isEmpty()
-        state = new
-        if not changed:
+        # only what got nearer in the round before can bring others nearer
+        relaxed = e.join(small(state.where("moved"), a.shape[0]), e["s"] == F.col("i")).select(F.col("t").alias("i"), (F.col("d") + F.col("w")).alias("d"), F.lit(None).cast("double").alias("old"))
+        both = state.select("i", "d", F.col("d").alias("old")).union(relaxed).groupBy("i").agg(F.min("d").alias("d"), F.max("old").alias("old"))
+        state = rounds.cut(both.select("i", "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("moved")))
+        if state.where("moved").isEmpty():
             break
     return SparseTensor(state.select(F.col("i").alias("i0"), F.col("d").alias("v")), (a.shape[0],), math.inf)
 
@@ -60,9 +60,10 @@ def all_pairs(a: SparseTensor) -> SparseTensor:
     """Shortest path lengths between all pairs, by min-plus squaring until nothing changes."""
     n = a.shape[0]
     own = a.spark.range(n).select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0.0).alias("w"))
-    d = cut(edges(a.with_fill_value(math.inf)).select("s", "t", F.col("w").cast("double")).union(own).groupBy("s", "t").agg(F.min("w").alias("w")))
+    rounds = Rounds()
+    d = rounds.cut(edges(a.with_fill_value(math.inf)).select("s", "t", F.col("w").cast("double")).union(own).groupBy("s", "t").agg(F.min("w").alias("w")))
     for _ in range(max(1, math.ceil(math.log2(max(n, 2))))):
-        new = cut(min_plus_square(d))
+        new = rounds.cut(min_plus_square(d))
         same = new.exceptAll(d).isEmpty()
         d = new
         if same:
@@ -75,44 +76,53 @@ def pagerank(a: SparseTensor, alpha: float = 0.85, max_iter: int = 100, tol: flo
     n, spark = a.shape[0], a.spark
     out = a.df.groupBy(F.col("i1").alias("j")).agg(F.sum(F.col("v").cast("double")).alias("out"))
     flow = a.df.join(small(out, n), F.col("i1") == F.col("j")).where("out <> 0")
-    flow = cut(flow.select("i0", "i1", (F.col("v") / F.col("out")).alias("v")))
+    flow = prepared(flow.select("i0", "i1", (F.col("v") / F.col("out")).alias("v")), n)
+    rounds = Rounds()
     gives = cut(out.where("out <> 0").select(F.col("j").alias("i"), F.lit(True).alias("gives")))
     rank = cut(spark.range(n).select(F.col("id").alias("i"), F.lit(1.0 / n).alias("x")).join(gives, "i", "left").fillna(False))
     for _ in range(max_iter):
         lost = rank.where("not gives").agg(F.sum("x")).first()[0] or 0.0
         got = spmv(flow, rank, n)
         base = (1 - alpha) / n + alpha * lost / n
-        new = cut(rank.join(got, "i", "left").select("i", F.col("x").alias("old"), (F.coalesce("y", F.lit(0.0)) * alpha + base).alias("x"), "gives"))
+        new = rounds.cut(rank.join(got, "i", "left").select("i", F.col("x").alias("old"), (F.coalesce("y", F.lit(0.0)) * alpha + base).alias("x"), "gives"))
         gap = math.sqrt(new.agg(F.sum((F.col("x") - F.col("old")) ** 2)).first()[0])
         if gap < tol:
             break
         rank = new.select("i", "x", "gives")
+    flow.unpersist()
     return SparseTensor(rank.select(F.col("i").alias("i0"), F.col("x").alias("v")), (n,), 0.0)
 
 
-def betweenness(a: SparseTensor) -> SparseTensor:
-    """Unnormalised betweenness, endpoints excluded, all sources at once keyed by (source, vertex). Loops are ignored."""
+def betweenness(a: SparseTensor, batch: int = 1024) -> SparseTensor:
+    """Unnormalised betweenness, endpoints excluded, keyed by (source, vertex) for ``batch`` sources at a time. Loops are ignored."""
     n, spark = a.shape[0], a.spark
     e = cut(edges(a).where("s <> t").select("s", "t", F.col("w").cast("double").alias("w")))
-    reached = spark.range(n).select(F.col("id").alias("o"), F.col("id").alias("x"), F.lit(0).alias("depth"), F.lit(1.0).alias("paths"))
-    reached, depth = cut(reached), 0
+    totals = Appended(spark.createDataFrame([], "x long, v double"), "betweenness")
+    for start in range(0, n, batch):
+        totals.append(dependencies(e, spark.range(start, min(n, start + batch))))
+    total = totals.read().groupBy("x").agg(F.sum("v").alias("v")).select(F.col("x").alias("i0"), "v")
+    return SparseTensor(total, (n,), 0.0)
+
+
+def dependencies(e: DataFrame, sources: DataFrame) -> DataFrame:
+    """(x, v): what the shortest paths from the sources (id) pass through x. Levels outward, then back; each is written once."""
+    first = sources.select(F.col("id").alias("o"), F.col("id").alias("x"), F.lit(0).alias("depth"), F.lit(1.0).alias("paths"))
+    reached, levels = Appended(first, "reached"), [first]
     while True:
-        front = reached.where(F.col("depth") == depth)
+        front, depth = levels[-1], len(levels)
         step = front.join(e, front["x"] == e["s"]).groupBy("o", "t").agg(F.sum(F.col("paths") * F.col("w")).alias("paths")).withColumnRenamed("t", "x")
-        depth += 1
-        new = cut(step.join(reached.select("o", "x"), ["o", "x"], "left_anti").select("o", "x", F.lit(depth).alias("depth"), "paths"))
+        new = reached.append(step.join(reached.read().select("o", "x"), ["o", "x"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
-        reached = cut(reached.union(new))
-    gain = spark.createDataFrame([], "o long, x long, delta double")
-    for level in range(depth - 1, 1, -1):
-        below = reached.where(F.col("depth") == level).join(gain, ["o", "x"], "left")
-        share = below.select("o", F.col("x").alias("t"), ((1 + F.coalesce("delta", F.lit(0.0))) / F.greatest("paths", F.lit(1e-10))).alias("share"))
-        above = reached.where(F.col("depth") == level - 1).select("o", F.col("x").alias("s"), "paths")
-        up = share.join(e, "t").join(above, ["o", "s"]).groupBy("o", F.col("s").alias("x")).agg(F.sum(F.col("share") * F.col("w") * F.col("paths")).alias("delta"))
-        gain = cut(gain.union(up))
-    total = gain.groupBy("x").agg(F.sum("delta").alias("v")).select(F.col("x").alias("i0"), "v")
-    return SparseTensor(total, (n,), 0.0)
+        levels.append(new)
+    gain = Appended(e.sparkSession.createDataFrame([], "o long, x long, delta double"), "gain")
+    below = gain.read()
+    for front, above in zip(levels[:1:-1], levels[-2:0:-1], strict=True):
+        own = front.join(below, ["o", "x"], "left")
+        share = own.select("o", F.col("x").alias("t"), ((1 + F.coalesce("delta", F.lit(0.0))) / F.greatest("paths", F.lit(1e-10))).alias("share"))
+        up = share.join(e, "t").join(above.select("o", F.col("x").alias("s"), "paths"), ["o", "s"])
+        below = gain.append(up.groupBy("o", F.col("s").alias("x")).agg(F.sum(F.col("share") * F.col("w") * F.col("paths")).alias("delta")))
+    return gain.read().groupBy("x").agg(F.sum("delta").alias("v"))
 
 
 def upward(a: SparseTensor) -> DataFrame:
@@ -139,16 +149,16 @@ def four_cliques(a: SparseTensor) -> float:
 def components(a: SparseTensor) -> SparseTensor:
     """Smallest vertex of each vertex's component in a symmetric graph: hooking of trees, shortcuts and pointer jumps."""
     n, spark = a.shape[0], a.spark
-    e = cut(edges(a).select("s", "t").distinct())
-    state = cut(spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("f"), F.col("id").alias("g")))
+    e, rounds = cut(edges(a).select("s", "t").distinct()), Rounds(4)
+    state = rounds.cut(spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("f"), F.col("id").alias("g")))
     while True:
         near = e.join(state.select(F.col("i").alias("t"), F.col("g").alias("tg")), "t").groupBy(F.col("s").alias("i")).agg(F.min("tg").alias("m"))
         own = state.join(near, "i", "left")
         hooked = own.where("m is not null").groupBy(F.col("f").alias("i")).agg(F.min("m").alias("h"))
         parents = own.join(hooked, "i", "left").select("i", F.least(F.coalesce("h", "g"), F.coalesce("m", "g"), "g").alias("f"), F.col("g").alias("old"))
-        parents = cut(parents)
+        parents = rounds.cut(parents)
         grand = parents.select(F.col("i").alias("f"), F.col("f").alias("g"))
-        new = cut(parents.join(grand, "f").select("i", "f", "g", "old"))
+        new = rounds.cut(parents.join(grand, "f").select("i", "f", "g", "old"))
         if new.where("g <> old").isEmpty():
             break
         state = new.select("i", "f", "g")
@@ -159,10 +169,11 @@ def closure(a: SparseTensor) -> SparseTensor:
     """Reflexive transitive closure as a boolean matrix."""
     n = a.shape[0]
     own = a.spark.range(n).select(F.col("id").alias("s"), F.col("id").alias("t"))
-    r = cut(edges(a).select("s", "t").union(own).distinct())
+    rounds = Rounds()
+    r = rounds.cut(edges(a).select("s", "t").union(own).distinct())
     count = r.count()
     while True:
-        r = cut(r.toDF("s", "k").join(r.toDF("k", "t"), "k").select("s", "t").distinct())
+        r = rounds.cut(r.toDF("s", "k").join(r.toDF("k", "t"), "k").select("s", "t").distinct())
         if (now := r.count()) == count:
             break
         count = now
@@ -184,13 +195,14 @@ def strong_components(a: SparseTensor) -> SparseTensor:
 
 def transitive_reduction(a: SparseTensor, x: float = 1, max_iters: int = 10) -> SparseTensor:
     """Drop an edge where a two-hop path is no longer than the row's largest edge plus x; absent cells are infinite."""
-    r = cut(edges(a.with_fill_value(math.inf)).select("s", "t", F.col("w").cast("double")))
+    rounds = Rounds()
+    r = rounds.cut(edges(a.with_fill_value(math.inf)).select("s", "t", F.col("w").cast("double")))
     count = r.count()
     for _ in range(max_iters):
         two = min_plus_square(r).withColumnRenamed("w", "n")
         top = r.groupBy("s").agg(F.max("w").alias("top"))
         gone = two.join(top, "s").where(F.col("top") + x >= F.col("n")).select("s", "t")
-        r = cut(r.join(gone, ["s", "t"], "left_anti"))
+        r = rounds.cut(r.join(gone, ["s", "t"], "left_anti"))
         if (now := r.count()) == count:
             break
         count = now
@@ -207,17 +219,18 @@ def markov_clustering(a: SparseTensor, expansion: int = 2, inflation: float = 2,
     n = a.shape[0]
     loops = a.spark.range(n).select(F.col("id").alias("i0"), F.col("id").alias("i1"), F.lit(float(loop_value)).alias("v"))
     m = a.df.select("i0", "i1", F.col("v").cast("double")).union(loops).groupBy("i0", "i1").agg(F.sum("v").alias("v"))
-    m = cut(normalised_columns(m))
+    rounds = Rounds(4)
+    m = rounds.cut(normalised_columns(m))
     for it in range(iterations):
         before, grown = m, m
         for _ in range(expansion - 1):
             grown = grown.toDF("i0", "k", "p").join(before.toDF("k", "i1", "q"), "k").groupBy("i0", "i1").agg(F.sum(F.col("p") * F.col("q")).alias("v"))
         m = normalised_columns(grown.select("i0", "i1", F.pow("v", F.lit(float(inflation))).alias("v")))
         if pruning_threshold > 0 and it % pruning_frequency == pruning_frequency - 1:
-            m = cut(m)
+            m = rounds.cut(m)
             top = m.groupBy("i1").agg(F.max("v").alias("top"))
             m = m.join(top, "i1").where((F.col("v") >= pruning_threshold) | ((F.col("v") == F.col("top")) & (F.col("v") > 0))).select("i0", "i1", "v")
-        m = cut(m)
+        m = rounds.cut(m)
         if it % check_frequency == check_frequency - 1:
             both = m.toDF("i0", "i1", "p").join(before.toDF("i0", "i1", "q"), ["i0", "i1"], "full").fillna(0.0)
             if both.where(F.abs(F.col("p") - F.col("q")) > 1e-8 + 1e-5 * F.abs("q")).isEmpty():

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.grid import grid
-from ..storage import cut
+from ..storage import Rounds, cut, written
 from ..tensor import SparseTensor, from_numpy
 from . import linear
 
+#: Numbers of the queries that are broadcast at once.
+QUERY_CELLS = 4_000_000
+
 
 def affine(x: SparseTensor, w: np.ndarray, b: np.ndarray) -> SparseTensor:
     """x @ w + b with every row present, so rows without entries get the bias."""
@@ -99,33 +103,39 @@ def signs(spark: SparkSession, d: int, t: int, seed: int = 0) -> SparseTensor:
 def nearest(data: SparseTensor, query: SparseTensor, projection: SparseTensor | None, k: int = 5) -> DataFrame:
     """(query, rank, neighbour, distance): the k nearest rows of ``data`` in the projected space, ties by index.
 
-    The queries are a stated, small set: they are broadcast as arrays, and each data
-    bucket keeps its own k best before the final ranking.
+    Queries are broadcast as arrays, in blocks of at most QUERY_CELLS numbers; each bucket of the data
+    keeps its own k best before the final ranking.
     """
     p, q = (linear.matmul(x, projection) if projection is not None else x for x in (data, query))
     rows = lambda t, name: t.dense().df.groupBy("i0").agg(F.transform(F.array_sort(F.collect_list(F.struct("i1", "v"))), lambda s: s["v"]).alias(name))
-    pairs = rows(p, "d").withColumnRenamed("i0", "n").crossJoin(F.broadcast(rows(q, "q").withColumnRenamed("i0", "m")))
+    near, far = written(rows(p, "d").withColumnRenamed("i0", "n"), "rows"), written(rows(q, "q").withColumnRenamed("i0", "m"), "queries")
+    blocks = -(-q.shape[0] * q.shape[1] // QUERY_CELLS)
     gap = F.sqrt(F.aggregate(F.zip_with("d", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    far = SparseTensor(pairs.select(F.col("m").alias("i0"), F.col("n").alias("i1"), gap.alias("v")), (query.shape[0], data.shape[0]), math.inf)
-    from pyspark.sql import Window
-
     inner = Window.partitionBy("i0", F.pmod(F.xxhash64("i1"), F.lit(64))).orderBy("v", "i1")
-    best = far.df.withColumn("r", F.row_number().over(inner)).where(F.col("r") <= k)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("i0").orderBy("v", "i1")) - 1).where(F.col("rank") < k)
-    return best.select(F.col("i0").alias("query"), "rank", F.col("i1").alias("neighbour"), F.col("v").alias("distance"))
+    found = []
+    for block in range(max(1, blocks)):
+        own = far if blocks <= 1 else far.where(F.pmod("m", F.lit(blocks)) == block)
+        pairs = near.crossJoin(F.broadcast(own)).select(F.col("m").alias("i0"), F.col("n").alias("i1"), gap.alias("v"))
+        best = pairs.withColumn("r", F.row_number().over(inner)).where(F.col("r") <= k)
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("i0").orderBy("v", "i1")) - 1).where(F.col("rank") < k)
+        best = best.select(F.col("i0").alias("query"), "rank", F.col("i1").alias("neighbour"), F.col("v").alias("distance"))
+        if blocks <= 1:
+            return best
+        found.append(written(best, "nearest"))
+    return functools.reduce(DataFrame.union, found)
 
 
 def k_means(a: SparseTensor, k: int, max_iter: int = 100) -> SparseTensor:
-    """Lloyd's rounds from the first k rows; ties go to the lowest cluster, an empty cluster keeps its place."""
-    t = a.shape[1]
+    """Lloyd's rounds from the first k rows; ties go to the lowest cluster, an empty cluster keeps its place. The centres are one broadcast row."""
+    spark, t, kept = a.spark, a.shape[1], Rounds()
     rows = cut(a.dense().df.groupBy("i0").agg(F.transform(F.array_sort(F.collect_list(F.struct("i1", F.col("v").cast("double").alias("v")))), lambda s: s["v"]).alias("p")))
     first = rows.where(F.col("i0") < k).orderBy("i0").collect()
     centres = np.array([r["p"] for r in first])
     labels = rows.select("i0", "p", F.lit(0).cast("long").alias("v"))
     for _ in range(max_iter):
-        made = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
-        gaps = F.transform(made, lambda c, j: F.struct(F.aggregate(F.zip_with("p", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), j.cast("long").alias("j")))
-        new = cut(labels.select("i0", "p", F.col("v").alias("old"), F.array_min(gaps)["j"].alias("v")))
+        made = F.broadcast(spark.createDataFrame([(centres.tolist(),)], "centres array<array<double>>"))
+        gaps = F.transform("centres", lambda c, j: F.struct(F.aggregate(F.zip_with("p", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), j.cast("long").alias("j")))
+        new = kept.cut(labels.crossJoin(made).select("i0", "p", F.col("v").alias("old"), F.array_min(gaps)["j"].alias("v")))
         moved = new.where("v <> old").isEmpty()
         means = new.select("v", F.posexplode("p").alias("d", "x")).groupBy("v", "d").agg(F.avg("x").alias("x")).toPandas()
         centres = centres.copy()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from ..functions import scalars as S
 from ..plans.einsum import BROADCAST_CELLS, REDUCTIONS, Lowering, einsum
 from ..plans.grid import grid
 from ..plans.parse import Access, Call, Literal, Program
+from ..storage import cut
 from ..tensor import SparseTensor, index_names
 
 LETTERS = [f"x{k}" for k in range(16)]
@@ -60,6 +62,20 @@ def spmv(rows: DataFrame, x: DataFrame, n: int, transposed: bool = False) -> Dat
     return rows.join(side, inner).groupBy(F.col(out).alias("i")).agg(F.sum(F.col("v") * F.col("x")).alias("y"))
 
 
+def prepared(rows: DataFrame, n: int, transposed: bool = False) -> DataFrame:
+    """Matrix rows (i0, i1, v) for many products with vectors of n entries.
+
+    Beyond the size at which vectors are broadcast, the matrix is dealt by its inner index once and kept on the
+    executors' disks, so a product shuffles vectors and partial sums, never the matrix. What a lost executor held
+    is dealt again from the files.
+    """
+    rows = cut(rows)
+    if n <= BROADCAST_CELLS:
+        return rows
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(many, "i0" if transposed else "i1").persist(StorageLevel.DISK_ONLY)
+
+
 # --- elementwise ----------------------------------------------------------------
 
 

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import Appended, Rounds, cut
 from ..tensor import SparseTensor
-from .linear import spmv
+from .linear import prepared, spmv
 
 
 def vector(t: SparseTensor, name: str) -> DataFrame:
@@ -25,8 +25,9 @@ def as_tensor(state: DataFrame, name: str, n: int) -> SparseTensor:
     return SparseTensor(state.select(F.col("i").alias("i0"), F.col(name).alias("v")), (n,), 0.0)
 
 
-def matrix(a: SparseTensor) -> DataFrame:
-    return cut(a.df.select("i0", "i1", F.col("v").cast("double").alias("v")))
+def matrix(a: SparseTensor, transposed: bool = False) -> DataFrame:
+    """Rows for many products with a vector; ``unpersist`` them afterwards."""
+    return prepared(a.df.select("i0", "i1", F.col("v").cast("double").alias("v")), a.shape[0 if transposed else 1], transposed)
 
 
 def times(a: DataFrame, state: DataFrame, name: str, into: str, n: int, transposed: bool = False) -> DataFrame:
@@ -102,99 +103,102 @@ def block_preconditioner(factors: SparseTensor) -> Preconditioner:
 
 def preconditioned_cg(a: SparseTensor, b: SparseTensor, x0: SparseTensor, precondition: Preconditioner | None, rel_tol: float = 1e-8, abs_tol: float = 1e-20, max_iters: int = 10_000, trace: list | None = None) -> SparseTensor:
     """trace: gets the step and the direction coefficient of every round."""
-    n, rows = a.shape[0], matrix(a)
+    n, rows, rounds = a.shape[0], matrix(a), Rounds(4)
     state = times(rows, vector(b, "b").join(vector(x0, "x"), "i"), "x", "q", n)
     state = state.withColumn("r", col("b") - col("q"))
     z = (lambda s: s.withColumn("z", col("r"))) if precondition is None else precondition
-    state = cut(z(state).withColumn("p", col("z")))
+    state = rounds.cut(z(state).withColumn("p", col("z")))
     bb, rr, rz = total(state, col("b") ** 2, col("r") ** 2, col("r") * col("z"))
     limit = max(rel_tol**2 * bb, abs_tol**2)
     for _ in range(max_iters):
         if rr <= limit:
             break
-        state = cut(times(rows, state, "p", "q", n))
+        state = rounds.cut(times(rows, state, "p", "q", n))
         (pq,) = total(state, col("p") * col("q"))
         alpha = rz / pq
         state = state.withColumns({"x": col("x") + alpha * col("p"), "r": col("r") - alpha * col("q")})
         # without a preconditioner all that follows is a projection of the checkpoint
-        state = z(state) if precondition is None else cut(z(state))
+        state = z(state) if precondition is None else rounds.cut(z(state))
         rr, new = total(state, col("r") ** 2, col("r") * col("z"))
         if trace is not None:
             trace.append((alpha, new / rz))
         state, rz = state.withColumn("p", col("z") + (new / rz) * col("p")), new
+    rows.unpersist()
     return as_tensor(state, "x", n)
 
 
 def jacobi(a: SparseTensor, b: SparseTensor, x0: SparseTensor, rel_tol: float = 1e-6, abs_tol: float = 1e-20, max_iters: int = 1000) -> SparseTensor:
     """x + (b - A x) / diag(A); a missing or zero diagonal is an error, and so is running out of rounds."""
-    n, rows = a.shape[0], matrix(a)
+    n, rows, kept = a.shape[0], matrix(a), Rounds()
     d = rows.where("i0 = i1 and v <> 0").select(F.col("i0").alias("i"), F.col("v").alias("d"))
     if d.count() != n:
         raise ValueError("the diagonal has zeros")
     state = vector(b, "b").join(vector(x0, "x"), "i").join(d, "i")
-    state = cut(times(rows, state, "x", "q", n).withColumn("r", col("b") - col("q")))
+    state = kept.cut(times(rows, state, "x", "q", n).withColumn("r", col("b") - col("q")))
     bb, rr = total(state, col("b") ** 2, col("r") ** 2)
     limit, rounds = max(rel_tol * math.sqrt(bb), abs_tol), 0
     while math.sqrt(rr) >= limit:
         if rounds == max_iters:
             raise RuntimeError("Jacobi did not converge")
         state = state.withColumn("x", col("x") + col("r") / col("d"))
-        state = cut(times(rows, state, "x", "q", n).withColumn("r", col("b") - col("q")))
+        state = kept.cut(times(rows, state, "x", "q", n).withColumn("r", col("b") - col("q")))
         (rr,) = total(state, col("r") ** 2)
         rounds += 1
+    rows.unpersist()
     return as_tensor(state, "x", n)
 
 
 def gmres(a: SparseTensor, b: SparseTensor, x0: SparseTensor, restart: int = 50, tol: float = 1e-8, max_iter: int = 1000) -> SparseTensor:
-    """Arnoldi vectors stay distributed, one column each; the small least-squares problem is solved on the driver."""
-    n, rows, rounds = a.shape[0], matrix(a), 0
+    """Arnoldi vectors are rows (k, i, q) of a table that grows by one vector a step; the small least-squares problem is solved on the driver."""
+    n, rows, rounds, kept = a.shape[0], matrix(a), 0, Rounds(3)
     state = cut(times(rows, vector(b, "b").join(vector(x0, "x"), "i"), "x", "q", n).withColumn("r", col("b") - col("q")))
     beta = first = math.sqrt(total(state, col("r") ** 2)[0])
     if first < tol:
         return as_tensor(state, "x", n)
     while rounds < max_iter:
-        base = state.select("i", "b", col("x").alias("x_start"), (col("r") / beta).alias("q0"))
+        basis = Appended(state.select(F.lit(0).alias("k"), "i", (col("r") / beta).alias("q")), "basis")
+        last = basis.read()
         h = np.zeros((restart + 1, restart))
         for k in range(restart):
-            base = cut(times(rows, base, f"q{k}", "w", n))
-            dots = total(base, *[col(f"q{j}") * col("w") for j in range(k + 1)])
-            h[: k + 1, k] = dots
-            left = col("w")
-            for j, d in enumerate(dots):
-                left = left - d * col(f"q{j}")
-            base = base.withColumn("w", left)
-            h[k + 1, k] = math.sqrt(total(base, col("w") ** 2)[0])
+            w = kept.cut(times(rows, last.select("i", "q"), "q", "w", n).select("i", "w"))
+            every = basis.read().join(w, "i")
+            for j, d in every.groupBy("k").agg(F.sum(col("q") * col("w"))).collect():
+                h[j, k] = d
+            weight = F.array(*[F.lit(float(d)) for d in h[: k + 1, k]])
+            taken = basis.read().groupBy("i").agg(F.sum(col("q") * F.get(weight, col("k"))).alias("taken"))
+            w = kept.cut(w.join(taken, "i", "left").select("i", (col("w") - F.coalesce("taken", F.lit(0.0))).alias("w")))
+            h[k + 1, k] = math.sqrt(total(w, col("w") ** 2)[0])
             broke = h[k + 1, k] <= 1e-14 * first
             e1 = np.zeros(k + 2)
             e1[0] = beta
             c = np.linalg.lstsq(h[: k + 2, : k + 1], e1, rcond=None)[0]
-            x = col("x_start")
-            for j, v in enumerate(c):
-                x = x + float(v) * col(f"q{j}")
             gap = float(np.linalg.norm(e1 - h[: k + 2, : k + 1] @ c))
             rounds += 1
             if gap / first < tol or broke or rounds >= max_iter or k + 1 == restart:
                 break
-            base = base.withColumn(f"q{k + 1}", col("w") / h[k + 1, k])
-        state = cut(times(rows, base.select("i", "b", x.alias("x")), "x", "q", n).withColumn("r", col("b") - col("q")))
+            last = basis.append(w.select(F.lit(k + 1).alias("k"), "i", (col("w") / h[k + 1, k]).alias("q")))
+        step = basis.read().groupBy("i").agg(F.sum(col("q") * F.get(F.array(*[F.lit(float(v)) for v in c]), col("k"))).alias("step"))
+        moved = state.join(step, "i", "left").select("i", "b", (col("x") + F.coalesce("step", F.lit(0.0))).alias("x"))
+        state = cut(times(rows, moved, "x", "q", n).withColumn("r", col("b") - col("q")))
         beta = math.sqrt(total(state, col("r") ** 2)[0])
         if beta / first < tol or beta == 0:
             break
+    rows.unpersist()
     return as_tensor(state, "x", n)
 
 
 def lsqr(a: SparseTensor, b: SparseTensor, atol: float = 1e-9, btol: float = 1e-9, conlim: float = 1e8, max_iters: int = 10_000, trace: list | None = None) -> tuple[SparseTensor, int, int]:
     """(x, exit, rounds) for rectangular systems; exit 1: small residual, 2: small gradient, 3: ill conditioned, 0: zero solution or out of rounds."""
     (m, n), rows = a.shape, matrix(a)
+    turned, kept = matrix(a, True) if rows.is_cached else rows, Rounds(4)
     u = vector(b, "u")
     beta = b_norm = math.sqrt(total(u, col("u") ** 2)[0])
     empty = a.spark.range(n).select(F.col("id").alias("i"), F.lit(0.0).alias("x"))
     if beta == 0:
         return as_tensor(empty, "x", n), 0, 0
-    u = cut(u.withColumn("u", col("u") / beta))
-    right = times(rows, empty.withColumn("v", F.lit(0.0)), "x", "v", n).select("i", "x")
-    v = spmv(rows, u.select("i", F.col("u").alias("x")), m, True).withColumnRenamed("y", "v")
-    right = cut(empty.join(v, "i", "left").fillna(0.0, ["v"]))
+    u = kept.cut(u.withColumn("u", col("u") / beta))
+    v = spmv(turned, u.select("i", F.col("u").alias("x")), m, True).withColumnRenamed("y", "v")
+    right = kept.cut(empty.join(v, "i", "left").fillna(0.0, ["v"]))
     alpha = math.sqrt(total(right, col("v") ** 2)[0])
     if alpha == 0:
         return as_tensor(empty, "x", n), 0, 0
@@ -206,11 +210,11 @@ def lsqr(a: SparseTensor, b: SparseTensor, atol: float = 1e-9, btol: float = 1e-
     while it < max_iters and not code:
         it += 1
         av = spmv(rows, right.select("i", F.col("v").alias("x")), n).withColumnRenamed("y", "av")
-        u = cut(u.join(av, "i", "left").fillna(0.0, ["av"]).select("i", (col("av") - alpha * col("u")).alias("u")))
+        u = kept.cut(u.join(av, "i", "left").fillna(0.0, ["av"]).select("i", (col("av") - alpha * col("u")).alias("u")))
         beta = math.sqrt(total(u, col("u") ** 2)[0])
         u = u.withColumn("u", col("u") / (beta or 1.0))
-        atu = spmv(rows, u.select("i", F.col("u").alias("x")), m, True).withColumnRenamed("y", "atu")
-        right = cut(right.join(atu, "i", "left").fillna(0.0, ["atu"]).withColumn("v", col("atu") - beta * col("v")).drop("atu"))
+        atu = spmv(turned, u.select("i", F.col("u").alias("x")), m, True).withColumnRenamed("y", "atu")
+        right = kept.cut(right.join(atu, "i", "left").fillna(0.0, ["atu"]).withColumn("v", col("atu") - beta * col("v")).drop("atu"))
         new_alpha, w_sq = total(right, col("v") ** 2, col("w") ** 2)
         alpha = math.sqrt(new_alpha)
         if trace is not None:
@@ -233,7 +237,10 @@ def lsqr(a: SparseTensor, b: SparseTensor, atol: float = 1e-9, btol: float = 1e-
             code = 2
         if r_norm / b_norm <= atol * a_norm * math.sqrt(x_sq) / b_norm + btol:
             code = 1
-    return as_tensor(cut(right.select("i", "x")), "x", n), code, it
+    x = cut(right.select("i", "x"))
+    rows.unpersist()
+    turned.unpersist()
+    return as_tensor(x, "x", n), code, it
 
 
 # --- how hard a system is -------------------------------------------------------
@@ -241,11 +248,12 @@ def lsqr(a: SparseTensor, b: SparseTensor, atol: float = 1e-9, btol: float = 1e-
 
 def power_iteration(apply: Callable[[DataFrame], DataFrame], state: DataFrame, rounds: int, tol: float) -> float:
     """Signed eigenvalue of largest magnitude; ``apply`` adds q = M x to a state (i, x)."""
-    state, value = cut(state), 0.0
+    kept = Rounds()
+    state, value = kept.cut(state), 0.0
     (xx,) = total(state, col("x") ** 2)
     state = state.withColumn("x", col("x") / math.sqrt(xx))
     for _ in range(rounds):
-        state = cut(apply(state))
+        state = kept.cut(apply(state))
         xq, qq = total(state, col("x") * col("q"), col("q") ** 2)
         if qq == 0:
             return 0.0
