@@ -80,13 +80,13 @@ def pagerank(a: SparseTensor, alpha: float = 0.85, max_iter: int = 100, tol: flo
     rounds = Rounds()
     gives = cut(out.where("out <> 0").select(F.col("j").alias("i"), F.lit(True).alias("gives")))
     rank = cut(spark.range(n).select(F.col("id").alias("i"), F.lit(1.0 / n).alias("x")).join(gives, "i", "left").fillna(False))
+    lost = rank.where("not gives").agg(F.sum("x")).first()[0] or 0.0
     for _ in range(max_iter):
-        lost = rank.where("not gives").agg(F.sum("x")).first()[0] or 0.0
         got = spmv(flow, rank, n)
         base = (1 - alpha) / n + alpha * lost / n
         new = rounds.cut(rank.join(got, "i", "left").select("i", F.col("x").alias("old"), (F.coalesce("y", F.lit(0.0)) * alpha + base).alias("x"), "gives"))
-        gap = math.sqrt(new.agg(F.sum((F.col("x") - F.col("old")) ** 2)).first()[0])
-        if gap < tol:
+        gap, lost = new.agg(F.sum((F.col("x") - F.col("old")) ** 2), F.sum(F.when(F.col("gives"), 0.0).otherwise(F.col("x")))).first()
+        if math.sqrt(gap) < tol:
             break
         rank = new.select("i", "x", "gives")
     flow.unpersist()

@@ -11,8 +11,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import decomposition, graph, learning, linear, simulation, solvers
+from .operators import graph, learning, linear, simulation, solvers
 from .plans.einsum import einsum
+from .registry import ORACLES, QUERIES, load, query, rows
 from .storage import cut
 from .streaming.cells import windowed_cells
 from .tensor import SparseTensor, from_numpy, tensor
@@ -21,30 +22,6 @@ NATIONS = 25
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rows(t: SparseTensor, digits: int | None = None) -> DataFrame:
-    """Cells that are stored, rounded where floats are compared."""
-    v = F.col("v") if digits is None else F.round(F.col("v").cast("double"), digits)
-    return t.df.select(*t.dims, v.alias("v"))
-
-
 # --- tensors from tables --------------------------------------------------------
 
 
@@ -395,32 +372,9 @@ def solve_lsqr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked(a, solvers.lsqr(a, b)[0])
 
 
-@query()
-def difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Condition numbers and the Jacobi spectral radius of the system."""
-    a, _, _ = system(spark, sf_dir)
-    found = [("cg", solvers.condition_number(a)), ("diagonal_pcg", solvers.condition_number(a, solvers.diagonal_preconditioner(a))), ("jacobi", solvers.jacobi_spectral_radius(a, rounds=15)), ("lsqr", solvers.singular_ratio(a))]
-    return spark.createDataFrame(found, "name string, v double")
-
-
 # --- decompositions and learning ------------------------------------------------
 
 
-@query()
-def cp_als(spark: SparkSession, sf_dir: str) -> DataFrame:
-    factors, weights = decomposition.cp_als(order_cube(spark, sf_dir), 2, max_iter=3)
-    out = spark.createDataFrame([(-1, [float(w) for w in weights], -1)], "i long, f array<double>, mode int")
-    for k, f in enumerate(factors):
-        out = out.unionByName(f.withColumn("mode", F.lit(k)))
-    return out
-
-
-@query()
-def hosvd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    core, _ = decomposition.hosvd(order_cube(spark, sf_dir), (2, 2, 2), max_iter=2)
-    return rows(core)
-
-
 GCN = f"""WITH {NODES}, {TRADE}, x AS (SELECT CAST(c_nationkey AS BIGINT) AS i, count(*) / 10.0::DOUBLE AS f0, sum(c_acctbal) / 100000.0::DOUBLE AS f1 FROM customer GROUP BY ALL),
 h AS (SELECT n.i, greatest(coalesce(z0, 0) * 0.5 - coalesce(z1, 0) * 0.25 + 0.1, 0) AS h0, greatest(coalesce(z0, 0) * 0.1 + coalesce(z1, 0) * 0.3 - 0.2, 0) AS h1 FROM nodes n LEFT JOIN (SELECT s AS i, sum(r * f0) AS z0, sum(r * f1) AS z1 FROM trade JOIN x ON t = x.i GROUP BY s) USING (i))
 SELECT n.i AS i0, round(coalesce(y, 0) + 0.5, 6) AS v FROM nodes n LEFT JOIN (SELECT s AS i, sum(r * (h0 + 2 * h1)) AS y FROM trade JOIN h ON t = h.i GROUP BY s) USING (i)"""
@@ -438,15 +392,6 @@ def gcn_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.df.select("i0", F.round("v", 6).alias("v"))
 
 
-@query()
-def gcn_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-
-    target = linear.full(spark, (NATIONS, 1), 1.0).dense()
-    loss, w1, *_ = learning.gcn_train(directed(spark, sf_dir), features(spark, sf_dir), np.array([[0.5, 0.1], [-0.25, 0.3]]), np.array([0.1, -0.2]), np.ones((2, 1)), np.zeros(1), target, 2, 1e-5)
-    return spark.createDataFrame([("loss", float(loss)), ("w1", float(w1[0, 0]))], "name string, v double")
-
-
 def embedding_tensor(df: DataFrame, n: int, d: int = 64) -> SparseTensor:
     cells = df.select(F.col("row").alias("i0"), F.posexplode("embedding").alias("p", "v")).select("i0", F.col("p").cast("long").alias("i1"), F.col("v").cast("double").alias("v"))
     return SparseTensor(cells, (n, d), 0.0)
@@ -466,14 +411,6 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select((F.col("query") * 50).alias("query"), F.col("rank").cast("long").alias("rank"), "neighbour", F.round("distance", 6).alias("distance"))
 
 
-@query()
-def projected_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "embeddings")
-    n = e.count()
-    p = learning.sparse_signs(spark, 64, n, eps=0.5)
-    return learning.nearest(embedding_tensor(e.withColumn("row", F.col("vec_id")), n), embedding_tensor(e.where("vec_id % 50 = 0").withColumn("row", (F.col("vec_id") / 50).cast("long")), -(-n // 50)), p, 5)
-
-
 def _k_means_sql(k: int, rounds: int) -> str:
     parts = [f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c0 AS (SELECT vec_id AS j, e AS c FROM v WHERE vec_id < {k})"]
     for r in range(rounds):
@@ -541,3 +478,8 @@ def euler(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming operator over the whole table as one batch."""
     return windowed_cells(load(spark, sf_dir, "events"), ["user_id"], "value").withColumn("v", F.round("v", 4))
+
+
+from . import market, surface  # noqa: E402, F401  (they register more)
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -40,12 +40,17 @@ def read_matrix(spark: SparkSession, path: str) -> SparseTensor:
     return SparseTensor(df, (sizes[0], sizes[1]), 0.0).pruned()
 
 
-def write_matrix(t: SparseTensor, path: str) -> None:
-    """One coordinate file folder; Spark's parts in order make one MatrixMarket file."""
+def text_lines(t: SparseTensor) -> DataFrame:
+    """(k, value): the lines of a coordinate file; k puts the header first."""
     n = t.df.count()
     head = t.spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, f"{t.shape[0]} {t.shape[1]} {n}")], "k int, value string")
     rows = t.df.select(F.lit(2).alias("k"), F.concat_ws(" ", (F.col("i0") + 1).cast("string"), (F.col("i1") + 1).cast("string"), F.col("v").cast("double").cast("string")).alias("value"))
-    head.coalesce(1).union(rows).select("value").write.text(path)
+    return head.coalesce(1).union(rows)
+
+
+def write_matrix(t: SparseTensor, path: str) -> None:
+    """One coordinate file folder; Spark's parts in order make one MatrixMarket file."""
+    text_lines(t).select("value").write.text(path)
 
 
 def companions(spark: SparkSession, folder: str) -> DataFrame:
