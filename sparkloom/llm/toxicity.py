@@ -39,6 +39,8 @@ GRAM_SIZES = (2, 3, 4, 5)
 SHARPNESS = 4.0
 #: Most labelled documents of each class that training reads.
 PER_CLASS = 1200
+#: Most bytes of them: the driver holds the training texts.
+CLASS_BYTES = 32_000_000
 EPOCHS = 6
 EMBEDDING_RATE, DECAY, DROPOUT = 2.0, 0.2, 0.5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -108,32 +110,33 @@ class Network:
         return np.concatenate([x @ self.p["wf"] + self.p["cf"], x @ self.p["wb"] + self.p["cb"]], 1)
 
     def run(self, gates: np.ndarray, rows: np.ndarray, mask: np.ndarray | None, keep: dict | None = None) -> np.ndarray:
-        """Logits of windows: rows (windows, WINDOW) index ``gates``; mask tells real words where windows are padded."""
+        """Logits of windows: rows (windows, WINDOW) index ``gates``; mask tells real words where windows are padded.
+
+        Both directions go at once: at step k the one reads word k, the other word k from the end.
+        """
         n, t = rows.shape
         h = HIDDEN
-        states = np.empty((t, n, 2 * h), np.float32)
-        for side, (first, order) in enumerate(((0, range(t)), (3 * h, range(t - 1, -1, -1)))):
-            u = self.p["fb"[side] == "f" and "uf" or "ub"]
-            own = np.ascontiguousarray(gates[:, first : first + 3 * h])
-            state = np.zeros((n, h), np.float32)
-            for k in order:
-                g = own[rows[:, k]]
-                s = state @ u
-                zr = g[:, : 2 * h] + s[:, : 2 * h]
-                zr *= 0.5
-                np.tanh(zr, out=zr)
-                zr *= 0.5
-                zr += 0.5
-                z, r = zr[:, :h], zr[:, h:]
-                new = np.tanh(g[:, 2 * h :] + r * s[:, 2 * h :])
-                if keep is not None:
-                    keep[side, k] = (state, z, r, new, s[:, 2 * h :])
-                after = new + z * (state - new)
-                if mask is not None:
-                    m = mask[:, k : k + 1]
-                    after = after * m + state * (1 - m)
-                state = after
-                states[k, :, side * h : (side + 1) * h] = state
+        states, u = np.empty((t, n, 2 * h), np.float32), np.stack([self.p["uf"], self.p["ub"]])
+        own = np.ascontiguousarray(gates[:, : 3 * h]), np.ascontiguousarray(gates[:, 3 * h :])
+        state = np.zeros((2, n, h), np.float32)
+        for k in range(t):
+            g = np.stack([own[0][rows[:, k]], own[1][rows[:, t - 1 - k]]])
+            s = np.matmul(state, u)
+            zr = g[..., : 2 * h] + s[..., : 2 * h]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            z, r = zr[..., :h], zr[..., h:]
+            new = np.tanh(g[..., 2 * h :] + r * s[..., 2 * h :])
+            if keep is not None:
+                keep[k] = (state, z, r, new, s[..., 2 * h :])
+            after = new + z * (state - new)
+            if mask is not None:
+                m = np.stack([mask[:, k], mask[:, t - 1 - k]])[..., None]
+                after = after * m + state * (1 - m)
+            state = after
+            states[k, :, :h], states[t - 1 - k, :, h:] = state
         e = states @ self.p["attend"]
         if mask is not None:
             e = np.where(mask.T > 0, e, -1e9)
@@ -188,28 +191,31 @@ class Network:
         d_e = a * (d_a - (a * d_a).sum(0))
         g["attend"] = np.tensordot(d_e, states, ([0, 1], [0, 1]))
         d_states = a[:, :, None] * d_pooled[None] + d_e[:, :, None] * self.p["attend"]
-        d_gates = np.zeros((n_words, 6 * h), np.float32)
-        for side, order in enumerate((range(t - 1, -1, -1), range(t))):
-            u = self.p["uf" if side == 0 else "ub"]
-            g_u = np.zeros_like(u)
-            carry = np.zeros((len(rows), h), np.float32)
-            steps, at = [], []
-            for k in order:
-                before, z, r, new, sn = keep[side, k]
-                d = carry + d_states[k, :, side * h : (side + 1) * h]
-                m = mask[:, k : k + 1]
-                d_after, d_before = d * m, d * (1 - m)
-                d_new = d_after * (1 - z) * (1 - new * new)
-                d_z = d_after * (before - new) * z * (1 - z)
-                d_r = d_new * sn * r * (1 - r)
-                d_s = np.concatenate([d_z, d_r, d_new * r], 1)
-                g_u += before.T @ d_s
-                carry = d_before + d_after * z + d_s @ u.T
-                steps.append(np.concatenate([d_z, d_r, d_new], 1))
-                at.append(rows[:, k])
-            np.add.at(d_gates[:, side * 3 * h : (side + 1) * 3 * h], np.concatenate(at), np.concatenate(steps))
-            g["uf" if side == 0 else "ub"] = g_u
-        return g, d_gates
+        u = np.stack([self.p["uf"], self.p["ub"]])
+        g_u, carry, steps = np.zeros_like(u), np.zeros((2, len(rows), h), np.float32), np.empty((t, len(rows), 6 * h), np.float32)
+        for k in reversed(range(t)):
+            before, z, r, new, sn = keep[k]
+            d = carry + np.stack([d_states[k, :, :h], d_states[t - 1 - k, :, h:]])
+            m = np.stack([mask[:, k], mask[:, t - 1 - k]])[..., None]
+            d_after, d_before = d * m, d * (1 - m)
+            d_new = d_after * (1 - z) * (1 - new * new)
+            d_z = d_after * (before - new) * z * (1 - z)
+            d_r = d_new * sn * r * (1 - r)
+            d_s = np.concatenate([d_z, d_r, d_new * r], 2)
+            g_u += np.matmul(before.transpose(0, 2, 1), d_s)
+            carry = d_before + d_after * z + np.matmul(d_s, u.transpose(0, 2, 1))
+            d_s[..., 2 * h :] = d_new
+            steps[k, :, : 3 * h], steps[t - 1 - k, :, 3 * h :] = d_s
+        g["uf"], g["ub"] = g_u
+        return g, summed(rows.T.ravel(), steps.reshape(-1, 6 * h), n_words)
+
+
+def summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """n rows, each the sum of the values that are ``at`` it."""
+    out = np.empty((values.shape[1], n), np.float32)
+    for column, total in zip(np.ascontiguousarray(values.T, np.float64), out, strict=True):
+        total[:] = np.bincount(at, column, n)
+    return out.T
 
 
 def pooled_logit(logits: np.ndarray) -> tuple[float, np.ndarray]:
@@ -271,8 +277,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 32, ra
         d_x = d_gates[:, :h] @ net.p["wf"].T + d_gates[:, h:] @ net.p["wb"].T
         d_x *= drop
         for name, at_, value in (("word", slots[words], d_x[:, :WORD_DIM]), ("gram", own, np.repeat(d_x[:, WORD_DIM:] / own_counts[:, None].astype(np.float32), own_counts, 0))):
-            g[name] = np.zeros_like(net.p[name])
-            np.add.at(g[name], at_, value)
+            g[name] = summed(at_, value, len(net.p[name]))
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         clip = min(1.0, 5.0 / max(norm, 1e-9))
         lr = rate * min(1.0, 2.0 * (1 - (step - 1) / steps) + 0.05)
@@ -380,8 +385,8 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str, int]]:
-    """At most ``per_class`` labelled texts of each class, none of them held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> list[tuple[str, int]]:
+    """At most ``per_class`` labelled texts of each class with ``class_bytes`` bytes (but the first), none of them held out."""
     spark = docs.sparkSession
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     own = own.where(~held_out(F.col("doc_id")))
@@ -393,8 +398,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     if not chosen:
         return []
     ids = F.broadcast(spark.createDataFrame(list(chosen.items()), "l_id long, toxic int"))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic").collect()
-    return [(r["text"] or "", r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"] or ""))]
+    found = common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", F.xxhash64("text").alias("content")), "training")
+    rows, held = [], {0: 0, 1: 0}
+    for r in found.select("doc_id", "content", "toxic", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "content").collect():
+        if not held[r["toxic"]] or held[r["toxic"]] + r["n"] <= class_bytes:
+            held[r["toxic"]] += r["n"]
+            rows.append((r["doc_id"], r["content"]))
+    wanted = F.broadcast(spark.createDataFrame(rows, "w_id long, w_content long").distinct())
+    texts = found.join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("content") == F.col("w_content"))).select("doc_id", "text", "toxic").collect()
+    return [(r["text"], r["toxic"]) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"]))]
 
 
 def _scorer(sent) -> Scorer:
