@@ -86,6 +86,7 @@ def pivot(sizes: list[int], parts: list[float], u: list[float]) -> int:
 
 def _meet(frame: pd.DataFrame, level: int, seed: int, last: bool) -> pd.DataFrame:
     """One bucket: largest documents first, so that what is left over tends to be small."""
+    common.held("mixing", object)  # nothing is kept, but what an earlier operator kept goes
     frame = frame.sort_values(["size", "doc_id", "content"], ascending=[False, True, True], kind="stable", na_position="last")
     u = draws(frame["doc_id"].fillna(0).to_numpy(), level, seed)
     if level == 0:  # a document without words has nothing to transfer
