@@ -55,6 +55,7 @@ class SparkFramework:
         return x
 
     matmul = staticmethod(linear.matmul)
+    block_matmul = staticmethod(linear.block_matmul)
     vecdot = staticmethod(linear.vecdot)
     norm = staticmethod(linear.norm)
     where = staticmethod(linear.where)
@@ -126,6 +127,6 @@ class CheckerFramework(SparkFramework):
 
     def __getattribute__(self, name: str):
         found = super().__getattribute__(name)
-        if name in ("matmul", "where", "transpose", "permute_dims", "reshape", "take", "roll", "diagonal", "argsort", "sort", "expand_dims", "reduce", "elementwise", "outer", "solve"):
+        if name in ("matmul", "block_matmul", "where", "transpose", "permute_dims", "reshape", "take", "roll", "diagonal", "argsort", "sort", "expand_dims", "reduce", "elementwise", "outer", "solve"):
             return lambda *a, **k: (Lazy if any(isinstance(x, Lazy) for x in a) else opened)(found(*map(opened, a), **k))
         return found

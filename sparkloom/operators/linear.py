@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +42,53 @@ def matmul(a: SparseTensor, b: SparseTensor) -> SparseTensor:
     return _run(Call("*", (x, y)), (*batch, "i", "j"), "+", A=a, B=b)
 
 
+def block_matmul(a: SparseTensor, b: SparseTensor, side: int = 512) -> SparseTensor:
+    """``a @ b`` for matrices whose cells are mostly stored: cells are packed into square blocks and NumPy multiplies blocks.
+
+    A task holds two blocks and the sum it works on, whatever the extents; the fill of both must be 0.
+    """
+    if a.fill or b.fill or a.shape[1] != b.shape[0]:
+        raise ValueError("block_matmul needs fills of 0 and matching extents")
+    x = packed(a, side).toDF("bi", "bk", "x")
+    y = packed(b, side).toDF("bk", "bj", "y")
+    pairs = x.join(y, "bk").repartition("bi", "bj").sortWithinPartitions("bi", "bj")
+    df = pairs.select("bi", "bj", "x", "y").mapInArrow(partial(_multiply, side=side), "i0 long, i1 long, v double")
+    return SparseTensor(df, (a.shape[0], b.shape[1]), 0.0)
+
+
+def packed(t: SparseTensor, side: int) -> DataFrame:
+    """(row block, column block, side x side doubles) of the stored cells."""
+    cells = t.df.select(F.floor(F.col("i0") / side).alias("p"), F.floor(F.col("i1") / side).alias("q"), F.pmod("i0", F.lit(side)).alias("r"), F.pmod("i1", F.lit(side)).alias("c"), F.col("v").cast("double").alias("v"))
+
+    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros((side, side))
+        np.add.at(block, (rows["r"].to_numpy(), rows["c"].to_numpy()), rows["v"].to_numpy())
+        return pd.DataFrame({"p": [key[0]], "q": [key[1]], "block": [block.tobytes()]})
+
+    return cells.groupBy("p", "q").applyInPandas(pack, "p long, q long, block binary")
+
+
+def _multiply(batches, side: int):
+    """Products of block pairs in order of their place, summed while the place stays the same."""
+    at, held = None, None
+
+    def cells():
+        i, j = np.nonzero(held)
+        for k in range(0, len(i), 1 << 16):
+            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(p + at[0] * side), pa.array(q + at[1] * side), pa.array(held[p, q])], ["i0", "i1", "v"])
+
+    for batch in batches:
+        for bi, bj, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != (bi, bj):
+                if at is not None:
+                    yield from cells()
+                at, held = (bi, bj), np.zeros((side, side))
+            held += np.frombuffer(x).reshape(side, side) @ np.frombuffer(y).reshape(side, side)
+    if at is not None:
+        yield from cells()
+
+
 def vecdot(a: SparseTensor, b: SparseTensor) -> float:
     return einsum("S[] += A[i] * B[i]", A=a, B=b).item()
 

@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,6 +136,13 @@ def tensor(df: DataFrame, shape, fill=0, dup: str = "sum") -> SparseTensor:
     return SparseTensor(own, shape, fill)
 
 
+def cells_of(spark: SparkSession, indices, values, schema: T.StructType) -> DataFrame:
+    """Parallel arrays as rows, sent in columns."""
+    wide = {T.BooleanType(): pa.bool_(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}
+    columns = [pa.array(np.asarray(c), wide[f.dataType]) for c, f in zip([*(np.asarray(i, np.int64) for i in indices), values], schema, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema.names), schema)
+
+
 def from_numpy(spark: SparkSession, array, fill=0, keep_all: bool = False) -> SparseTensor:
     """From an array on the driver; cells equal to the fill value are left out unless ``keep_all``."""
     a = np.asarray(array)
@@ -144,8 +152,7 @@ def from_numpy(spark: SparkSession, array, fill=0, keep_all: bool = False) -> Sp
         return SparseTensor(spark.createDataFrame([(kind[0](a[()]),)], schema), (), fill)
     keep = np.ones(a.shape, bool) if keep_all else ~(a == fill)
     at = np.nonzero(keep)
-    rows = [(*(int(x) for x in place), kind[0](v)) for *place, v in zip(*at, a[at], strict=True)]
-    return SparseTensor(spark.createDataFrame(rows, schema), a.shape, kind[0](fill) if kind[0] is not int or float(fill).is_integer() else fill)
+    return SparseTensor(cells_of(spark, at, a[at], schema), a.shape, kind[0](fill) if kind[0] is not int or float(fill).is_integer() else fill)
 
 
 def from_coo(spark: SparkSession, indices, values, shape, fill=0, dup: str = "sum") -> SparseTensor:
@@ -156,9 +163,8 @@ def from_coo(spark: SparkSession, indices, values, shape, fill=0, dup: str = "su
         indices, values, dup = [list(x) for x in zip(*held, strict=True)] or [[] for _ in shape], np.array(list(held.values()), values.dtype), "trust"
     kind = {"b": (bool, T.BooleanType()), "i": (int, T.LongType()), "u": (int, T.LongType()), "f": (float, T.DoubleType())}[values.dtype.kind]
     names = index_names(len(shape))
-    rows = [(*(int(i) for i in c), kind[0](v)) for *c, v in zip(*indices, values, strict=True)]
     schema = T.StructType([*(T.StructField(n, T.LongType(), False) for n in names), T.StructField("v", kind[1], False)])
-    return tensor(spark.createDataFrame(rows, schema), shape, fill, dup)
+    return tensor(cells_of(spark, indices, values, schema), shape, fill, dup)
 
 
 def equal(a: SparseTensor, b: SparseTensor) -> bool:

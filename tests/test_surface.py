@@ -109,8 +109,40 @@ def test_catalog(spark, tmp_path):
 def test_runner(spark, tmp_path):
     from sparkloom import runner
 
-    rows = runner.main(["--benchmark", "own", "--iterations", "1", "--results-folder", str(tmp_path)], spark, {"own": (lambda xp, a, b: linear.matmul(xp.from_benchmark(a), xp.from_benchmark(b)), {"tiny": lambda: runner.sparse(8, 0.2)})})
-    assert len(rows) == 1 and spark.read.csv(f"{tmp_path}/spark_own_tiny", header=True).count() == 1
+    class Counting(SparkFramework):
+        made = 0
+
+        def from_benchmark(self, x):
+            Counting.made += 1
+            return super().from_benchmark(x)
+
+    tiny = {"own": {"tiny": lambda: runner.generators.sparse_pair(8, 0.2)}, "matmul": {"mine": lambda: runner.generators.dense_pair(6)}}
+    rows = runner.main(
+        ["--framework", "spark", "mine", "--benchmark", "own", "matmul", "--data-generator", "tiny", "mine", "sparse_small", "--iterations", "1", "--results-folder", str(tmp_path)],
+        spark, {"mine": Counting(spark)}, benchmarks={"own": runner.BENCHMARKS["matmul"]}, data_generators=tiny,
+    )
+    assert {r[:3] for r in rows} == {(f, b, g) for f in ("spark", "mine") for b, g in (("own", "tiny"), ("matmul", "mine"), ("matmul", "sparse_small"))}
+    assert Counting.made == 6 and spark.read.csv(f"{tmp_path}/mine_matmul_mine", header=True).count() == 1
+    assert set(runner.DATA_GENERATORS) == set(runner.BENCHMARKS) and sum(map(len, runner.DATA_GENERATORS.values())) > 60
+
+
+@pytest.mark.parametrize("name", ["matmul", "cg", "preconditioned_cg", "block_preconditioned_cg", "jacobi", "gmres", "lsqr", "floyd_warshall", "hosvd", "gcn", "gcn_training", "ode"])
+def test_kernels_run_on_their_smallest_data(spark, name):
+    from sparkloom import runner
+
+    data = next(iter(runner.DATA_GENERATORS[name].values()))()
+    assert runner.BENCHMARKS[name](SparkFramework(spark), *data) is not None
+    if name in ("matmul", "cg"):
+        assert runner.main(["--framework", "checker"], spark, benchmark_names=[name], data_generator_names=[next(iter(runner.DATA_GENERATORS[name]))], iterations=1)
+
+
+def test_block_matmul(spark):
+    r = np.random.default_rng(0)
+    x, y = r.random((23, 11)), r.random((11, 17))
+    x[:8, :8] = 0
+    assert np.allclose(linear.block_matmul(from_numpy(spark, x), from_numpy(spark, y), 4).to_numpy(), x @ y)
+    with pytest.raises(ValueError):
+        linear.block_matmul(from_numpy(spark, x), from_numpy(spark, x))
 
 
 def test_streaming(spark, tmp_path):
