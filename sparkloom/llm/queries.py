@@ -61,6 +61,14 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_warc, op4_licenses, op5_covertree, op6_minhash, op7_chat, op8_mixing, op9_quality, op10_sstable)}
 ORACLES: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+top AS (SELECT h, max(page_id) AS top, count(*) AS n FROM p GROUP BY h),
+bits AS (SELECT d, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', d[i]) - 1), 4, '0')), '') AS b FROM (SELECT DISTINCT d FROM p)),
+digests AS (SELECT d, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * CAST(b[5 * i + 1] AS INT) + 8 * CAST(b[5 * i + 2] AS INT) + 4 * CAST(b[5 * i + 3] AS INT) + 2 * CAST(b[5 * i + 4] AS INT) + CAST(b[5 * i + 5] AS INT)]), '') AS payload_digest FROM bits)
+SELECT page_id, strlen(h) AS payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN top END AS refers_to
+FROM (SELECT p.*, top, n > 1 AND top IS NOT NULL AND page_id IS DISTINCT FROM top AS revisit FROM p JOIN top USING (h)) JOIN digests USING (d)
+""",
     "op6_minhash": r"""
 WITH RECURSIVE d AS (
     SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents
