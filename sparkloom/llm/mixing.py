@@ -14,7 +14,7 @@ size, each bucket leaves one fractional document at most, and the left-overs of
 rounded to the nearer whole. Draws are hashes of ids, so reruns agree, and a hot
 source is only more buckets.
 
-Sources are few next to documents: their sizes (a row each) go to the driver.
+Up to BROADCAST_SOURCES sources (counted) go to the driver, a row each; of more only sums do.
 
 Nulls: a null text has size 0; a null source is a source of its own. Repeated rows are
 counted first, then drawn each by itself, in runs of at most ``RUN`` rows a bucket. An empty table
@@ -27,6 +27,8 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,37 @@ def targets(sizes: list[int], weights: list[float], budget: float, cap: float) -
         capped = [c or o for c, o in zip(capped, over, strict=True)]
 
 
+def targets_in_tasks(stats: DataFrame, weights, budget: float, cap: float) -> DataFrame:
+    """As ``targets`` for a table (source, source_size, n): adds target. Only the sums of each round reach the driver.
+
+    A source is capped when the share of a unit of weight, which only grows from round to round, passes what it can take.
+    """
+    spark = stats.sparkSession
+    ordered = common.written(stats.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source").mapInArrow(_numbered, "source string, source_size long, n long, part int, place long"), "sources")
+    counts = ordered.groupBy("part").count().orderBy("part").collect()
+    before = np.cumsum([0, *(r["count"] for r in counts)]).tolist()
+    bases = F.broadcast(spark.createDataFrame([(r["part"], b) for r, b in zip(counts, before, strict=False)], "part int, base long"))
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("base") + F.col("place")) % len(weights)).cast("int"))
+    rated = common.written(ordered.join(bases, "part").select("source", "source_size", "n", weight.alias("weight")), "weights")
+    total, share, most = budget * (rated.agg(F.sum("source_size")).first()[0] or 0), 0.0, F.col("source_size") * cap
+    while True:
+        capped = F.col("weight") * share > most
+        taken, left = rated.agg(F.sum(F.when(capped, most)), F.sum(F.when(~capped, F.col("weight")))).first()
+        new = (total - (taken or 0.0)) / left if left else share
+        if not left or new <= share:
+            break
+        share = new
+    return rated.select("source", "source_size", "n", F.least(F.col("weight") * share, most).alias("target"))
+
+
+def _numbered(batches):
+    part, place = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = len(batch)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n))], ["source", "source_size", "n", "part", "place"])
+        place += n
+
+
 def draws(ids: np.ndarray, level: int, seed: int) -> np.ndarray:
     x = mix(ids.astype(np.int64).view(U64) ^ U64((seed * 1_000_003 + level * 7_919 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     return (x >> U64(11)).astype(np.float64) / (1 << 53)
@@ -106,13 +139,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: f
     text = F.col("text").cast("string")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = common.written(sized.groupBy("doc_id", "content", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "sizes")
-    stats = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n")).collect()
-    stats = sorted(stats, key=lambda r: (r["source"] is None, r["source"] or ""))
-    goal = targets([r["source_size"] for r in stats], [weights[i % len(weights)] for i in range(len(stats))], budget, cap)
-    rows = [(r["source"], r["source_size"], t, -(-r["n"] // BUCKET)) for r, t in zip(stats, goal, strict=True)]
-    known = spark.createDataFrame(rows, "t_source string, source_size long, target double, buckets long")
-    if len(rows) <= BROADCAST_SOURCES:
-        known = F.broadcast(known)
+    stats = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n"))
+    stats = common.written(stats, "stats")
+    if stats.count() <= BROADCAST_SOURCES:
+        ordered = sorted(stats.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
+        goal = targets([r["source_size"] for r in ordered], [weights[i % len(weights)] for i in range(len(ordered))], budget, cap)
+        known = F.broadcast(spark.createDataFrame([(*r, t) for r, t in zip(ordered, goal, strict=True)], "source string, source_size long, n long, target double"))
+    else:
+        known = targets_in_tasks(stats, weights, budget, cap)
+    known = known.select(F.col("source").alias("t_source"), "source_size", "target", F.ceil(F.col("n") / BUCKET).alias("buckets"))
+    most = -(-(stats.agg(F.max("n")).first()[0] or 0) // BUCKET)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     whole = F.floor(expected + F.lit(1e-12))
     part = F.greatest(expected - whole, F.lit(0.0))
@@ -122,7 +158,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: f
         "doc_id", "content", "source", "size", "source_size", "target",
         F.pmod(F.xxhash64(F.lit(seed), "doc_id", "content", "run"), F.col("buckets")).alias("bucket"), whole.cast("int").alias("copies"), F.when(part < 1e-12, 0.0).otherwise(part).alias("part"), inside.alias("inside"),
     ).withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("inside")))).drop("place", "inside")
-    most, level, done = max((r[3] for r in rows), default=1), 0, []
+    level, done = 0, []
     while True:
         met = state.groupBy("source", "bucket").applyInPandas(partial(_meet, level=level, seed=seed, last=most <= 1), ROWS)
         met = common.written(met, f"mixed{level}")

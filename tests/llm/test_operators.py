@@ -564,12 +564,14 @@ def test_pivot_keeps_mass():
     assert np.allclose(np.array(hits) / 4000, [0.3, 0.6], atol=0.03)
 
 
-@pytest.mark.parametrize("bucket", [8, 1024])
-def test_mixing(spark, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "sources"), [(8, 0), (1024, mixing.BROADCAST_SOURCES)])
+def test_mixing(spark, monkeypatch, bucket, sources):
     monkeypatch.setattr(mixing, "BUCKET", bucket)
+    monkeypatch.setattr(mixing, "RUN", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", sources)
     monkeypatch.setattr(mixing, "FAN_IN", 3)
     r = np.random.default_rng(1)
-    rows = [(i, " ".join(["w"] * int(r.integers(1, 60))), f"s{int(r.integers(0, 4))}" if i % 9 else None) for i in range(400)] + [(900, None, "s0"), (901, "", None), (7, "w w", "s1"), (7, "w w", "s1"), (None, "w", "only")]
+    rows = [(i, " ".join(["w"] * int(r.integers(1, 60))), f"s{int(r.integers(0, 4))}" if i % 9 else None) for i in range(400)] + [(900, None, "s0"), (901, "", None), (7, "w w", "s1"), (7, "w w", "s1"), (None, "w", "only"), *[(902, "w w w", "s2")] * 25, (903, "", "empty")]
     rows = [x for x in rows]
     df = documents(spark, rows)
     got = [r.asDict() for r in mixing.mix_sources(df).collect()]
@@ -591,6 +593,18 @@ def test_mixing(spark, monkeypatch, bucket):
     assert mixing.mixture(df).columns == df.columns and mixing.mix_sources(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_targets_in_tasks(spark, seed):
+    r = np.random.default_rng(seed)
+    sizes = np.where(r.random(40) < 0.2, 0, r.integers(1, 10 ** int(r.integers(1, 6)), 40)).tolist()
+    names = [None, *(f"s{k}é" for k in range(39))]
+    stats = spark.createDataFrame([(n, s, 1) for n, s in zip(names, sizes, strict=True)], "source string, source_size long, n long").repartition(5)
+    order = sorted(range(40), key=lambda k: (names[k] is None, names[k] or ""))
+    want = mixing.targets([sizes[k] for k in order], [(5, 2, 1)[i % 3] for i in range(40)], 1.5, 2)
+    got = {x["source"]: x["target"] for x in mixing.targets_in_tasks(stats, (5, 2, 1), 1.5, 2).collect()}
+    assert [got[names[k]] for k in order] == pytest.approx(want)
+
+
 # --- 9: quality -----------------------------------------------------------------
 
 
@@ -632,3 +646,29 @@ def test_quality_long_lines(spark, monkeypatch):
     for lines in (quality.BROADCAST_LINES, -1):
         monkeypatch.setattr(quality, "BROADCAST_LINES", lines)
         assert {r["doc_id"]: r["text"] for r in quality.clean(documents(spark, rows)).collect()} == want
+
+
+# --- very long texts ---------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    """Texts of a megabyte, of one word or of many, are handled whole."""
+    r = np.random.default_rng(3)
+    many = " ".join(r.choice([f"word{k}" for k in range(5000)], 120_000))
+    one = "x" * 1_000_000
+    lines = "\n".join(["the same line of seven words here"] * 30_000)
+    rows = [(1, many, "s"), (2, many + " end", "s"), (3, one, "s"), (4, one, "s"), (5, lines, "s")]
+    near = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(documents(spark, rows), k=2).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    facts = {x["doc_id"]: x for x in quality.assess(documents(spark, rows)).collect()}
+    assert [facts[i]["n_words"] for i in range(1, 6)] == [120_000, 120_001, 1, 1, 210_000] and facts[5]["n_dup_lines"] == 29_999 and facts[5]["n_repeat_words"] == 210_000
+    assert facts[3]["word_chars"] == 1_000_000 and facts[3]["base_failed"] and facts[5]["base_failed"] and facts[1]["kept"]
+    net = toxicity.Network(1)
+    words = many.split()[:2000]
+    parts = np.array([toxicity.Scorer(net).score([" ".join(words[a : a + toxicity.WINDOW])])[0] for a in toxicity.window_rows(len(words))])
+    logits = np.log(parts / (1 - parts))
+    assert toxicity.Scorer(net).score([" ".join(words), one])[0] == pytest.approx(1 / (1 + np.exp(-toxicity.pooled_logit(logits)[0])), abs=1e-4)
+    turns = spark.createDataFrame([(1, 0, "user", many), (1, 1, "assistant", one + "<\\")], "conv_id long, turn long, role string, text string")
+    got = chat.digests(chat.read_back(chat.chat_format(turns))).first()
+    assert got["loss_chars"] == 1_000_002 and got["loss_sha256"] == hashlib.sha256((one + "<\\").encode()).hexdigest()
+    assert licenses.scan_licenses(documents(spark, [(1, many + " MIT license", "s")])).first()["first_word"] == 120_000
