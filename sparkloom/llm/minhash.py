@@ -44,8 +44,8 @@ from .textcore import U64, Chunk, mix, shingle_set
 BANDS, ROWS = 42, 6
 #: Signature agreement below similarity minus this margin (almost 8 standard errors) is not verified.
 MARGIN = 0.2
-#: Rounds of one pair a document before the rest is compared in full.
-ROUNDS = 3
+#: Rounds of one pair a document before the rest is compared in full; a round that leaves more than this share of the bucket entries is the last.
+ROUNDS, FRUITLESS = 4, 0.75
 #: Documents, and bytes of their sets, that a block of a cluster holds at most on average.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 24
 _GOLD = 0x9E3779B97F4A7C15
@@ -295,14 +295,15 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     compare = Comparison(reps.select(F.col("rep").alias("node"), F.col("n").alias("size"), "sketch"), sets, percent)
 
     label = spark.createDataFrame([], "node long, component long")
-    met = met.select("key", "rep")
+    met, before = met.select("key", "rep"), 0
     for turn in range(ROUNDS + 1):
         placed = met.join(common.small(label), met["rep"] == label["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
         mixed = common.written(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("top")).where("low <> top").select("key"), "mixed")
         members = common.written(placed.join(common.small(mixed), "key").select("key", "rep", "part"), "members")
-        met = members.select("key", "rep")
-        if turn == ROUNDS or members.isEmpty():
+        met, left = members.select("key", "rep"), members.count()
+        if turn == ROUNDS or not left or turn and left > FRUITLESS * before:
             break
+        before = left
         order = F.xxhash64(F.lit(turn), "rep") if turn else -F.col("degree")
         chosen = members if turn else members.join(common.small(degree), "rep")
         hubs = chosen.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("rep").alias("hub"), F.col("part").alias("hub_part"))).alias("x"))

@@ -4,6 +4,9 @@ The reader finds the end-of-directory record from the file's tail, follows the
 ZIP64 locator where there is one, parses the central directory with its ZIP64
 extra fields, and turns a member's name into the place of its bytes, so parts of a stored
 member are read by range, without extraction.
+
+Nulls do not come this far (``warc`` makes them empty payloads). Empty members and packages without members are
+fine, members may be longer than memory, and of two members with one name the last counts.
 """
 
 from __future__ import annotations
