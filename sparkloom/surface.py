@@ -447,3 +447,32 @@ def lax_friedrichs_impulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flux of two fluids in a porous medium, from a row of impulses as long as the table of nations."""
     u0 = simulation.impulses(spark, load(spark, sf_dir, "nation").count(), 0.2)
     return rows(simulation.lax_friedrichs(u0, 0.5, 1.0, simulation.buckley_leverett, 4), 9)
+
+
+@query(
+    """WITH RECURSIVE y AS (SELECT CAST(r_regionkey AS BIGINT) AS run, 0::BIGINT AS k, 0::DOUBLE AS p, 0::DOUBLE AS q, 1 + r_regionkey / 2.0::DOUBLE AS r FROM region
+    UNION ALL SELECT run, k + 1, p + q * 0.0625, q + (5 - p - r * 0.5 * q) / (2 * 0.5) * 0.0625, r FROM y WHERE k < 31) SELECT run, k, k * 0.0625::DOUBLE AS t, round(p, 9) + 0.0 AS charge, round(q, 9) + 0.0 AS current FROM y"""
+)
+def euler_rlc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coil, a capacitor and a resistor of another size for every region, switched on at once."""
+    r = load(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("run"), (1 + F.col("r_regionkey") / 2).alias("r"), F.lit(2.0).alias("l"), F.lit(0.5).alias("c"), F.lit(2.0).alias("t_end"), F.lit(0.0625).alias("step"), F.array(F.lit(0.0), F.lit(0.0)).alias("y0"))
+    y = simulation.euler_scenarios(r, "rlc")
+    return y.select("run", "k", "t", (F.round(F.col("y")[0], 9) + 0.0).alias("charge"), (F.round(F.col("y")[1], 9) + 0.0).alias("current"))
+
+
+@query(
+    """WITH RECURSIVE y AS (SELECT CAST(n_nationkey AS BIGINT) AS run, 0::BIGINT AS k, 2 + n_nationkey / 10.0::DOUBLE AS prey, 1::DOUBLE AS hunters FROM nation
+    UNION ALL SELECT run, k + 1, prey + (1.1 * prey - 0.4 * prey * hunters) * 0.03125, hunters + (0.1 * prey * hunters - 0.4 * hunters) * 0.03125 FROM y WHERE k < 63) SELECT run, k, round(prey, 8) AS prey, round(hunters, 8) AS hunters FROM y"""
+)
+def euler_predators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hunters and prey, from another number of prey for every nation."""
+    r = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("run"), *[F.lit(v).alias(n) for n, v in (("a", 1.1), ("b", 0.4), ("c", 0.4), ("d", 0.1))], F.lit(2.0).alias("t_end"), F.lit(0.03125).alias("step"), F.array(2 + F.col("n_nationkey") / 10, F.lit(1.0)).alias("y0"))
+    y = simulation.euler_scenarios(r, "lotka_volterra")
+    return y.select("run", "k", F.round(F.col("y")[0], 8).alias("prey"), F.round(F.col("y")[1], 8).alias("hunters"))
+
+
+@query(Q.RHS)
+def framework_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A direct solve through the framework: the solution multiplied back."""
+    a, b, _ = Q.system(spark, sf_dir)
+    return Q.checked(a, SparkFramework(spark).solve(a, b))
