@@ -9,7 +9,7 @@ the mean of its windows' logits under a sharp softmax, close to the maximum, so
 single passage is enough. All overlapping windows of the whole text are scored.
 
 Training. Back-propagation through time with Adam, on at most ``per_class`` labelled
-documents of each class (smallest id hashes first), taken only from ids whose
+documents of each class (smallest id hashes first), in one task, taken only from ids whose
 crc32 mod 5 is not 0; the others are held out. Labels, language, source and id are never
 inputs. The fitted parameters (about 1 MB, whatever the data) are broadcast.
 
@@ -20,6 +20,7 @@ rows get equal rows. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from functools import partial
 from itertools import repeat
@@ -39,7 +40,7 @@ GRAM_SIZES = (2, 3, 4, 5)
 SHARPNESS = 4.0
 #: Most labelled documents of each class that training reads.
 PER_CLASS = 1200
-#: Most bytes of them: the driver holds the training texts.
+#: Most bytes of them: one task holds the training texts.
 CLASS_BYTES = 32_000_000
 EPOCHS = 6
 EMBEDDING_RATE, DECAY, DROPOUT = 2.0, 0.2, 0.5
@@ -385,8 +386,11 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> list[tuple[str, int]]:
-    """At most ``per_class`` labelled texts of each class with ``class_bytes`` bytes (but the first), none of them held out."""
+SAMPLE = "doc_id long, text string, toxic int"
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> DataFrame:
+    """SAMPLE rows: at most ``per_class`` labelled texts of each class with ``class_bytes`` bytes (but the first), none of them held out."""
     spark = docs.sparkSession
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     own = own.where(~held_out(F.col("doc_id")))
@@ -395,18 +399,30 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     for y in (0, 1):
         for r in present.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect():
             chosen[r["doc_id"]] = y
-    if not chosen:
-        return []
     ids = F.broadcast(spark.createDataFrame(list(chosen.items()), "l_id long, toxic int"))
-    found = common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", F.xxhash64("text").alias("content")), "training")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = common.written(texts.join(ids, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", F.xxhash64("text").alias("content")), "labelled")
     rows, held = [], {0: 0, 1: 0}
     for r in found.select("doc_id", "content", "toxic", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "content").collect():
         if not held[r["toxic"]] or held[r["toxic"]] + r["n"] <= class_bytes:
             held[r["toxic"]] += r["n"]
             rows.append((r["doc_id"], r["content"]))
     wanted = F.broadcast(spark.createDataFrame(rows, "w_id long, w_content long").distinct())
-    texts = found.join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("content") == F.col("w_content"))).select("doc_id", "text", "toxic").collect()
-    return [(r["text"], r["toxic"]) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"]))]
+    return found.join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("content") == F.col("w_content")), "left_semi").select("doc_id", "text", "toxic")
+
+
+def _fit(batches):
+    rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:2])
+    if rows:
+        common.held("training", object)  # nothing is kept, but what an earlier operator kept goes
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[1:] for r in rows]))], pa.binary())], ["network"])
+
+
+def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
+    """Fitted by one task, which is done again if its executor is lost; the driver sees parameters only."""
+    common.small_batches(docs.sparkSession)
+    fitted = training_sample(docs, labels, per_class).coalesce(1).mapInArrow(_fit, "network binary").collect()
+    return pickle.loads(fitted[0]["network"]) if fitted else train([])
 
 
 def _scorer(sent) -> Scorer:
@@ -423,10 +439,6 @@ def _score(batches, sent):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
 
-def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
-    return train(training_rows(docs, labels, per_class))
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """One row per document, see SCHEMA."""
     spark = docs.sparkSession
