@@ -84,6 +84,15 @@ def test_factors_drawn_in_tasks(spark, monkeypatch):
     assert a == b and values.shape == (50, 3) and 0 <= values.min() and values.max() < 1 and 0.3 < values.mean() < 0.7
 
 
+def test_long_axes_without_gram_matrices(spark, monkeypatch):
+    x = ingest(spark, generators.sparse_tensor((9, 6, 5), 0.4, seed=2))
+    core, factors = decomposition.hosvd(x, (2, 2, 2), 3)
+    monkeypatch.setattr(decomposition, "GRAM_ROWS", 0)
+    other, again = decomposition.hosvd(x, (2, 2, 2), 3)
+    assert all(np.allclose(p, q, atol=1e-5) for p, q in zip(factors, again, strict=True))
+    assert np.allclose(core.to_numpy(), other.to_numpy(), atol=1e-5)
+
+
 def test_exact_integers(spark):
     a, b = np.array([9007199254740993, -9007199254740993, 7, -7, 2**62]), np.array([1, 2, -2, 5, -3])
     x, y = from_numpy(spark, a), from_numpy(spark, b)
