@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -15,49 +13,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh as scratch
+from ..storage import written
+
+__all__ = ["scratch", "written"]
+
 #: Rows and bytes of one Arrow batch, the same for all operators, since the session has one setting: long texts don't pile up in a worker.
 BATCH_ROWS, BATCH_BYTES = 1500, "8m"
 #: A table of at most so many rows (ids, keys, counts: some tens of bytes each) is broadcast; larger ones are joined.
 BROADCAST_ROWS = 200_000
 
 
-def base_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or the checkpoint folder in use.
-
-    Where neither is set, a session on one machine (tests) gets a temporary folder. On a cluster that is an error,
-    since executors would not see the driver's folder.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        context.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared scratch folder as Parquet and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    context, base = df.sparkSession.sparkContext, base_folder(df.sparkSession)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(base)
-    return df.checkpoint()
-
-
 def small(table: DataFrame, width: int = 1) -> DataFrame:
     """A written table, to be broadcast if it has at most BROADCAST_ROWS short rows (counted); ``width``: how many short rows one is worth."""
     return F.broadcast(table) if table.count() * width <= BROADCAST_ROWS else table

@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Rounds
 from . import common
 
-
 ONE_TASK = 500_000
 
 
@@ -65,7 +65,8 @@ def components(links: DataFrame, rounds: int = 200, one_task: int = ONE_TASK) ->
     if edges.count() <= one_task:
         edges = common.written(edges.coalesce(1).mapInArrow(_contract, "u long, v long"), "forest")
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
-    edges = common.checkpointed(edges.mapInArrow(_contract, "u long, v long").distinct())
+    kept = Rounds()
+    edges = kept.cut(edges.mapInArrow(_contract, "u long, v long").distinct())
     state = _state(edges)
     for _ in range(rounds):
         if not state[0]:
@@ -76,7 +77,7 @@ def components(links: DataFrame, rounds: int = 200, one_task: int = ONE_TASK) ->
         low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         own = large.join(low, F.col("u") == F.col("w"))
         small = own.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(own.select("u", F.col("m").alias("v"))).distinct()
-        edges = common.checkpointed(small)
+        edges = kept.cut(small)
         if (now := _state(edges)) == state:
             break
         state = now
