@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -61,13 +64,22 @@ _held: dict[str, object] = {}
 
 
 def held(name: str, make):
-    """The worker's cache of this name; those of other names are given up."""
+    """The worker's cache of this name; those of other names are given up, and their memory goes back to the system."""
     if name not in _held:
         _held.clear()
+        trim()
         _held[name] = make()
     return _held[name]
 
 
+def trim() -> None:
+    """Give freed memory back: a worker lives on after its task, and the next operator's memory comes on top of what it keeps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -415,7 +415,10 @@ def _fit(batches):
     rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:2])
     if rows:
         common.held("training", object)  # nothing is kept, but what an earlier operator kept goes
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[1:] for r in rows]))], pa.binary())], ["network"])
+        fitted = pickle.dumps(train([r[1:] for r in rows]))
+        del rows
+        common.trim()
+        yield pa.RecordBatch.from_arrays([pa.array([fitted], pa.binary())], ["network"])
 
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
