@@ -429,14 +429,14 @@ def k_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid_sql(steps: int, next_: str) -> str:
-    parts = ["WITH u0 AS (SELECT CAST(n_nationkey AS BIGINT) AS x, coalesce(u, 0) AS u FROM nation LEFT JOIN (SELECT c_nationkey AS n_nationkey, sum(c_acctbal) / 1e6::DOUBLE AS u FROM customer GROUP BY ALL) USING (n_nationkey))"]
+    parts = ["WITH u0 AS (SELECT CAST(n_nationkey AS BIGINT) AS x, coalesce(u, 0) AS u FROM nation LEFT JOIN (SELECT c_nationkey AS n_nationkey, sum(c_acctbal) / 3141592.65::DOUBLE AS u FROM customer GROUP BY ALL) USING (n_nationkey))"]
     for k in range(steps):
         parts.append(f"u{k + 1} AS MATERIALIZED (SELECT m.x, {next_} AS u FROM u{k} m JOIN u{k} r ON r.x = (m.x + 1) % 25 JOIN u{k} l ON l.x = (m.x + 24) % 25)")
     return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS i0, x AS i1, round(u, 9) AS v FROM u{k}" for k in range(steps + 1))
 
 
 def initial(spark: SparkSession, sf_dir: str) -> SparseTensor:
-    c = load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("i0")).agg((F.sum("c_acctbal") / 1e6).alias("v"))
+    c = load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("i0")).agg((F.sum("c_acctbal") / 3141592.65).alias("v"))
     return SparseTensor(cut(c), (NATIONS,), 0.0)
 
 
