@@ -24,7 +24,7 @@ __all__ = ["scratch", "written"]
 #: Rows and bytes of one Arrow batch, the same for all operators, since the session has one setting: long texts don't pile up in a worker.
 BATCH_ROWS, BATCH_BYTES = 1500, "8m"
 #: A table of at most so many rows (ids, keys, counts: some tens of bytes each) is broadcast; larger ones are joined.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def small(table: DataFrame, width: int = 1) -> DataFrame:

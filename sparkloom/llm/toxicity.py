@@ -335,9 +335,10 @@ class Scorer:
         self.gates = np.zeros((1 << 12, 6 * HIDDEN), np.float32)
 
     def learn(self, words: list[str]) -> None:
-        n = len(self.index)
-        while n + len(words) > len(self.gates):
-            self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
+        n, rows = len(self.index), len(self.gates)
+        if n + len(words) > rows:
+            rows = max(n + len(words), min(2 * rows, self.limit))
+            self.gates = np.concatenate([self.gates[:n], np.zeros((rows - n, self.gates.shape[1]), np.float32)])
         for k in range(0, len(words), 8192):
             part = words[k : k + 8192]
             grams, counts = gram_slots(part)
