@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
