@@ -7,13 +7,25 @@ rules are spelled out where Spark and NumPy differ.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The kind "wide": integers of up to 38 digits. Operands of // and % are computed as such, and products that 64 bits don't hold.
+WIDE = "decimal(38,0)"
+INT64 = range(-(1 << 63), 1 << 63)
+
+
+def literal(value) -> Column:
+    wide = isinstance(value, int) and value not in INT64
+    return F.lit(Decimal(value)).cast(WIDE) if wide else F.lit(value)
+
+
 def nan() -> Column:
     return F.lit(float("nan"))
 
@@ -37,12 +49,12 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, by_zero).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
 
 
-def floor_divide(a: Column, b: Column, integral: bool) -> Column:
+def floor_divide(a: Column, b: Column, integral: bool, wide: bool = False) -> Column:
     if integral:
         safe = F.when(b == 0, F.lit(1)).otherwise(b)
         rest = a % safe
         down = (rest != 0) & ((rest < 0) != (safe < 0))
-        whole = F.call_function("div", a, safe)
+        whole = ((a - rest) / safe).cast(WIDE) if wide else F.call_function("div", a, safe)
         return F.when(b == 0, F.lit(0).cast("bigint")).otherwise(F.when(down, whole - 1).otherwise(whole))
     quotient = divide(a, b)
     return F.when(F.isnan(quotient) | (F.abs(quotient) == inf()), quotient).otherwise(F.floor(F.when(F.isnan(quotient) | (F.abs(quotient) == inf()), F.lit(0.0)).otherwise(quotient)).cast("double"))
@@ -81,16 +93,17 @@ def compare(f: Callable[[Column, Column], Column], unordered: bool) -> Callable[
     return lambda a, b: F.when(either_nan(a, b), F.lit(unordered)).otherwise(f(a, b))
 
 
-def power(a: Column, b: Column, integral: bool) -> Column:
-    """Integers exactly: a result beyond 64 bits is an overflow error (NumPy wraps around), a negative exponent an error as in NumPy."""
+def power(a: Column, b: Column, integral: bool, held_as: str = "bigint") -> Column:
+    """Integers exactly: a result beyond 64 bits (``WIDE``: 38 digits) is an overflow error (NumPy wraps around), a negative exponent an error as in NumPy."""
     if not integral:
         return F.pow(a.cast("double"), b.cast("double"))
-    a, b, one = a.cast("bigint"), b.cast("bigint"), F.lit(1).cast("bigint")
+    a, b, one = a.cast(held_as), b.cast("bigint"), F.lit(1).cast(held_as)
     unit = F.when(a == -1, F.when(b % 2 == 0, one).otherwise(-one)).otherwise(a)
-    # 2 to the 64th overflows already, so no more factors are ever needed
-    product = F.aggregate(F.sequence(one, F.greatest(one, F.least(b, F.lit(64).cast("bigint")))), one, lambda held, _: held * a)
-    negative = F.raise_error(F.lit("integers to negative integer powers are not allowed")).cast("bigint")
-    return F.when(b < 0, negative).when(b == 0, one).when(F.abs(F.greatest(a, F.lit(-2).cast("bigint"))) < 2, unit).otherwise(product)
+    # 2 to the 64th (127th) overflows already, so no more factors are ever needed
+    first, last = F.lit(1).cast("bigint"), F.lit(64 if held_as == "bigint" else 127).cast("bigint")
+    product = F.aggregate(F.sequence(first, F.greatest(first, F.least(b, last))), one, lambda held, _: held * a)
+    negative = F.raise_error(F.lit("integers to negative integer powers are not allowed")).cast(held_as)
+    return F.when(b < 0, negative).when(b == 0, one).when(F.abs(F.greatest(a, F.lit(-2).cast(held_as))) < 2, unit).otherwise(product)
 
 
 def least(a: Column, b: Column, floats: bool) -> Column:
@@ -155,13 +168,21 @@ LOGICAL = {"logical_and": lambda a, b: a & b, "logical_or": lambda a, b: a | b,
 BITS = {"bitwise_and": ("bitwiseAND", lambda a, b: a & b), "bitwise_or": ("bitwiseOR", lambda a, b: a | b), "bitwise_xor": ("bitwiseXOR", lambda a, b: a != b)}
 
 
+#: What is exact in wide integers when asked for, and what takes such integers back to 64 bits.
+EXACT = {"add": operator.add, "subtract": operator.sub, "multiply": operator.mul, "negative": operator.neg, "absolute": abs, "positive": operator.pos}
+NARROWING = {"floor_divide": lambda a, b: a // b if b else 0, "remainder": lambda a, b: a % b if b else 0}
+
+
 def joint(ka: str, kb: str) -> str:
-    return "float" if "float" in (ka, kb) else "int" if "int" in (ka, kb) else "bool"
+    return "float" if "float" in (ka, kb) else "wide" if "wide" in (ka, kb) else "int" if "int" in (ka, kb) else "bool"
 
 
-def apply_binary(name: str, a: Column, ka: str, b: Column, kb: str) -> tuple[Column, str]:
-    """Column and kind (bool, int, float) of a binary function."""
+def apply_binary(name: str, a: Column, ka: str, b: Column, kb: str, wide: bool = False) -> tuple[Column, str]:
+    """Column and kind (bool, int, wide, float) of a binary function; ``wide``: sums and products of integers may have up to 38 digits."""
     kind = joint(ka, kb)
+    if kind == "wide" and (name in BITS or name.endswith("shift") or name == "power"):
+        a, b, kind = num(ka, a).cast("bigint"), num(kb, b).cast("bigint"), "int"
+        ka = kb = kind
     if name in LOGICAL:
         return LOGICAL[name](truth(ka, a), truth(kb, b)), "bool"
     if name in BITS:
@@ -179,8 +200,15 @@ def apply_binary(name: str, a: Column, ka: str, b: Column, kb: str) -> tuple[Col
     x, y = num(ka, a), num(kb, b)
     if kind == "float":
         x, y = x.cast("double"), y.cast("double")
+    if wide and kind == "int" and name in EXACT:
+        kind = "wide"
+    if kind == "wide":
+        x, y = x.cast(WIDE), y.cast(WIDE)
     integral = kind != "float"
-    number = "int" if integral else "float"
+    number = kind if kind in ("wide", "float") else "int"
+    if kind == "wide" and name in NARROWING:
+        column = floor_divide(x, y, True, True) if name == "floor_divide" else remainder(x, y, True)
+        return (column.cast(WIDE), "wide") if wide else (column.cast("bigint"), "int")
     if name in COMPARISONS:
         return (COMPARISONS[name](x, y) if integral else compare(COMPARISONS[name], name == "not_equal")(x, y)), "bool"
     if name == "add":
@@ -215,15 +243,17 @@ def apply_binary(name: str, a: Column, ka: str, b: Column, kb: str) -> tuple[Col
 TRIG = {"sin": F.sin, "cos": F.cos, "tan": F.tan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan, "arcsinh": F.asinh, "arccosh": F.acosh, "arctanh": F.atanh, "exp": F.exp, "sqrt": F.sqrt}
 
 
-def apply_unary(name: str, a: Column, kind: str) -> tuple[Column, str]:
+def apply_unary(name: str, a: Column, kind: str, wide: bool = False) -> tuple[Column, str]:
     if name == "positive":
         return a, kind
     if name == "logical_not":
         return ~truth(kind, a), "bool"
     if name == "invert":
-        return (~a, "bool") if kind == "bool" else (F.bitwise_not(a), "int")
+        return (~a, "bool") if kind == "bool" else (F.bitwise_not(a.cast("bigint") if kind == "wide" else a), "int")
     x = num(kind, a)
-    number = "float" if kind == "float" else "int"
+    if wide and kind == "int" and name in EXACT:
+        x, kind = x.cast(WIDE), "wide"
+    number = kind if kind in ("wide", "float") else "int"
     if name == "negative":
         if kind == "bool":
             raise TypeError("boolean negative")
@@ -242,12 +272,17 @@ def apply_unary(name: str, a: Column, kind: str) -> tuple[Column, str]:
 NUMPY = {"left_shift": np.left_shift, "right_shift": np.right_shift}
 
 
-def on_values(name: str, *values):
-    """The NumPy function on Python scalars, for fill values."""
+def on_values(name: str, *values, wide: bool = False):
+    """The NumPy function on Python scalars, for fill values; ``wide``, and integers beyond 64 bits: without wrapping around."""
+    f = EXACT.get(name) or NARROWING.get(name)
+    if f and all(kind_of_value(v) in ("int", "wide") for v in values) and (wide or any(kind_of_value(v) == "wide" for v in values)):
+        return f(*(int(v) for v in values))
     with np.errstate(all="ignore"):
         out = (NUMPY.get(name) or getattr(np, name))(*values)
     return out.item() if hasattr(out, "item") else out
 
 
 def kind_of_value(value) -> str:
-    return "bool" if isinstance(value, (bool, np.bool_)) else "int" if isinstance(value, (int, np.integer)) else "float"
+    if isinstance(value, (bool, np.bool_)):
+        return "bool"
+    return ("int" if int(value) in INT64 else "wide") if isinstance(value, (int, np.integer)) else "float"

@@ -111,14 +111,15 @@ class Lowering:
         if not indices:
             return r
         shared = [i for i in indices if i in r.indices]
-        value = F.coalesce("v", F.lit(r.fill))
+        value = F.coalesce("v", S.literal(r.fill))
         if not shared:
             joined = cells.crossJoin(F.broadcast(r.df.select("v")))
         else:
             joined = cells.join(r.df, shared, "left")
         return Relation(joined.select(*indices, value.alias("v")), indices, r.fill, r.kind, True)
 
-    def evaluate(self, node):
+    def evaluate(self, node, wide: bool = False):
+        """``wide``: integers that // or % takes, so sums and products in them may be longer than 64 bits."""
         if isinstance(node, Literal):
             if isinstance(node.value, complex):
                 raise TypeError("Spark has no complex numbers; use two tensors for the parts")
@@ -135,42 +136,43 @@ class Lowering:
             if kind == "float":
                 df, fill = df.withColumn("v", F.col("v").cast("double")), float(fill)
             return Relation(df, node.indices, fill, kind, t.rank == 0)
-        args = [self.evaluate(a) for a in node.args]
+        name = S.UNARY_NAMES.get(node.op) if len(node.args) == 1 else S.BINARY_NAMES.get(node.op)
+        args = [self.evaluate(a, name in S.NARROWING or wide and name in S.EXACT) for a in node.args]
         if len(args) == 1:
-            return self.unary(S.UNARY_NAMES[node.op], args[0])
+            return self.unary(S.UNARY_NAMES[node.op], args[0], wide)
         if len(args) != 2 or node.op not in S.BINARY_NAMES:
             raise TypeError(f"{node.op} of {len(args)} arguments")
-        return self.binary(S.BINARY_NAMES[node.op], *args)
+        return self.binary(S.BINARY_NAMES[node.op], *args, wide)
 
-    def unary(self, name: str, a):
+    def unary(self, name: str, a, wide: bool = False):
         if isinstance(a, Constant):
-            return Constant(S.on_values(name, a.value))
-        column, kind = S.apply_unary(name, F.col("v"), a.kind)
-        return Relation(a.df.select(*a.indices, column.alias("v")), a.indices, S.on_values(name, a.fill), kind, a.full)
+            return Constant(S.on_values(name, a.value, wide=wide))
+        column, kind = S.apply_unary(name, F.col("v"), a.kind, wide)
+        return Relation(a.df.select(*a.indices, column.alias("v")), a.indices, S.on_values(name, a.fill, wide=wide), kind, a.full)
 
-    def binary(self, name: str, a, b):
+    def binary(self, name: str, a, b, wide: bool = False):
         if isinstance(a, Constant) and isinstance(b, Constant):
-            return Constant(S.on_values(name, a.value, b.value))
+            return Constant(S.on_values(name, a.value, b.value, wide=wide))
         if isinstance(a, Constant) or isinstance(b, Constant):
             r = b if isinstance(a, Constant) else a
-            left, right = (F.lit(a.value), F.col("v")) if isinstance(a, Constant) else (F.col("v"), F.lit(b.value))
-            column, kind = S.apply_binary(name, left, a.kind, right, b.kind)
+            left, right = (S.literal(a.value), F.col("v")) if isinstance(a, Constant) else (F.col("v"), S.literal(b.value))
+            column, kind = S.apply_binary(name, left, a.kind, right, b.kind, wide)
             values = (a.value, b.fill) if isinstance(a, Constant) else (a.fill, b.value)
-            return Relation(r.df.select(*r.indices, column.alias("v")), r.indices, S.on_values(name, *values), kind, r.full)
+            return Relation(r.df.select(*r.indices, column.alias("v")), r.indices, S.on_values(name, *values, wide=wide), kind, r.full)
         indices = tuple(dict.fromkeys((*a.indices, *b.indices)))
-        fill = S.on_values(name, a.fill, b.fill)
+        fill = S.on_values(name, a.fill, b.fill, wide=wide)
         zero_a, zero_b = self.annihilates(name, a.fill), self.annihilates(name, b.fill)
         same = set(a.indices) == set(b.indices)
         if zero_a and zero_b or (zero_a or a.full) and (zero_b or b.full) and same:
-            return self.joined(name, a, b, indices, "inner", fill, False)
+            return self.joined(name, a, b, indices, "inner", fill, False, wide)
         if zero_a and set(b.indices) <= set(a.indices) and b.indices:
-            return self.joined(name, a, b, indices, "left", fill, False)
+            return self.joined(name, a, b, indices, "left", fill, False, wide)
         if zero_b and set(a.indices) <= set(b.indices) and a.indices:
-            return self.joined(name, a, b, indices, "right", fill, False)
+            return self.joined(name, a, b, indices, "right", fill, False, wide)
         if same and a.indices and not (a.full and b.full):
-            return self.joined(name, a, b, indices, "full", fill, a.full or b.full)
+            return self.joined(name, a, b, indices, "full", fill, a.full or b.full, wide)
         a, b = self.densify(a, a.indices), self.densify(b, b.indices)
-        return self.joined(name, a, b, indices, "inner", fill, True)
+        return self.joined(name, a, b, indices, "inner", fill, True, wide)
 
     @staticmethod
     def annihilates(name: str, fill) -> bool:
@@ -178,7 +180,7 @@ class Lowering:
             return isinstance(fill, float) and math.isinf(fill)
         return name in ANNIHILATORS and any(fill == z for z in ANNIHILATORS[name])
 
-    def joined(self, name, a: Relation, b: Relation, indices, how: str, fill, full: bool) -> Relation:
+    def joined(self, name, a: Relation, b: Relation, indices, how: str, fill, full: bool, wide: bool = False) -> Relation:
         x, y = a.df.withColumnRenamed("v", "__a"), b.df.withColumnRenamed("v", "__b")
         shared = [i for i in a.indices if i in b.indices]
         if how == "inner" and shared:
@@ -187,10 +189,10 @@ class Lowering:
         df = x.join(y, shared, how) if shared else x.crossJoin(small(y, self.cells(b.indices)))
         left, right = F.col("__a"), F.col("__b")
         if how in ("right", "full"):
-            left = F.coalesce(left, F.lit(a.fill))
+            left = F.coalesce(left, S.literal(a.fill))
         if how in ("left", "full"):
-            right = F.coalesce(right, F.lit(b.fill))
-        column, kind = S.apply_binary(name, left, a.kind, right, b.kind)
+            right = F.coalesce(right, S.literal(b.fill))
+        column, kind = S.apply_binary(name, left, a.kind, right, b.kind, wide)
         return Relation(df.select(*indices, column.alias("v")), indices, fill, kind, full)
 
     # --- contraction ---
@@ -268,7 +270,7 @@ class Lowering:
         if len(keep) == len(r.indices):
             return r
         if reduction == "sum":
-            v, kind = F.sum(S.num(r.kind, F.col("v"))), "float" if r.kind == "float" else "int"
+            v, kind = F.sum(S.num(r.kind, F.col("v"))), "int" if r.kind == "bool" else r.kind
         elif reduction == "any":
             v, kind = F.bool_or(S.truth(r.kind, F.col("v"))), "bool"
         else:
@@ -299,7 +301,7 @@ class Lowering:
 
     def spread(self, r, indices: tuple[str, ...]) -> Relation:
         if isinstance(r, Constant):
-            df = grid(self.spark, {i: self.extents[i] for i in indices}).withColumn("v", F.lit(r.value))
+            df = grid(self.spark, {i: self.extents[i] for i in indices}).withColumn("v", S.literal(r.value))
             return Relation(df.select(*indices, "v"), indices, r.value, r.kind, True)
         return r if set(r.indices) == set(indices) else self.densify(r, indices)
 
@@ -320,7 +322,7 @@ class Lowering:
         number = fill if not isinstance(fill, bool) else int(fill)
         if reduction in ("sum", "mean"):
             aggs = [F.sum(x).alias("s")]
-            total = F.when(short, F.col("s") + F.lit(number) * lack).otherwise(F.col("s")) if number != 0 else F.col("s")
+            total = F.when(short, F.col("s") + S.literal(number) * lack).otherwise(F.col("s")) if number != 0 else F.col("s")
             value = total if reduction == "sum" else total.cast("double") / n
             rest = number * n if reduction == "sum" else float(number)
             if number != number or (isinstance(number, float) and math.isinf(number)):
@@ -338,7 +340,7 @@ class Lowering:
             rest = bool(fill)
         elif reduction in ("min", "max"):
             aggs = [(nan_min(v, r.kind) if reduction == "min" else F.max(v)).alias("s")]
-            other = S.least(F.col("s"), F.lit(fill), r.kind == "float") if reduction == "min" else F.greatest(F.col("s"), F.lit(fill))
+            other = S.least(F.col("s"), S.literal(fill), r.kind == "float") if reduction == "min" else F.greatest(F.col("s"), S.literal(fill))
             value, rest = F.when(short, other).otherwise(F.col("s")), fill
         elif reduction in ("var", "std"):
             aggs = [F.avg(x).alias("m"), F.var_pop(x).alias("q")]
@@ -357,7 +359,7 @@ class Lowering:
             name = "bitwise" + reduction[3:]
             value = F.col("s")
             if number or reduction == "bit_and":
-                again = F.lit(number) if reduction != "bit_xor" else F.when(lack % 2 == 1, F.lit(number)).otherwise(F.lit(0))
+                again = S.literal(number) if reduction != "bit_xor" else F.when(lack % 2 == 1, S.literal(number)).otherwise(F.lit(0))
                 value = F.when(short, S.apply_binary(name, F.col("s"), "int", again, "int")[0]).otherwise(F.col("s"))
             rest = number if reduction != "bit_xor" or n % 2 else 0
         if out:

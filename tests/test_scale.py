@@ -1,5 +1,6 @@
 """Paths that only sizes beyond a bound take, with the bounds lowered; and what storage promises."""
 
+import math
 import os
 
 import numpy as np
@@ -135,3 +136,16 @@ def test_no_temporary_folder_on_a_cluster(spark):
 
     with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
         storage.folder(Session())
+
+
+def test_integers_beyond_64_bits(spark):
+    a, b = np.array([3390654, -3390654, 2**62, 0]), np.array([3, 5, 2**40, 7])
+    x, y = from_numpy(spark, a), from_numpy(spark, b)
+    for op, f in (("//", lambda p, q: p // q), ("%", lambda p, q: p % q)):
+        got = einsum(f"D[i] = (A[i] * 9007199254741 - 1) {op} (B[i] + 1)", A=x, B=y)
+        want = [f(int(p) * 9007199254741 - 1, int(q) + 1) for p, q in zip(a, b, strict=True)]
+        if op == "//":  # one quotient has more than 64 bits
+            with pytest.raises(Exception, match="(?i)overflow|out.of.range"):
+                got.to_numpy()
+            got, want = einsum("D[i] = (A[i] * 9007199254741 - 1) // (B[i] * 8 + 1)", A=x, B=y), [(int(p) * 9007199254741 - 1) // (int(q) * 8 + 1) for p, q in zip(a, b, strict=True)]
+        assert got.kind == "int" and got.dense().to_numpy().tolist() == want
