@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import cut
 from ..tensor import SparseTensor
 from .grid import grid
 from .parse import Access, Call, Literal, Program, parse
@@ -370,26 +371,32 @@ class Lowering:
         return self.finish(Relation(df, out, rest, "float"), rest)
 
     def integer_product(self, r: Relation, number: int, n: int) -> SparseTensor:
-        """Exact 64-bit products; one that needs more bits is an overflow error.
+        """Exact products. If all fit (one aggregate over the written result), they have 64 bits, else up to 38 digits; more is an overflow error.
 
         Equal magnitudes are counted first, so what is gathered of a group are its distinct magnitudes above 1, and a product with more
-        than 20 of them does not fit in 64 bits.
+        than 32 of them does not fit in 38 digits.
         """
-        out, one = self.program.indices, F.lit(1).cast("bigint")
-        x = S.num(r.kind, F.col("v")).cast("bigint")
+        out, one = self.program.indices, F.lit(1).cast(S.WIDE)
+        x = S.num(r.kind, F.col("v")).cast(S.WIDE if r.kind == "wide" else "bigint")
         counted = r.df.groupBy(*out, F.abs(x).alias("size")).agg(F.count(F.lit(1)).alias("c"), F.count_if(x < 0).alias("below"))
         power = F.struct("size", F.col("c").alias("times"))
         aggs = [F.sum("c").alias("c"), F.sum("below").alias("below"), F.min("size").alias("least"), F.collect_list(F.when(F.col("size") > 1, power)).alias("powers")]
         grouped = counted.groupBy(*out).agg(*aggs) if out else counted.agg(*aggs).where("c > 0")
         lack = F.lit(n).cast("bigint") - F.col("c")
-        filled = F.when(lack > 0, S.power(F.lit(number), lack, True)).otherwise(one)
-        size = F.aggregate("powers", one, lambda held, p: held * S.power(p["size"], p["times"], True))
+        filled = F.when(lack > 0, S.power(S.literal(number), lack, True, S.WIDE)).otherwise(one)
+        size = F.aggregate("powers", one, lambda held, p: held * S.power(p["size"], p["times"], True, S.WIDE))
         sign = F.when(F.col("below") % 2 == 1, -one).otherwise(one)
         zero = (F.col("least") == 0) | ((lack > 0) & F.lit(number == 0))
-        value = F.when(zero, F.lit(0).cast("bigint")).otherwise(sign * size * filled)
-        with np.errstate(all="ignore"):
-            rest = int(np.power(np.int64(number), np.int64(n)))
-        return self.finish(Relation(grouped.select(*out, value.alias("v")), out, rest, "int"), rest)
+        made = cut(grouped.select(*out, F.when(zero, F.lit(0).cast(S.WIDE)).otherwise(sign * size * filled).alias("v")))
+        low, high, count = made.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+        lowest, highest, rest = int(low or 0), int(high or 0), 0
+        if count < self.cells(out):  # the fill value of the result is that of some cell
+            rest = number if abs(number) < 2 and (number >= 0 or n % 2) else abs(number) ** min(n, 127) * (-1 if number < 0 and n % 2 else 1)
+            if len(str(abs(rest))) > 38:
+                raise OverflowError("the product of cells that are not stored needs more than 38 digits")
+        if all(v in S.INT64 for v in (lowest, highest, rest)):
+            return self.finish(Relation(made.select(*out, F.col("v").cast("bigint").alias("v")), out, rest, "int"), rest)
+        return self.finish(Relation(made, out, rest, "wide"), rest)
 
     def arg(self, r: Relation, reduction: str, reduced: tuple[str, ...]) -> SparseTensor:
         if len(reduced) != 1:

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = {"boolean": "bool", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "float"}
+from .functions.scalars import WIDE, literal
+
+KINDS = {"boolean": "bool", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "float", WIDE: "wide"}
 
 
 def index_names(rank: int) -> list[str]:
@@ -59,17 +61,19 @@ class SparseTensor:
 
         cells = grid(self.spark, dict(zip(self.dims, self.shape, strict=True)))
         joined = cells.join(self.df, self.dims, "left") if self.rank else self.df
-        return self.with_df(joined.withColumn("v", F.coalesce("v", F.lit(self.fill).cast(self.df.schema["v"].dataType))))
+        return self.with_df(joined.withColumn("v", F.coalesce("v", literal(self.fill).cast(self.df.schema["v"].dataType))))
 
     def pruned(self) -> SparseTensor:
         """Without stored cells that equal the fill value (NaN is kept)."""
-        return self.with_df(self.df.where(F.col("v") != F.lit(self.fill)))
+        return self.with_df(self.df.where(F.col("v") != literal(self.fill)))
 
     def to_numpy(self) -> np.ndarray:
         """A dense array on the driver; for results known to be small."""
-        dtype = {"bool": bool, "int": np.int64, "float": float}[self.kind]
+        dtype = {"bool": bool, "int": np.int64, "wide": object, "float": float}[self.kind]
         out = np.full(self.shape, self.fill, dtype if not (dtype is np.int64 and isinstance(self.fill, float)) else float)
         rows = self.df.toPandas()
+        if self.kind == "wide":
+            rows["v"] = rows["v"].map(int)
         if self.rank == 0:
             return np.array(rows["v"].iloc[0] if len(rows) else self.fill)
         out[tuple(rows[d].to_numpy() for d in self.dims)] = rows["v"].to_numpy()
@@ -172,6 +176,6 @@ def equal(a: SparseTensor, b: SparseTensor) -> bool:
     if a.shape != b.shape or (a.fill != b.fill and not (a.fill != a.fill and b.fill != b.fill)):
         return False
     x, y = a.pruned().df, b.pruned().df
-    wide = "double" if "float" in (a.kind, b.kind) else "bigint"
+    wide = "double" if "float" in (a.kind, b.kind) else WIDE if "wide" in (a.kind, b.kind) else "bigint"
     x, y = (d.withColumn("v", F.col("v").cast(wide)) for d in (x, y))
     return not x.exceptAll(y).take(1) and not y.exceptAll(x).take(1)

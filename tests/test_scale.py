@@ -149,3 +149,15 @@ def test_integers_beyond_64_bits(spark):
                 got.to_numpy()
             got, want = einsum("D[i] = (A[i] * 9007199254741 - 1) // (B[i] * 8 + 1)", A=x, B=y), [(int(p) * 9007199254741 - 1) // (int(q) * 8 + 1) for p, q in zip(a, b, strict=True)]
         assert got.kind == "int" and got.dense().to_numpy().tolist() == want
+
+
+def test_products_beyond_64_bits(spark):
+    m = [[10381, 10300, 10200, 10100, 10000], [3, 1, 1, 1, 1], [2**31, -(2**31), 2**31, 0, 5], [2**31, -(2**31), 2**31, 3, 5]]
+    got = einsum("P[i] *= M[i,j]", M=from_numpy(spark, np.array(m)))
+    assert got.kind == "wide" and got.to_numpy().tolist() == [math.prod(r) for r in m]
+    assert einsum("P[i] *= M[i,j]", M=from_numpy(spark, np.array(m[1:3]))).kind == "int"
+    stored = from_numpy(spark, np.array(m[:2]))
+    filled = einsum("P[i] *= M[i,j]", M=stored.with_df(stored.df.where("i0 = 1")).with_fill_value(10007))
+    assert filled.dense().to_numpy().tolist() == [10007**5, 3]
+    with pytest.raises(Exception, match="(?i)overflow|out.of.range|precision"):
+        einsum("P[i] *= M[i,j]", M=from_numpy(spark, np.full((2, 9), 2**31)))
