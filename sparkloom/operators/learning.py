@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -125,14 +126,14 @@ def nearest(data: SparseTensor, query: SparseTensor, projection: SparseTensor |
     return functools.reduce(DataFrame.union, found)
 
 
-def k_means(a: SparseTensor, k: int, max_iter: int = 100) -> SparseTensor:
-    """Lloyd's rounds from the first k rows; ties go to the lowest cluster, an empty cluster keeps its place. The centres are one broadcast row."""
+def k_means(a: SparseTensor, k: int, max_iter: int | None = 100) -> SparseTensor:
+    """Lloyd's rounds from the first k rows, ``None``: until no row moves; ties go to the lowest cluster, an empty cluster keeps its place. The centres are one broadcast row."""
     spark, t, kept = a.spark, a.shape[1], Rounds()
     rows = cut(a.dense().df.groupBy("i0").agg(F.transform(F.array_sort(F.collect_list(F.struct("i1", F.col("v").cast("double").alias("v")))), lambda s: s["v"]).alias("p")))
     first = rows.where(F.col("i0") < k).orderBy("i0").collect()
     centres = np.array([r["p"] for r in first])
     labels = rows.select("i0", "p", F.lit(0).cast("long").alias("v"))
-    for _ in range(max_iter):
+    for _ in itertools.count() if max_iter is None else range(max_iter):
         made = F.broadcast(spark.createDataFrame([(centres.tolist(),)], "centres array<array<double>>"))
         gaps = F.transform("centres", lambda c, j: F.struct(F.aggregate(F.zip_with("p", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), j.cast("long").alias("j")))
         new = kept.cut(labels.crossJoin(made).select("i0", "p", F.col("v").alias("old"), F.array_min(gaps)["j"].alias("v")))

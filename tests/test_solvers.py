@@ -89,6 +89,17 @@ def test_neighbours_and_clusters(t):
         learning.projected_k_means(points, 3, 0.5)
 
 
+def test_clusters_to_the_end(t):
+    x = np.arange(300.0)[:, None]
+    centres, old, rounds = x[:3].copy(), None, 0
+    while old is None or (labels != old).any():
+        old, labels = (None if old is None else labels), np.abs(x - centres.T).argmin(1)
+        old = np.full(len(x), -1) if old is None else old
+        centres, rounds = np.array([x[labels == j].mean(0) for j in range(3)]), rounds + 1
+    assert rounds > 10 and (learning.k_means(t(x), 3, None).to_numpy() == labels).all()
+    assert (learning.k_means(t(x), 3, 4).to_numpy() != labels).any()
+
+
 def test_finite_differences(spark):
     u0 = simulation.impulses(spark, 20, 0.2)
     grid = simulation.lax_friedrichs(u0, 1, 1, simulation.advection(0.9), 3).to_numpy()
