@@ -32,6 +32,17 @@ def small(table: DataFrame, width: int = 1) -> DataFrame:
     return F.broadcast(table) if table.count() * width <= BROADCAST_ROWS else table
 
 
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+
+def local(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A table of the driver's rows, with the types of ARROW. A list given to createDataFrame runs through Python workers of another
+    kind on the executors, which stay there with a daemon of their own beside those of the operators; Arrow needs none."""
+    kinds = [c.split() for c in schema.split(", ")]
+    columns = [pa.array([r[k] for r in rows], ARROW[kind]) for k, (_, kind) in enumerate(kinds)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, [name for name, _ in kinds]), schema)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows and bytes that one Arrow batch carries, by the same numbers whichever operator runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -294,7 +294,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
         sets = common.written(sets.dropDuplicates(["node"]), "sets")
     compare = Comparison(reps.select(F.col("rep").alias("node"), F.col("n").alias("size"), "sketch"), sets, percent)
 
-    label = spark.createDataFrame([], "node long, component long")
+    label = common.local(spark, [], "node long, component long")
     met, before = met.select("key", "rep"), 0
     for turn in range(ROUNDS + 1):
         placed = met.join(common.small(label), met["rep"] == label["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))

@@ -66,7 +66,7 @@ def targets_in_tasks(stats: DataFrame, weights, budget: float, cap: float) -> Da
     ordered = common.written(stats.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source").mapInArrow(_numbered, "source string, source_size long, n long, part int, place long"), "sources")
     counts = ordered.groupBy("part").count().orderBy("part").collect()
     before = np.cumsum([0, *(r["count"] for r in counts)]).tolist()
-    bases = F.broadcast(spark.createDataFrame([(r["part"], b) for r, b in zip(counts, before, strict=False)], "part int, base long"))
+    bases = F.broadcast(common.local(spark, [(r["part"], b) for r, b in zip(counts, before, strict=False)], "part int, base long"))
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("base") + F.col("place")) % len(weights)).cast("int"))
     rated = common.written(ordered.join(bases, "part").select("source", "source_size", "n", weight.alias("weight")), "weights")
     total, share, most = budget * (rated.agg(F.sum("source_size")).first()[0] or 0), 0.0, F.col("source_size") * cap
@@ -144,7 +144,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: f
     if stats.count() <= BROADCAST_SOURCES:
         ordered = sorted(stats.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
         goal = targets([r["source_size"] for r in ordered], [weights[i % len(weights)] for i in range(len(ordered))], budget, cap)
-        known = F.broadcast(spark.createDataFrame([(*r, t) for r, t in zip(ordered, goal, strict=True)], "source string, source_size long, n long, target double"))
+        known = F.broadcast(common.local(spark, [(*r, t) for r, t in zip(ordered, goal, strict=True)], "source string, source_size long, n long, target double"))
     else:
         known = targets_in_tasks(stats, weights, budget, cap)
     known = known.select(F.col("source").alias("t_source"), "source_size", "target", F.ceil(F.col("n") / BUCKET).alias("buckets"))

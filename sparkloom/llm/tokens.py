@@ -28,8 +28,10 @@ from . import common
 _TAIL = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[^\W\d_].)(?=\s)")
 
 
-#: Characters of a call: the more words at once, the fewer lookups.
-CHUNK = 1 << 22
+#: Characters of a call: the more at once, the fewer lookups and the larger a call's arrays.
+CHUNK = 1 << 20
+#: Words given to the tokenizer at once: what it returns for a word takes many times the word's ids.
+SLICE = 8192
 
 
 def default_path() -> str:
@@ -91,8 +93,9 @@ class WordMemo:
 
     def learn(self, words: list[str]) -> None:
         plain = [w for w in words if w.isalpha()]
-        for part, letters in ((plain, True), ([w for w in words if not w.isalpha()], False)):
-            if part:
+        for group, letters in ((plain, True), ([w for w in words if not w.isalpha()], False)):
+            for k in range(0, len(group), SLICE):
+                part = group[k : k + SLICE]
                 ids, lengths = self.encode_all(part, letters)
                 n, m, held, more = len(self.index), len(part), self.held, len(ids)
                 if n + m > self.places.shape[1]:
@@ -141,7 +144,10 @@ class WordMemo:
         rows = rows[codes]
         begin, length = self.places[0, rows], self.places[1, rows]
         upto = np.concatenate([[0], np.cumsum(length)])
-        flat = self.data[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])] if upto[-1] else np.empty(0, np.uint32)
+        kind = np.int32 if max(self.held, upto[-1]) < 1 << 31 else np.int64
+        at = np.repeat((begin - upto[:-1]).astype(kind), length)
+        at += np.arange(upto[-1], dtype=kind)
+        flat = self.data[at] if len(at) else np.empty(0, np.uint32)
         return flat, upto[split.offsets.to_numpy()].astype(np.int64)
 
 

@@ -400,7 +400,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     for y in (0, 1):
         for r in present.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect():
             chosen[r["doc_id"]] = y
-    ids = F.broadcast(spark.createDataFrame(list(chosen.items()), "l_id long, toxic int"))
+    ids = F.broadcast(common.local(spark, list(chosen.items()), "l_id long, toxic int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = common.written(texts.join(ids, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", F.xxhash64("text").alias("content")), "labelled")
     rows, held = [], {0: 0, 1: 0}
@@ -408,7 +408,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
         if not held[r["toxic"]] or held[r["toxic"]] + r["n"] <= class_bytes:
             held[r["toxic"]] += r["n"]
             rows.append((r["doc_id"], r["content"]))
-    wanted = F.broadcast(spark.createDataFrame(rows, "w_id long, w_content long").distinct())
+    wanted = F.broadcast(common.local(spark, rows, "w_id long, w_content long").distinct())
     return found.join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("content") == F.col("w_content")), "left_semi").select("doc_id", "text", "toxic")
 
 

@@ -105,6 +105,30 @@ def test_word_memo_on_all_code_points():
     assert [t for k, t in enumerate(items) if list(ids[at[k] : at[k + 1]]) != want[k].ids] == []
 
 
+def test_word_memo_in_slices(monkeypatch):
+    """The tokenizer gets a bounded number of words at once, however many are new, and the ids are the same."""
+    monkeypatch.setattr(tokens, "SLICE", 50, raising=False)
+    memo, sizes = tokens.WordMemo(tokens.default_path()), []
+    encode_all = memo.encode_all
+    monkeypatch.setattr(memo, "encode_all", lambda words, letters: (sizes.append(len(words)), encode_all(words, letters))[1])
+    texts = [" ".join(f"{'abcdefghij'[i % 10] * (1 + i // 10)}{'' if i % 3 else i}" for i in range(400)), "", "caf\u00e9 x1"]
+    flat, at = memo.ids(texts)
+    assert max(sizes) <= 50 and sum(sizes) == len(memo.index) > 400
+    for k, t in enumerate(texts):
+        assert flat[at[k] : at[k + 1]].tolist() == memo.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_local_tables(spark):
+    """Tables of the driver's rows come without tasks in Python workers."""
+    docs = common.written(spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string"), "docs")
+    labels = common.written(spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int"), "labels")
+    assert "LogicalRDD" not in toxicity.training_sample(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    rows = [("a", 1, 2, 0.5), (None, None, -(1 << 63), None)]
+    made = common.local(spark, rows, "s string, i int, l long, d double")
+    assert [tuple(r) for r in made.collect()] == rows and made.dtypes == [("s", "string"), ("i", "int"), ("l", "bigint"), ("d", "double")]
+    assert common.local(spark, [], "a long, b long").collect() == []
+
+
 def test_packing(spark, corpus):
     rows = packing.pack(frame(spark, corpus), tokens.default_path()).collect()
     want = Counter()
