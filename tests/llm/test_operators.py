@@ -129,6 +129,15 @@ def test_local_tables(spark):
     assert common.local(spark, [], "a long, b long").collect() == []
 
 
+def test_release(spark):
+    """Heap that a stage no longer uses goes back to the system."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    spark.range(0, 8, 1, 4).select(F.sum(F.length(F.repeat(F.lit("x"), 50_000_000 + F.col("id").cast("int"))))).collect()
+    before = runtime.totalMemory()
+    common.release(spark)
+    assert runtime.totalMemory() < before
+
+
 def test_packing(spark, corpus):
     rows = packing.pack(frame(spark, corpus), tokens.default_path()).collect()
     want = Counter()
